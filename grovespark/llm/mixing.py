@@ -45,7 +45,7 @@ def targets(sizes: DataFrame, most: int = MOST) -> DataFrame:
     above its cap.  The end of that process is target = least(cap, level * weight)
     for one level: with sources in order of cap / weight, the level is what
     remains after the caps before, over the weight from there on, at the first
-    source whose cap that level doesn't reach.
+  XX
     """
     every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
@@ -59,7 +59,7 @@ def targets(sizes: DataFrame, most: int = MOST) -> DataFrame:
         .withColumn("before", F.coalesce(F.sum("cap").over(by_cap), F.lit(0)))
         .withColumn("passed", F.coalesce(F.sum("weight").over(by_cap), F.lit(0)))
         .withColumn("level", (F.sum("source_size").over(every) - F.col("before")) / (F.sum("weight").over(every) - F.col("passed")))
-        .withColumn("level", F.min(F.when(F.col("level") <= F.col("reach"), F.col("level"))).over(every))
+        .withColumn("level", F.max(F.when(F.col("level") <= F.col("reach"), F.col("level"))).over(every))
         .select("source", "source_size", F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")).alias("target"))
     )
 
@@ -100,7 +100,7 @@ ordered AS (
     sum(source_size) OVER () AS total, sum(weight) OVER () AS all_weight
   FROM weighed WINDOW w AS (ORDER BY cap / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 leveled AS (
-  SELECT *, min(CASE WHEN CAST(total - before AS DOUBLE) / CAST(all_weight - passed AS DOUBLE) <= reach
+  SELECT *, max(CASE WHEN CAST(total - before AS DOUBLE) / CAST(all_weight - passed AS DOUBLE) <= reach
     THEN CAST(total - before AS DOUBLE) / CAST(all_weight - passed AS DOUBLE) END) OVER () AS level FROM ordered),
 rated AS (
   SELECT source, source_size, least(CAST(cap AS DOUBLE), level * weight) AS target,
