@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovespark.llm import bpe, mixing
-from grovespark.llm.common import table
+from grovespark.llm import bpe, langid, mixing, pii, quality
+from grovespark.llm.common import held_out, table
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -21,14 +21,38 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, apart = table(spark, sf_dir, "documents").select("doc_id", "text"), held_out(F.col("doc_id"), 5)
+    chain = quality.train(docs, table(spark, sf_dir, "labels"), ~apart)
+    return quality.score(docs, chain).select("doc_id", apart.alias("held_out"), "score", "predicted")
+
+
+#: The key of the registered query; a user passes one of their own.
+PSEUDONYM_KEY = b"registered query"
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pseudonymise(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+    return found.select("doc_id", F.size("kinds").alias("n_pii"), "kinds", "text")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.copies(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, apart = table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), held_out(F.col("doc_id"), 5)
+    network = langid.train(docs, ~apart)
+    return langid.predict(docs, network).select("doc_id", apart.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
+    "op3_quality": op3_quality,
+    "op6_pii": op6_pii,
     "op7_mixing": op7_mixing,
+    "op10_langid": op10_langid,
 }
 
 ORACLE_SQL: dict[str, str] = {
