@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovespark.llm import bpe, langid, mixing, pii, quality
+from grovespark.llm import bpe, jaccard, langid, mixing, pii, quality
 from grovespark.llm.common import held_out, table
 
 
@@ -41,6 +41,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, apart = table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), held_out(F.col("doc_id"), 5)
     network = langid.train(docs, ~apart)
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op6_pii": op6_pii,
     "op7_mixing": op7_mixing,
+    "op9_jaccard": op9_jaccard,
     "op10_langid": op10_langid,
 }
 
