@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovespark.llm import bpe, chat, jaccard, langid, mixing, pii, quality
+from grovespark.llm import bpe, chat, jaccard, langid, mixing, pii, quality, rabitq
 from grovespark.llm.common import held_out, table
 
 
@@ -52,6 +52,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rabitq.near_duplicates(table(spark, sf_dir, "embeddings"), 0.98)
+
+
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), width=3, percent=90)
 
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat": op4_chat,
     "op6_pii": op6_pii,
     "op7_mixing": op7_mixing,
+    "op8_embeddings": op8_embeddings,
     "op9_jaccard": op9_jaccard,
     "op10_langid": op10_langid,
 }
