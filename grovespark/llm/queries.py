@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovespark.llm import bpe, chat, jaccard, langid, mixing, pii, quality, rabitq
+from grovespark.llm import bpe, chat, jaccard, langid, lm, mixing, pii, quality, rabitq
 from grovespark.llm.common import held_out, table
 
 
@@ -38,6 +38,10 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.summary(chat.read_back(chat.render(chat.canonical_turns(records))))
 
 
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 10), tokenizer_path("byte_bpe_50k.tiktoken"))
+
+
 #: The key of the registered query; a user passes one of their own.
 PSEUDONYM_KEY = b"registered query"
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_quality": op3_quality,
     "op4_chat": op4_chat,
+    "op5_lm": op5_lm,
     "op6_pii": op6_pii,
     "op7_mixing": op7_mixing,
     "op8_embeddings": op8_embeddings,
