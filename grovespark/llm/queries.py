@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovespark.llm import bpe, chat, jaccard, langid, lm, mixing, pii, quality, rabitq
+from grovespark.llm import bpe, chat, jaccard, langid, lm, media, mixing, pii, quality, rabitq
 from grovespark.llm.common import held_out, table
 
 
@@ -17,6 +17,11 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = media.media_of(table(spark, sf_dir, "embeddings"))
+    return media.copies(images, F.col("media_id") % 100 == 0)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -71,6 +76,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_media": op1_media,
     "op2_bpe": op2_bpe,
     "op3_quality": op3_quality,
     "op4_chat": op4_chat,
