@@ -12,6 +12,7 @@ from grovespark.operators import grammar as gr
 from grovespark.operators import idioms
 from grovespark.operators import matching as ma
 from grovespark.operators import probability as pr
+from grovespark.operators import rewrite as rw
 from grovespark.operators import structure as st
 from grovespark.sources.relational import NODE_COLUMNS, NODES_SQL, customer_trees, read
 
@@ -634,3 +635,76 @@ def precision_at_threshold(spark, sf_dir):
 def super_packages(spark, sf_dir):
     host = F.split_part(F.regexp_replace("url", "^[a-z]+://", ""), F.lit("/"), F.lit(1))
     return read(spark, sf_dir, "pages").select("page_id", co.super_package(host).alias("package")).distinct()
+
+
+# Rewriting.
+BINARY = """
+spread AS (
+  SELECT n.*, count(*) OVER (PARTITION BY n.tree_id, n.parent_id, n.prop_idx) AS m, lag(n.node_id) OVER (PARTITION BY n.tree_id, n.parent_id, n.prop_idx ORDER BY n.child_idx) AS before, p.label AS parent_label
+  FROM nodes n LEFT JOIN nodes p ON p.tree_id = n.tree_id AND p.node_id = n.parent_id),
+binary_nodes AS (
+  SELECT tree_id, 'n' || node_id AS node_key, CASE WHEN parent_id IS NULL THEN NULL WHEN m <= 2 THEN 'n' || parent_id WHEN child_idx = m - 1 THEN 'm' || before ELSE 'm' || node_id END AS parent_key,
+    CASE WHEN parent_id IS NULL THEN NULL WHEN m > 2 THEN 0 ELSE prop_idx END AS prop_idx, CASE WHEN parent_id IS NULL THEN NULL WHEN m <= 2 THEN child_idx WHEN child_idx = m - 1 THEN 1 ELSE 0 END AS child_idx, label, node_id AS orig_node_id
+  FROM spread
+  UNION ALL
+  SELECT tree_id, 'm' || node_id, CASE WHEN child_idx = 0 THEN 'n' || parent_id ELSE 'm' || before END, CASE WHEN child_idx = 0 THEN prop_idx ELSE 1 END, 0, 'MULTI:' || parent_label, NULL
+  FROM spread WHERE parent_id IS NOT NULL AND m > 2 AND child_idx < m - 1)"""
+
+
+@query(over_nodes("SELECT * FROM binary_nodes", BINARY))
+def binarize(spark, sf_dir):
+    return rw.binarize(nodes_of(spark, sf_dir))
+
+
+@query(over_nodes("SELECT tree_id, node_id, parent_id, prop_idx, child_idx, label FROM nodes"))
+def debinarize_roundtrip(spark, sf_dir):
+    return rw.debinarize(rw.binarize(nodes_of(spark, sf_dir)))
+
+
+@query(
+    over_nodes(
+        """SELECT tree_id, parent_id, prop_idx, min(child_idx) AS first_idx, max(child_idx) AS last_idx, arg_min_null(l, child_idx) AS left_label, arg_max_null(r, child_idx) AS right_label
+FROM (SELECT *, count(*) OVER (PARTITION BY tree_id, parent_id, prop_idx) AS m, lag(label) OVER w AS l, lead(label) OVER w AS r,
+  row_number() OVER w - row_number() OVER (PARTITION BY tree_id, parent_id, prop_idx, is_root ORDER BY child_idx) AS run
+  FROM rooted WHERE parent_id IS NOT NULL WINDOW w AS (PARTITION BY tree_id, parent_id, prop_idx ORDER BY child_idx))
+WHERE m > 2 AND is_root GROUP BY tree_id, parent_id, prop_idx, run""",
+        ROOTED,
+    )
+)
+def sequential_multinode(spark, sf_dir):
+    return rw.sequential(rooted_of(spark, sf_dir))
+
+
+@query(over_nodes("SELECT tree_id, node_id, lag(label) OVER w AS left_label, lead(label) OVER w AS right_label FROM nodes WHERE parent_id IS NOT NULL WINDOW w AS (PARTITION BY tree_id, parent_id, prop_idx ORDER BY child_idx) QUALIFY count(*) OVER (PARTITION BY tree_id, parent_id, prop_idx) > 2"))
+def sibling_neighbours(spark, sf_dir):
+    return rw.neighbours(nodes_of(spark, sf_dir))
+
+
+VARS = "firsts AS (SELECT tree_id, label, min(node_id) AS f FROM nodes GROUP BY tree_id, label), vars AS (SELECT tree_id, label, CAST(row_number() OVER (PARTITION BY tree_id ORDER BY f) - 1 AS INT) AS var_id FROM firsts)"
+
+
+@query(over_nodes("SELECT tree_id, node_id, var_id FROM nodes JOIN vars USING (tree_id, label)", VARS))
+def var_reparam(spark, sf_dir):
+    return rw.reparametrize(nodes_of(spark, sf_dir))
+
+
+@query(over_nodes("SELECT n.tree_id, n.node_id, concat_ws('^', n.label, p.label) AS label FROM nodes n LEFT JOIN nodes p ON p.tree_id = n.tree_id AND p.node_id = n.parent_id"))
+def parent_annotation(spark, sf_dir):
+    return rw.annotate_parent(nodes_of(spark, sf_dir))
+
+
+@query(
+    over_nodes(
+        """SELECT n.tree_id, n.node_id, CASE WHEN v.var_id IS NULL THEN NULL ELSE 'ITEM#' || v.var_id END AS template FROM nodes n LEFT JOIN
+(SELECT tree_id, label, row_number() OVER (PARTITION BY tree_id ORDER BY min(node_id)) - 1 AS var_id FROM nodes WHERE depth = 2 GROUP BY tree_id, label) v ON v.tree_id = n.tree_id AND v.label = n.label"""
+    )
+)
+def templetize(spark, sf_dir):
+    nodes = nodes_of(spark, sf_dir)
+    return rw.templetize(nodes, nodes.where("depth = 2").select("label", F.lit("ITEM").alias("type")).distinct())
+
+
+@query(over_nodes("SELECT tree_id, node_id, CASE WHEN depth = 0 THEN NULL ELSE 0 END AS parent_id FROM nodes WHERE depth != 1"))
+def detempletize(spark, sf_dir):
+    """Orders are spliced out; their items move up to the customer."""
+    return rw.splice_out(nodes_of(spark, sf_dir), "depth = 1")
