@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The characters that separate words in every contract of this subpackage.
 WORD = r"[^\x20\x09-\x0D]+"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,9 +28,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def ascii_lower(text: Column) -> Column:
-    """Lower-case A-Z alone; other letters stay as they are."""
-    return F.translate(text, UPPER, UPPER.lower())
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the one the cluster names for checkpoints, or below one of our own where it names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    return f"{base}/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back; smaller than a checkpoint for large tables of numbers."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def held_out(doc_id: Column, folds: int) -> Column:

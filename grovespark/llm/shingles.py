@@ -25,8 +25,8 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts in order, A-Z lower-cased, and the number of words of each text."""
+def scan_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All bytes with A-Z lower-cased, begin and length of each word in them, its hash, and the number of words of each text."""
     data = [(t or "").encode() + b" " for t in texts]
     flat = FOLD[np.frombuffer(b"".join(data), dtype=np.uint8)]
     size = np.fromiter(map(len, data), dtype=np.int64, count=len(data))
@@ -34,7 +34,7 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     edge = np.flatnonzero(np.diff(blank.view(np.int8), prepend=np.int8(1)))
     heads, stops = edge[::2], edge[1::2]
     if not len(heads):
-        return np.zeros(0, dtype=np.uint64), np.zeros(len(texts), dtype=np.int64)
+        return flat, heads, heads, np.zeros(0, dtype=np.uint64), np.zeros(len(texts), dtype=np.int64)
     length = stops - heads
     offset = np.cumsum(length) - length
     solid = flat[~blank].astype(np.uint64)
@@ -42,9 +42,15 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     if length.max() > _PLACES:
         solid = solid + (place // _PLACES).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         place = place % _PLACES
-    h = np.add.reduceat((solid + np.uint64(1)) * _FACTORS[place], offset)
-    words = np.diff(np.searchsorted(heads, np.r_[0, np.cumsum(size)]))
-    return mix(h + length.astype(np.uint64)), words
+    solid += np.uint64(1)
+    solid *= _FACTORS[place]
+    h = mix(np.add.reduceat(solid, offset) + length.astype(np.uint64))
+    return flat, heads, length, h, np.diff(np.searchsorted(heads, np.r_[0, np.cumsum(size)]))
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in order, A-Z lower-cased, and the number of words of each text."""
+    return scan_words(texts)[3:]
 
 
 def shingle_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray]:
