@@ -2,18 +2,29 @@
 
 Two sets of s elements together link only if their symmetric difference is at most
 H = floor(s * (1 - t) / (1 + t)) for a threshold t.  The universe of hashes is cut
-into m segments per size band.  Of each segment either the subset itself is indexed
-(it must be equal; worth 1) or the subset and everything one deletion away (one
-difference is allowed; worth 2), so that worths add up to H + 1 and, by the
-pigeonhole principle, every linking pair shares an index entry.  How many segments
-get deletions is chosen per band from counts of all documents: entries written
-against chance meetings expected.  Documents index under their own band and the one
-below, since linking sizes lie in the same or neighbouring bands.
+into H + 1 segments per size band.  A segment's subset is indexed as it is (it must
+be equal; worth 1), and the first few segments of a band also with everything one
+deletion away (one difference is allowed; worth 2).  A set skips its empty segments,
+which many sets share by chance (worth 0), and makes up for each with a segment of
+worth 2.  Worths add up to H + 1, so by the pigeonhole principle every linking pair
+shares an index entry.  How many segments get deletions, or whether empty segments
+are indexed after all, is chosen per band by cost: entries written against chance
+meetings expected for the number of documents.  A set that has more empty segments
+than deletions can make up for is a misfit; its band gets one entry that everyone
+shares.  Documents index under their own band and the one below, since linking
+sizes lie in the same or neighbouring bands.
 
 Hashes are 64 bits; texts with equal sets form one class (64-bit key), and only
 classes are indexed, once per chunk of text, so copies don't multiply.  Sharing an
 entry makes classes candidates; every entry and chunk passes on its smallest class
-alone, hence stars and not all pairs.  Connected candidates are then verified
+alone, hence stars and not all pairs.  Entries travel packed, 40 bits of the entry
+and 40 of the class; equal codes of different classes only add candidates.
+
+With ``sigmas`` given, candidates must share several entries.  H differences spread
+over H + 1 segments leave about a share 1/e of them untouched, so a linking pair
+shares many; half of what is left that many standard deviations below the mean is
+asked for.  It keeps texts that merely share a passage apart where segments are
+small (low thresholds), at the cost of a chance of about 1e-9 to lose a link.  Connected candidates are then verified
 exactly, all against all inside a task, in blocks of bounded size: a component of
 any size is cut into blocks and every two blocks meet.  Tasks give back a spanning
 forest of the true links and not the pairs.
@@ -25,7 +36,9 @@ rows of their own; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -36,10 +49,14 @@ from grovespark.llm.common import cut
 from grovespark.llm.components import components
 from grovespark.llm.shingles import mix, set_keys, shingle_sets
 
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 2_500_000
 #: Shingles and classes that one block of a verification holds.
 BLOCK_SHINGLES = 2_000_000
 BLOCK_CLASSES = 2048
+#: Entries that one part of the index holds, about.
+PART_ENTRIES = 1_500_000
+CHUNK_ROWS = 50_000
+LOW40 = np.uint64((1 << 40) - 1)
 #: What a chance meeting costs against writing an index entry.
 MEETING_COST = 20.0
 #: Ids up to this many (16 bytes each) are broadcast; beyond it the join shuffles.
@@ -55,73 +72,122 @@ def bands(percent: int, largest: int = 1 << 40) -> np.ndarray:
     return np.array(out, dtype=np.int64)
 
 
-def allocate(low: np.ndarray, counts: dict[int, int], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per band: number of segments, and of those how many are indexed with one-deletion neighbourhoods."""
-    segments, deletions = np.zeros(len(low), dtype=np.int64), np.zeros(len(low), dtype=np.int64)
+@dataclass(frozen=True)
+class Plan:
+    """Per band: its smallest size, segments, how many of them also with deletions, whether empty ones are indexed, and whether misfits are about."""
+
+    low: np.ndarray
+    segments: np.ndarray
+    loose: np.ndarray
+    empties: np.ndarray
+    misfits: np.ndarray
+
+
+def allocate(percent: int, documents: int) -> Plan:
+    """The cheapest choice per band for so many documents."""
+    low = bands(percent)
+    segments, loose, empties = (np.zeros(len(low), dtype=np.int64) for _ in range(3))
     for s in range(len(low) - 2):
-        n = counts.get(s, 0) + counts.get(s + 1, 0)
-        if not n:
-            continue
         high, next_high = int(low[s + 1]) - 1, int(low[s + 2]) - 1
         together = max(2 * high, high + min(next_high, high * 100 // percent))
-        worth = together * (100 - percent) // (100 + percent) + 1
-        if worth == 1:  # only equal sets link
+        m = together * (100 - percent) // (100 + percent) + 1
+        if m == 1:  # only equal sets link
             continue
-        k = np.arange(worth // 2 + 1)
-        m = worth - k
-        mean = (low[s] + high) / 2 / m
-        empty = np.exp(-mean)
-        cost = (m - k) + k * (1 + mean) + MEETING_COST * n * ((m - k) * empty**2 + k * (empty * (1 + mean)) ** 2)
-        best = int(np.argmin(cost))
-        segments[s], deletions[s] = m[best], k[best]
-    return segments, deletions
-
-
-def index_entries(flat: np.ndarray, sizes: np.ndarray, keys: np.ndarray, low: np.ndarray, segments: np.ndarray, deletions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        segments[s], mean = m, float(low[s]) / m
+        empty = m * math.exp(-mean)
+        with_empties = MEETING_COST * documents * m * math.exp(-2 * mean)
+        d = np.arange(1, min(m, 2000) + 1)
+        pairs = 1 - math.exp(-mean) * (1 + mean)
+        enough = np.maximum(d * pairs - 2 * np.sqrt(d * pairs * (1 - pairs)), 0)
+        excess = np.where(enough > empty, np.exp(enough - empty - enough * np.log(np.maximum(enough, 1e-9) / empty)), 1)  # Chernoff's bound
+        with_deletions = d * (1 + mean) + MEETING_COST * documents * excess
+        if with_empties <= with_deletions.min():
+            empties[s] = 1
+        else:
+            loose[s] = d[np.argmin(with_deletions)]
+    return Plan(low, segments, loose, empties, np.zeros(len(low), dtype=bool))
+
+
+@dataclass
+class Cut:
+    """Sets cut into the segments of one scheme: for each set its segments, for each element its place."""
+
+    scheme: np.ndarray
+    m: np.ndarray
+    base: np.ndarray
+    at: np.ndarray
+    owner: np.ndarray
+    place: np.ndarray
+    edge: np.ndarray
+
+
+def cut_sets(flat: np.ndarray, sizes: np.ndarray, plan: Plan, below: int) -> Cut:
+    """By the set's own band or the band ``below`` it; segments are ranges of hashes, so sorted sets fall into slices."""
+    scheme = np.searchsorted(plan.low, sizes, side="right") - 1 - below
+    m = np.where(scheme >= 0, plan.segments[np.maximum(scheme, 0)], 0)
+    base = np.cumsum(m) - m
+    at = np.flatnonzero(np.repeat(m > 0, sizes))
+    owner = np.repeat(np.arange(len(sizes)), sizes)[at]
+    place = base[owner] + (((flat[at] >> np.uint64(32)) * m[owner].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+    return Cut(scheme, m, base, at, owner, place, np.searchsorted(place, np.arange(int(m.sum()) + 1)))
+
+
+def misfits(flat: np.ndarray, sizes: np.ndarray, plan: Plan, below: int) -> np.ndarray:
+    """Which sets have more empty segments than deletions make up for."""
+    c = cut_sets(flat, sizes, plan, below)
+    held = np.diff(c.edge)
+    of = np.repeat(np.arange(len(sizes)), c.m)
+    number = np.arange(len(of)) - np.repeat(c.base, c.m)
+    scheme = np.maximum(c.scheme, 0)
+    lacking = np.bincount(of, held == 0, minlength=len(sizes))
+    spare = np.bincount(of, (held >= 2) & (number < plan.loose[scheme][of]), minlength=len(sizes))
+    return (lacking > spare) & (c.m > 0) & (plan.empties[scheme] == 0)
+
+
+def index_entries(flat: np.ndarray, sizes: np.ndarray, keys: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
     """(entry, class) for classes whose sorted sets follow each other in ``flat``."""
-    band = np.searchsorted(low, sizes, side="right") - 1
     element = mix(flat + np.uint64(0x2545F491))
-    entries, classes = [], []
-    for scheme in (band, band - 1):
-        m = np.where(scheme >= 0, segments[np.maximum(scheme, 0)], 0)
-        base = np.cumsum(m) - m
-        total = int(m.sum())
-        if not total:
+    entries, classes = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.uint64)]
+    for below in (0, 1):
+        c = cut_sets(flat, sizes, plan, below)
+        if not c.m.any():
             continue
-        own = np.repeat(m > 0, sizes)
-        at = np.flatnonzero(own)
-        owner = np.repeat(np.arange(len(sizes)), sizes)[at]
-        segment = (((flat[at] >> np.uint64(32)) * m[owner].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
-        place = base[owner] + segment
-        edge = np.searchsorted(place, np.arange(total + 1))
-        prefix = np.r_[np.uint64(0), np.cumsum(element[at])]
-        subset = prefix[edge[1:]] - prefix[edge[:-1]]
-        number = np.arange(total) - np.repeat(base, m)
-        of = np.repeat(np.arange(len(sizes)), m)
+        prefix = np.r_[np.uint64(0), np.cumsum(element[c.at])]
+        subset, held = prefix[c.edge[1:]] - prefix[c.edge[:-1]], np.diff(c.edge)
+        of = np.repeat(np.arange(len(sizes)), c.m)
+        number, scheme = np.arange(len(of)) - np.repeat(c.base, c.m), np.maximum(c.scheme, 0)
         tag = mix((scheme[of].astype(np.uint64) << np.uint64(40)) + number.astype(np.uint64))
-        entries.append(mix(subset ^ tag))
-        classes.append(keys[of])
-        loose = segment < deletions[scheme[owner]]
-        if loose.any():
-            g = place[loose]
-            entries.append(mix((subset[g] - element[at[loose]]) ^ tag[g]))
-            classes.append(keys[owner[loose]])
-    if not entries:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
+        shown = (held > 0) | (plan.empties[scheme][of] > 0)
+        entries.append(mix(subset ^ tag)[shown])
+        classes.append(keys[of][shown])
+        g = c.place
+        near = (held[g] >= 2) & (number[g] < plan.loose[scheme][c.owner])
+        entries.append(mix((subset[g[near]] - element[c.at[near]]) ^ tag[g[near]]))
+        classes.append(keys[c.owner[near]])
+        shared = plan.misfits[scheme] & (c.m > 0)
+        entries.append(mix(scheme[shared].astype(np.uint64) + np.uint64(0xC0FFEE)))
+        classes.append(keys[shared])
     return np.concatenate(entries), np.concatenate(classes)
 
 
-def stars(entries: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One row an entry, with its smallest class; classes that met in an entry meet again in an entry named after that class."""
+def needed(plan: Plan, sigmas: float) -> np.ndarray:
+    """Per band: entries that candidates must share."""
+    m = np.where(plan.segments > 0, plan.segments, 1).astype(float)
+    mean = m * (math.exp(-1) - np.exp(-plan.low / m))
+    return np.maximum(1, np.floor((mean - sigmas * 0.31 * np.sqrt(m)) / 2)).astype(np.int64)
+
+
+def stars(entries: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(entries, their smallest class), and (class, larger class, entries shared) of those that met."""
     order = np.lexsort((classes, entries))
     entries, classes = entries[order], classes[order]
-    new = np.r_[True, entries[1:] != entries[:-1]] if len(entries) else np.zeros(0, dtype=bool)
-    head = classes[new][np.cumsum(new) - 1] if len(entries) else classes
-    apart = classes != head
-    pairs = np.unique(np.stack([head[apart], classes[apart]], axis=1), axis=0) if apart.any() else np.zeros((0, 2), dtype=np.uint64)
-    heads = np.unique(pairs[:, 0])
-    named = lambda x: mix(x ^ np.uint64(0xA5A5A5A5))
-    return np.concatenate([entries[new], named(heads), named(pairs[:, 0])]), np.concatenate([classes[new], heads, pairs[:, 1]])
+    new = np.r_[True, entries[1:] != entries[:-1]][: len(entries)]
+    head = classes[new][np.cumsum(new) - 1]
+    apart = head != classes
+    if not apart.any():
+        return entries[new], classes[new], np.zeros((0, 3), dtype=np.uint64)
+    pairs, n = np.unique(np.stack([head[apart], classes[apart]], axis=1), axis=0, return_counts=True)
+    return entries[new], classes[new], np.concatenate([pairs, n[:, None].astype(np.uint64)], axis=1)
 
 
 def chunks(batches: Iterator[pd.DataFrame], text: str, chars: int = CHUNK_CHARS) -> Iterator[pd.DataFrame]:
@@ -131,7 +197,7 @@ def chunks(batches: Iterator[pd.DataFrame], text: str, chars: int = CHUNK_CHARS)
         length = batch[text].str.len().fillna(0).to_numpy()
         start = 0
         for i, n in enumerate(length):
-            if size and size + n > chars:
+            if (size and size + n > chars) or i - start >= CHUNK_ROWS:
                 held.append(batch.iloc[start:i])
                 if any(map(len, held)):
                     yield pd.concat(held)
@@ -142,23 +208,43 @@ def chunks(batches: Iterator[pd.DataFrame], text: str, chars: int = CHUNK_CHARS)
         yield pd.concat(held)
 
 
-def classes_of(docs: DataFrame, width: int, percent: int, text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, class key (0 and null key for the empty set) and size band."""
-    low = bands(percent)
+def classes_of(docs: DataFrame, width: int, plan: Plan, text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, class key (null for the empty set), size band, and whether it is a misfit under that and under the band below."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for chunk in chunks(batches, text):
             flat, sizes = shingle_sets(chunk[text].tolist(), width)
             keys = pd.Series(set_keys(flat, sizes).view(np.int64), dtype="Int64", index=chunk.index)
             keys[sizes == 0] = pd.NA
-            yield pd.DataFrame({"doc_id": chunk.doc_id, "n_shingles": sizes, "class": keys, "band": np.searchsorted(low, sizes, side="right") - 1})
+            own, below = misfits(flat, sizes, plan, 0), misfits(flat, sizes, plan, 1)
+            yield pd.DataFrame({"doc_id": chunk.doc_id, "n_shingles": sizes, "class": keys, "band": np.searchsorted(plan.low, sizes, side="right") - 1, "own": own, "below": below})
 
-    return docs.select("doc_id", text).mapInPandas(run, "doc_id long, n_shingles long, class long, band int")
+    return docs.select("doc_id", text).mapInPandas(run, "doc_id long, n_shingles long, class long, band int, own boolean, below boolean")
 
 
-def candidates(docs: DataFrame, width: int, percent: int, segments: np.ndarray, deletions: np.ndarray, text: str = "text") -> DataFrame:
-    """Links a, b between classes such that those sharing an index entry are connected."""
-    low = bands(percent)
+def pack(*columns: np.ndarray) -> bytes:
+    """40 bits of each column, row by row."""
+    rows = np.ascontiguousarray(np.stack(columns, axis=1)).view(np.uint8).reshape(-1, len(columns), 8)
+    return rows[:, :, :5].tobytes()
+
+
+def unpack(data: bytes, columns: int) -> np.ndarray:
+    rows = np.zeros((len(data) // (5 * columns), columns, 8), dtype=np.uint8)
+    rows[:, :, :5] = np.frombuffer(data, dtype=np.uint8).reshape(-1, columns, 5)
+    return rows.reshape(-1, 8 * columns).view(np.uint64)
+
+
+def dealt_out(part: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """The rows of each part, packed."""
+    order = np.argsort(part, kind="stable")
+    part, columns = part[order], [c[order] for c in columns]
+    cuts = np.r_[0, np.flatnonzero(part[1:] != part[:-1]) + 1, len(part)].tolist() if len(part) else []
+    for x, y in zip(cuts, cuts[1:], strict=False):
+        yield int(part[x]), pack(*[c[x:y] for c in columns])
+
+
+def candidates(docs: DataFrame, width: int, plan: Plan, parts: int, text: str = "text") -> DataFrame:
+    """a, b, n: class codes that share n index entries, each with the smallest of an entry, so that sharing classes are connected."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for chunk in chunks(batches, text):
@@ -167,15 +253,32 @@ def candidates(docs: DataFrame, width: int, percent: int, segments: np.ndarray,
             first = np.zeros(len(keys), dtype=bool)
             first[np.unique(keys, return_index=True)[1]] = True
             first &= sizes > 0
-            entries, classes = index_entries(flat[np.repeat(first, sizes)], sizes[first], keys[first], low, segments, deletions)
-            entries, classes = stars(entries, classes)
-            for a in range(0, len(entries), 500_000):
-                yield pd.DataFrame({"entry": entries[a : a + 500_000].view(np.int64), "class": classes[a : a + 500_000].view(np.int64)})
-
-    found = docs.select(text).mapInPandas(run, "entry long, class long")
-    # at most one row a chunk of text meets in an entry, so no entry is hot
-    least = F.expr("min(class) OVER (PARTITION BY entry)")
-    return found.select(least.alias("a"), F.col("class").alias("b")).where("a < b").distinct()
+            entries, classes, met = stars(*index_entries(flat[np.repeat(first, sizes)], sizes[first], keys[first] & LOW40, plan))
+            part = ((entries >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)
+            packets = [(p, False, x) for p, x in dealt_out(part, entries, classes)]
+            packets += [(p, True, x) for p, x in dealt_out(mix(met[:, 0]) % np.uint64(parts), *met.T)]
+            for a in range(0, len(packets), 64):
+                yield pd.DataFrame(packets[a : a + 64], columns=["part", "met", "packed"])
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        # at most one row a chunk of text is in an entry, so no entry is hot
+        both = unpack(b"".join(group.packed[~group.met]), 2)
+        _, _, now = stars(both[:, 0].copy(), both[:, 1].copy())
+        rows = np.concatenate([now, unpack(b"".join(group.packed[group.met]), 3)]).astype(np.int64)
+        return pd.DataFrame({"a": rows[:, 0], "b": rows[:, 1], "n": rows[:, 2]})
+
+    packets = docs.select(text).mapInPandas(run, "part int, met boolean, packed binary")
+    return packets.groupBy("part").applyInPandas(meet, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def enough(found: DataFrame, members: DataFrame, plan: Plan, sigmas: float) -> DataFrame:
+    """The candidates that share as many entries as the band of the first asks for."""
+    need = needed(plan, sigmas)
+    most = int(np.flatnonzero(plan.segments)[-1]) + 1 if plan.segments.any() else 1
+    per_band = F.array(*[F.lit(int(x)) for x in need[: min(most, 400)]])
+    code = F.col("class").bitwiseAND(F.lit(int(LOW40)))
+    asked = members.where("class IS NOT NULL").groupBy(code.alias("a")).agg(F.min(F.get(per_band, F.col("band"))).alias("need"))
+    return found.join(asked, "a").where("n >= need").select("a", "b")
 
 
 def by_group(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
@@ -239,9 +342,9 @@ def true_links(sets: list[np.ndarray], block: np.ndarray, percent: int) -> list[
 
 def links(docs: DataFrame, members: DataFrame, candidate: DataFrame, width: int, percent: int, text: str = "text") -> DataFrame:
     """a, b: true links that connect exactly what true links connect."""
-    groups = candidate.withColumnRenamed("node", "class")
+    groups = candidate.withColumnRenamed("node", "code")
     one = members.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
-    placed = one.join(groups, "class")
+    placed = one.withColumn("code", F.col("class").bitwiseAND(F.lit(int(LOW40)))).join(groups, "code").drop("code")
     load = placed.groupBy("root").agg(F.sum("n").alias("load"), F.count("*").alias("classes"))
     blocks = F.greatest(F.ceil(F.col("load") / BLOCK_SHINGLES), F.ceil(F.col("classes") / BLOCK_CLASSES)).cast("int")
     chosen = cut(placed.join(load.select("root", blocks.alias("blocks")), "root").select("doc_id", "class", "root", "blocks"))
@@ -281,12 +384,18 @@ def links(docs: DataFrame, members: DataFrame, candidate: DataFrame, width: int,
     return dealt.mapInPandas(verify, "a long, b long")
 
 
-def join(docs: DataFrame, width: int, percent: int, text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id: smallest doc_id reachable over pairs with 100 * intersection >= percent * union."""
-    members = cut(classes_of(docs, width, percent, text))
-    counts = {r.band: r["count"] for r in members.where("class IS NOT NULL").groupBy("band").count().collect()}  # bands grow with the logarithm of the size
-    segments, deletions = allocate(bands(percent), counts, percent)
-    groups = components(candidates(docs, width, percent, segments, deletions, text))
+def join(docs: DataFrame, width: int, percent: int, text: str = "text", sigmas: float | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id: smallest doc_id reachable over pairs with 100 * intersection >= percent * union.
+
+    Exact; with ``sigmas`` candidates must share several entries (see above).
+    """
+    plan = allocate(percent, docs.count())
+    members = cut(classes_of(docs, width, plan, text))
+    odd = members.where("own OR below").select(F.explode(F.expr("filter(array(IF(own, band, NULL), IF(below, band - 1, NULL)), b -> b IS NOT NULL)")).alias("band")).distinct().collect()  # bands grow with the logarithm of the size
+    plan.misfits[[r.band for r in odd]] = True
+    shingles = members.agg(F.sum("n_shingles")).first()[0] or 0
+    shared = candidates(docs, width, plan, 1 + shingles // PART_ENTRIES, text)
+    groups = components(shared if sigmas is None else enough(shared, members, plan, sigmas))
     found = components(links(docs, members, groups, width, percent, text))
     rooted = members.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))

@@ -50,13 +50,14 @@ def corpus(seed, n=160):
     return list(zip(ids, texts, strict=True))
 
 
-@pytest.mark.parametrize("seed,width,percent", [(1, 3, 90), (2, 5, 80)])
-def test_matches_brute_force(spark, monkeypatch, seed, width, percent):
-    if seed == 2:  # blocks that meet two by two
+@pytest.mark.parametrize("seed,width,percent,sigmas", [(1, 3, 90, None), (2, 5, 80, None), (3, 5, 80, 6.0)])
+def test_matches_brute_force(spark, monkeypatch, seed, width, percent, sigmas):
+    if seed == 2:  # blocks that meet two by two, and few deletions, so that there are misfits
+        monkeypatch.setattr(jaccard, "MEETING_COST", 0.1)
         monkeypatch.setattr(jaccard, "BLOCK_CLASSES", 2)
     rows = corpus(seed)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = sorted(tuple(r) for r in jaccard.join(docs, width, percent).collect())
+    got = sorted(tuple(r) for r in jaccard.join(docs, width, percent, sigmas=sigmas).collect())
     assert got == brute(rows, width, percent)
 
 
@@ -68,21 +69,28 @@ def test_hot_copies_and_empty_table(spark):
     assert jaccard.join(docs.limit(0), 3, 90).count() == 0
 
 
-def test_deletions_allow_one_difference():
-    """With every segment indexed by deletions, sets within the bound still share an entry."""
+@pytest.mark.parametrize("percent,documents", [(90, 1), (90, 10**9), (80, 10**6)])
+def test_linking_sets_share_an_entry(percent, documents):
+    """Whatever the allocation, unless both sets are misfits."""
     r = np.random.default_rng(3)
-    low = jaccard.bands(90)
-    segments, deletions = jaccard.allocate(low, {b: 10**15 for b in range(60)}, 90)
-    assert deletions.any()
-    for size in (12, 20, 40, 100):
-        for _ in range(30):
+    plan = jaccard.allocate(percent, documents)
+    assert (documents == 1) == (not plan.loose[:60].any())
+    misfits = 0
+    for size in (6, 12, 20, 40, 100, 500):
+        for _ in range(60):
             one = np.unique(r.integers(0, 2**63, size, dtype=np.uint64) * np.uint64(2))
-            most = 2 * size // 19
-            cut = r.integers(0, most // 2 + 1)
+            cut = r.integers(0, 2 * size * (100 - percent) // (100 + percent) // 2 + 1)
             two = np.unique(np.r_[one[cut:], r.integers(0, 2**63, cut, dtype=np.uint64)])
-            keys = np.array([1, 2], dtype=np.uint64)
-            entries, classes = jaccard.index_entries(np.r_[one, two], np.array([len(one), len(two)]), keys, low, segments, deletions)
+            both = len(np.intersect1d(one, two))
+            if 100 * both < percent * (len(one) + len(two) - both) or cut == 0:
+                continue
+            flat, sizes, keys = np.r_[one, two], np.array([len(one), len(two)]), np.array([1, 2], dtype=np.uint64)
+            if (jaccard.misfits(flat, sizes, plan, 0) | jaccard.misfits(flat, sizes, plan, 1)).any():
+                misfits += 1
+                continue
+            entries, classes = jaccard.index_entries(flat, sizes, keys, plan)
             assert set(entries[classes == 1].tolist()) & set(entries[classes == 2].tolist())
+    assert misfits < 20
 
 
 def test_sets():
