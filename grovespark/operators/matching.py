@@ -52,22 +52,27 @@ def pattern_sizes(patterns: DataFrame) -> DataFrame:
     return patterns.groupBy("rule_id").agg(F.count("*").alias("size"))
 
 
-def match_sites(patterns: DataFrame, nodes: DataFrame, all_children: bool = False) -> DataFrame:
-    """rule_id, tree_id, anchor where every pattern node is aligned."""
-    counts = aligned(patterns, nodes, all_children).groupBy("rule_id", "tree_id", "anchor").agg(F.count("*").alias("n"))
+def whole(found: DataFrame, patterns: DataFrame) -> DataFrame:
+    """rule_id, tree_id, anchor where every pattern node is among the aligned ones."""
+    counts = found.groupBy("rule_id", "tree_id", "anchor").agg(F.count("*").alias("n"))
     return counts.join(pattern_sizes(patterns), "rule_id").where("n = size").select("rule_id", "tree_id", "anchor")
 
 
+def match_sites(patterns: DataFrame, nodes: DataFrame, all_children: bool = False) -> DataFrame:
+    """rule_id, tree_id, anchor of every match."""
+    return whole(aligned(patterns, nodes, all_children), patterns)
+
+
 def covered_nodes(patterns: DataFrame, nodes: DataFrame, all_children: bool = False) -> DataFrame:
     """rule_id, tree_id, anchor, node_id: tree nodes that each match covers."""
-    where = match_sites(patterns, nodes, all_children)
-    return aligned(patterns, nodes, all_children).join(where, ["rule_id", "tree_id", "anchor"]).select("rule_id", "tree_id", "anchor", "node_id")
+    found = aligned(patterns, nodes, all_children)
+    return found.join(whole(found, patterns), ["rule_id", "tree_id", "anchor"]).select("rule_id", "tree_id", "anchor", "node_id")
 
 
-def end_points(patterns: DataFrame, nodes: DataFrame, sites: DataFrame) -> DataFrame:
-    """rule_id, tree_id, anchor, node_id: tree nodes under the pattern's leaves."""
+def end_points(found: DataFrame, patterns: DataFrame) -> DataFrame:
+    """rule_id, tree_id, anchor, node_id: tree nodes under the leaves of whole matches among the aligned ones."""
     leaves = patterns.where("is_leaf").select("rule_id", F.col("node_id").alias("p_id"))
-    return aligned(patterns, nodes, True).join(sites, ["rule_id", "tree_id", "anchor"]).join(leaves, ["rule_id", "p_id"]).select("rule_id", "tree_id", "anchor", "node_id")
+    return found.join(whole(found, patterns), ["rule_id", "tree_id", "anchor"]).join(leaves, ["rule_id", "p_id"]).select("rule_id", "tree_id", "anchor", "node_id")
 
 
 def supertree_sites(patterns: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -76,10 +76,11 @@ def inside_log2(nodes: DataFrame, grammar_nodes: DataFrame, rule_log2: DataFrame
     a node no rule's head fits passes its children's product on; leaves count 1.
     One join a level, deepest first.
     """
-    from grovespark.operators.matching import end_points, match_sites
+    from grovespark.operators.matching import aligned, end_points
+    from grovespark.plans.state import cut
 
-    sites = match_sites(grammar_nodes, nodes, all_children=True)
-    ends = end_points(grammar_nodes, nodes, sites)
+    grammar_nodes = cut(grammar_nodes)
+    ends = cut(end_points(cut(aligned(grammar_nodes, nodes, all_children=True)), grammar_nodes))
     heads = grammar_nodes.where("parent_id IS NULL").select("label").distinct()
     values = nodes.where("is_leaf").select("tree_id", "node_id", F.lit(0.0).alias("log2p"))
     for level in range(depth, -1, -1):
@@ -91,7 +92,7 @@ def inside_log2(nodes: DataFrame, grammar_nodes: DataFrame, rule_log2: DataFrame
         with_head = at.join(heads, "label", "left_semi").join(built, ["tree_id", "anchor"], "left").select("tree_id", F.col("anchor").alias("node_id"), F.coalesce("log2p", F.lit(float("-inf"))).alias("log2p"))
         children = nodes.select("tree_id", "node_id", F.col("parent_id").alias("anchor")).join(values, ["tree_id", "node_id"])
         passed = at.join(heads, "label", "left_anti").join(children.groupBy("tree_id", "anchor").agg(F.sum("log2p").alias("log2p")), ["tree_id", "anchor"]).select("tree_id", F.col("anchor").alias("node_id"), "log2p")
-        values = values.unionByName(with_head).unionByName(passed)
+        values = cut(values.unionByName(with_head).unionByName(passed))
     return values.where("node_id = 0").select("tree_id", "log2p")
 
 

@@ -13,8 +13,13 @@ from grovespark.operators import idioms
 from grovespark.operators import matching as ma
 from grovespark.operators import probability as pr
 from grovespark.operators import rewrite as rw
+from grovespark.operators import sampling as sa
 from grovespark.operators import structure as st
+from grovespark.plans.state import cut
+from grovespark.plans.train import train
+from grovespark.sources import text as tx
 from grovespark.sources.relational import NODE_COLUMNS, NODES_SQL, customer_trees, read
+from grovespark.streaming import counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -708,3 +713,98 @@ def templetize(spark, sf_dir):
 def detempletize(spark, sf_dir):
     """Orders are spliced out; their items move up to the customer."""
     return rw.splice_out(nodes_of(spark, sf_dir), "depth = 1")
+
+
+# Sampling, generation, sources and sinks.
+@query(
+    over_nodes(
+        """SELECT r.tree_id, r.node_id, round(1 / (1 + pow(2, s - j)), 9) AS p FROM (SELECT tree_id, node_id, -CAST(node_id % 13 AS DOUBLE) / 2 AS j, -CAST(tree_id % 7 AS DOUBLE) / 3 AS s FROM nodes WHERE depth = 1) r"""
+    )
+)
+def join_probability(spark, sf_dir):
+    sites = nodes_of(spark, sf_dir).where("depth = 1")
+    p = sa.join_probability(-(F.col("node_id") % 13).cast("double") / 2, -(F.col("tree_id") % 7).cast("double") / 3)
+    return sites.select("tree_id", "node_id", F.round(p, 9).alias("p"))
+
+
+BLOCK = """
+kinds AS (SELECT n.label AS site_type, count(*) % 12 + 1 AS n, count(*) % 5 % (count(*) % 12 + 2) AS n_split FROM nodes n WHERE depth = 1 GROUP BY n.label),
+scores AS (
+  SELECT site_type, m, lgamma(n + 1) / ln(2) - lgamma(m + 1) / ln(2) - lgamma(n - m + 1) / ln(2)
+    + coalesce(list_sum(list_transform(range(m), lambda i: log2(40 - n_split + i + 0.05) - log2(200 - n + i + 10) + log2(30 - n_split + i + 0.2) - log2(150 - n_split + i + 10))), 0)
+    + coalesce(list_sum(list_transform(range(n - m), lambda i: log2(20 - (n - n_split) + i + 0.01) - log2(200 - n + i + m + 10))), 0) AS score
+  FROM kinds, unnest(range(n + 1)) t(m))"""
+
+
+@query(over_nodes("SELECT site_type, m, round(score, 6) AS score FROM scores", BLOCK))
+def samplem_scores(spark, sf_dir):
+    kinds = nodes_of(spark, sf_dir).where("depth = 1").groupBy(F.col("label").alias("site_type")).agg(F.count("*").alias("c"))
+    kinds = kinds.withColumn("n", F.col("c") % 12 + 1).withColumn("n_split", F.col("c") % 5 % (F.col("n") + 1))
+    fixed = lambda **x: {k: F.lit(v) for k, v in x.items()}
+    scores = sa.block_scores(F.col("n"), F.col("n_split"), fixed(u=40, l=30, j=20, nu=200, nl=150), fixed(u=0.005, l=0.02, j=0.001), F.lit(0), F.lit(0), 10.0)
+    return kinds.select("site_type", F.posexplode(scores).alias("m", "score")).select("site_type", F.col("m").cast("long").alias("m"), F.round("score", 6).alias("score"))
+
+
+@query()
+def gibbs_train(spark, sf_dir):
+    """Three sweeps; the grammar of the last."""
+    grammar, _ = train(nodes_of(spark, sf_dir), 3, alpha=1.0, mean_size=10.0)
+    return grammar
+
+
+@query()
+def hyperparameter_grid(spark, sf_dir):
+    found, priors = fragment_priors(spark, sf_dir)
+    scored = pr.fragment_posteriors(found, priors, alpha=1.0)
+    distinct = scored.groupBy("head", "rhs").agg(F.first("cnt").alias("cnt"), F.first("total").alias("total"), F.avg("prior").alias("prior"), F.first("size").alias("size"))
+    return sa.hyperparameters(distinct, [0.5, 1.0, 10.0, 100.0], [2.0, 5.0, 20.0])
+
+
+@query()
+def generate_cfg(spark, sf_dir):
+    """A random tree for every customer, from the rules of all trees."""
+    nodes = nodes_of(spark, sf_dir)
+    heads = nodes.where("parent_id IS NULL").select(F.col("tree_id").alias("sample"), F.col("label").alias("head"))
+    return sa.generate(heads, gr.count_rules(gr.rules_of_nodes(nodes)), 7, 3)
+
+
+@query()
+def generate_tsg(spark, sf_dir):
+    rooted = rooted_of(spark, sf_dir)
+    heads = rooted.where("parent_id IS NULL").select(F.col("tree_id").alias("sample"), F.col("label").alias("head"))
+    return sa.generate_fragments(heads, gr.count_rules(gr.fragments(rooted)), 7, 3)
+
+
+@query()
+def inside_logprob(spark, sf_dir):
+    """Trees of customers under the grammar of their own fragments of every fifth customer."""
+    rooted = cut(rooted_of(spark, sf_dir))
+    grammar = gr.count_rules(gr.fragments(rooted.where("tree_id % 5 = 0")))
+    rules = cut(gr.ml_probabilities(grammar).withColumn("rule_id", F.xxhash64("head", "rhs")))
+    forms = idioms.parse_forms(rules.select("rule_id", F.regexp_replace("rhs", r"\*", "").alias("form")))
+    return pr.inside_log2(rooted, forms, rules.select("rule_id", F.log2("p").alias("log2p")), 2)
+
+
+@query()
+def html_trees(spark, sf_dir):
+    return tx.html_trees(read(spark, sf_dir, "pages"))
+
+
+@query()
+def json_export(spark, sf_dir):
+    return tx.nested_json(nodes_of(spark, sf_dir))
+
+
+@query(over_nodes("SELECT tree_id, string_agg(repeat('-', depth) || CASE WHEN parent_id IS NULL THEN '' ELSE '(' || prop_idx || ')' END || label, chr(10) ORDER BY node_id) AS text FROM nodes GROUP BY tree_id"))
+def tree_printer(spark, sf_dir):
+    return tx.pretty(nodes_of(spark, sf_dir))
+
+
+@query(over_nodes("SELECT head, rhs, CAST(sum(cnt) OVER (PARTITION BY head) AS BIGINT) AS total, cnt, printf('>Prob %.5f (%d)', CAST(cnt AS DOUBLE) / sum(cnt) OVER (PARTITION BY head), cnt) AS line FROM tsg", ROOTED, FRAGMENTS))
+def grammar_printer(spark, sf_dir):
+    return tx.report(gr.count_rules(gr.fragments(rooted_of(spark, sf_dir))))
+
+
+@query("SELECT l_returnflag || l_linestatus AS label, count(*) AS n FROM lineitem GROUP BY 1")
+def stream_label_counts(spark, sf_dir):
+    return counts.run_to_end(counts.label_counts(counts.item_stream(spark, sf_dir)))

@@ -1 +1 @@
-
+"""Counts kept up to date over arriving data."""
