@@ -28,14 +28,16 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
+from grovespark.llm.common import batched
+
 #: The code points that count as white space, and the pattern that splits text before merging.
 SPACES = [0x20, *range(0x09, 0x0E), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 PATTERN = r"'(?:s|t|re|ve|m|ll|d)| ?{letters}+| ?{numbers}+| ?{others}+|{spaces}+(?!{visible})|{spaces}+"
 
 #: Distinct words whose ids a task remembers; it forgets all of them when there are more.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 #: Characters of text whose new words are merged together.
-CHUNK_CHARS = 6_000_000
+CHUNK_CHARS = 2_500_000
 
 
 def char_class(chars: str, negated: bool = False) -> str:
@@ -223,6 +225,17 @@ def chunks(texts: list[str], chars: int = CHUNK_CHARS) -> Iterator[list[str]]:
         yield out
 
 
+def rows_of(batch: pd.DataFrame, text: str) -> Iterator[pd.DataFrame]:
+    """The batch in frames of one chunk of text each, to bound what is held at once."""
+    size, start = 0, 0
+    for i, n in enumerate(batch[text].str.len().fillna(0)):
+        if size and size + n > CHUNK_CHARS:
+            yield batch.iloc[start:i]
+            size, start = 0, i
+        size += n
+    yield batch.iloc[start:]
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), decoded: bool = True) -> DataFrame:
     """``keep`` columns with ``ids`` (array of int) and, if asked for, the text decoded from them."""
     shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(path))
@@ -230,11 +243,16 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = Codec(shared.value)
         for batch in batches:
-            ids = [x for x, _ in codec.encode_all(batch[text].tolist())]
-            out = batch[list(keep)].assign(ids=ids)
-            yield out.assign(decoded=[codec.decode(x).decode() for x in ids]) if decoded else out
-
-    kept = docs.select(*keep, text)
+            for part in rows_of(batch, text):
+                ids, back = [], []
+                for x, _ in codec.encode_all(part[text].tolist()):
+                    ids.append(np.array(x, dtype=np.int32))
+                    if decoded:
+                        back.append(codec.decode(x).decode())
+                out = part[list(keep)].assign(ids=ids)
+                yield out.assign(decoded=back) if decoded else out
+
+    kept = batched(docs).select(*keep, text)
     return kept.mapInPandas(run, _schema(kept, keep) + ", ids array<int>" + ", decoded string" * decoded)
 
 
@@ -252,7 +270,7 @@ def digests(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...
             n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
             yield batch[list(keep)].assign(n_tokens=n, ids_sha256=a, decoded_sha256=b)
 
-    kept = docs.select(*keep, text)
+    kept = batched(docs).select(*keep, text)
     return kept.mapInPandas(run, _schema(kept, keep) + ", n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 

@@ -41,6 +41,22 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+#: Rows that go to Python at once where rows are whole documents.
+BATCH_ROWS = 1000
+
+
+def batched(docs: DataFrame) -> DataFrame:
+    """``docs``, with the session set to hand whole documents to Python in smaller batches than rows of numbers.
+
+    Ten thousand documents a batch are held several times over, by the executor and
+    by Python.  A smaller setting of the user's stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(docs.sparkSession.conf.get(name)) > BATCH_ROWS:
+        docs.sparkSession.conf.set(name, BATCH_ROWS)
+    return docs
+
+
 def held_out(doc_id: Column, folds: int) -> Column:
     """True for the rows that training may not see: crc32 of the id as text, modulo ``folds``, is 0."""
     return F.crc32(doc_id.cast("string").cast("binary")) % folds == 0

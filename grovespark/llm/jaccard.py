@@ -45,16 +45,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grovespark.llm.common import cut
+from grovespark.llm.common import batched, cut
 from grovespark.llm.components import components
 from grovespark.llm.shingles import mix, set_keys, shingle_sets
 
-CHUNK_CHARS = 2_500_000
+CHUNK_CHARS = 2_000_000
 #: Shingles and classes that one block of a verification holds.
-BLOCK_SHINGLES = 2_000_000
+BLOCK_SHINGLES = 1_000_000
 BLOCK_CLASSES = 2048
 #: Entries that one part of the index holds, about.
-PART_ENTRIES = 1_500_000
+PART_ENTRIES = 1_000_000
 CHUNK_ROWS = 50_000
 LOW40 = np.uint64((1 << 40) - 1)
 #: What a chance meeting costs against writing an index entry.
@@ -389,6 +389,7 @@ def join(docs: DataFrame, width: int, percent: int, text: str = "text", sigmas:
 
     Exact; with ``sigmas`` candidates must share several entries (see above).
     """
+    docs = batched(docs)
     plan = allocate(percent, docs.count())
     members = cut(classes_of(docs, width, plan, text))
     odd = members.where("own OR below").select(F.explode(F.expr("filter(array(IF(own, band, NULL), IF(below, band - 1, NULL)), b -> b IS NOT NULL)")).alias("band")).distinct().collect()  # bands grow with the logarithm of the size

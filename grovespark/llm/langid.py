@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grovespark.llm.common import batched
+
 UNDETERMINED = "und"
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -182,7 +184,7 @@ def train(docs: DataFrame, usable: Column, per_language: int = PER_LANGUAGE) ->
 
 def predict(docs: DataFrame, network: Network, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns with lang_pred and score (mean probability of that language)."""
-    kept = docs.select(*dict.fromkeys([*keep, text]))
+    kept = batched(docs).select(*dict.fromkeys([*keep, text]))
     shared = docs.sparkSession.sparkContext.broadcast(network)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

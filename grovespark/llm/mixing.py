@@ -8,8 +8,7 @@ every rerun, and every executor that repeats a lost task, draws alike.
 The per-source table has one row a source and is the only thing that is joined
 back; documents are never shuffled.  A source with a third of all rows costs
 nothing extra: sums are formed before the shuffle and the join sends the small
-side.  Spark broadcasts that side only while its measured size is below the
-session's threshold and shuffles otherwise.
+side as long as it has few rows, which is counted first.
 
 Defined results: null text has size 0; null source is a source of its own, last
 in order; a source whose documents are all empty has target 0 and takes nothing;
@@ -27,6 +26,8 @@ from grovespark.llm.common import WORD, cut
 SEED = "mix-1"
 #: No source is repeated more often than this.
 MOST = 3
+#: A per-source table of up to so many rows (some 100 bytes each) is broadcast.
+BROADCAST_SOURCES = 100_000
 
 
 def words(text: Column) -> Column:
@@ -79,8 +80,11 @@ def copies(docs: DataFrame, seed: str = SEED, most: int = MOST) -> DataFrame:
 
 def emit(docs: DataFrame, seed: str = SEED, most: int = MOST) -> DataFrame:
     """The mixed documents: every row of ``docs`` as often as the mix takes it, all columns kept."""
-    sized = cut(docs.select("source", words(F.col("text")).alias("size")).groupBy("source").agg(F.sum("size").alias("size")))
+    sized = docs.select("source", words(F.col("text")).alias("size")).groupBy("source").agg(F.sum("size").alias("size"))
     per_source = targets(sized, most).select(F.col("source").alias("_of"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("_rate"))
+    per_source = cut(per_source)
+    if per_source.count() <= BROADCAST_SOURCES:  # else documents are shuffled by source, and the engine splits hot ones
+        per_source = F.broadcast(per_source)
     n = F.floor("_rate") + F.when(draw(F.col("doc_id"), seed) < F.col("_rate") - F.floor("_rate"), 1).otherwise(0)
     joined = docs.join(per_source, docs["source"].eqNullSafe(F.col("_of")))
     return joined.withColumn("_n", F.explode(F.array_repeat(F.lit(0), n.cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -25,6 +25,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from grovespark.llm.common import batched
+
 ROUNDS = 10
 KINDS = ("email", "secret", "iban", "card", "ip", "phone", "ssn", "date")
 
@@ -226,7 +228,7 @@ class Pseudonyms:
 
 def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, the text with pseudonyms, and ``kinds``: what was replaced, in order."""
-    kept = docs.select(*dict.fromkeys([*keep, text]))
+    kept = batched(docs).select(*dict.fromkeys([*keep, text]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         work = Pseudonyms(key)
