@@ -20,14 +20,21 @@ entry makes classes candidates; every entry and chunk passes on its smallest cla
 alone, hence stars and not all pairs.  Entries travel packed, 40 bits of the entry
 and 40 of the class; equal codes of different classes only add candidates.
 
-With ``sigmas`` given, candidates must share several entries.  H differences spread
-over H + 1 segments leave about a share 1/e of them untouched, so a linking pair
-shares many; half of what is left that many standard deviations below the mean is
-asked for.  It keeps texts that merely share a passage apart where segments are
-small (low thresholds), at the cost of a chance of about 1e-9 to lose a link.  Connected candidates are then verified
-exactly, all against all inside a task, in blocks of bounded size: a component of
-any size is cut into blocks and every two blocks meet.  Tasks give back a spanning
-forest of the true links and not the pairs.
+Connected candidates are then verified exactly, all against all inside a task, in
+blocks of bounded size: a component of any size is cut into blocks and every two
+blocks meet.  Tasks give back a spanning forest of the true links and not the pairs.
+
+Where segments are small (low thresholds), texts that merely share a passage meet, and
+components grow with the table.  Components of more than one block are therefore
+refined first, and exactly so.  A link needs an intersection of at least t times
+either set, so a class with fewer shingles in other classes of its component links
+with none and leaves.  Of linking sets sorted by one order, the first s - ceil(t * s) + 1
+shingles of both have one in common; the order is rarest in the component first, and
+only classes that share such a shingle stay together.
+
+With ``sigmas`` given, candidates must share several entries, as stars count them: an
+entry counts for its smallest class alone, so true links between versions of a text
+that many other versions share entries with can be lost.  No query uses it.
 
 Defined results: null, empty and blank texts have the empty set and stand alone;
 texts of fewer than ``width`` words have one shingle; repeated doc_ids are
@@ -340,30 +347,100 @@ def true_links(sets: list[np.ndarray], block: np.ndarray, percent: int) -> list[
     return kept
 
 
+def texts_of(docs: DataFrame, chosen: DataFrame, text: str) -> DataFrame:
+    """``chosen`` with the text of its doc_id; few ids are broadcast."""
+    if chosen.count() <= BROADCAST_IDS:
+        chosen = F.broadcast(chosen)
+    return docs.select("doc_id", text).join(chosen, "doc_id")
+
+
+def own_sets(chunk: pd.DataFrame, width: int, text: str) -> tuple[pd.DataFrame, list[np.ndarray]]:
+    """The rows whose text is the one of their class, and their sets; rows of one doc_id may have other texts."""
+    flat, sizes = shingle_sets(chunk[text].tolist(), width)
+    end = np.cumsum(sizes)
+    own = set_keys(flat, sizes).view(np.int64) == chunk["class"].to_numpy()
+    return chunk[own], [flat[e - s : e] for e, s in zip(end[own], sizes[own], strict=True)]
+
+
+def shared_shingles(rows: DataFrame, width: int, parts: int, text: str) -> DataFrame:
+    """code, n: how many shingles of a class (its lower 40 bits) are also in other classes of its root, or more than that where hashes collide."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for chunk in chunks(batches, text):
+            kept, sets = own_sets(chunk.drop_duplicates(["class", text]), width, text)
+            if not len(kept):
+                continue
+            codes, size = kept["class"].to_numpy().view(np.uint64) & LOW40, [len(x) for x in sets]
+            shingle = mix(np.concatenate(sets) ^ np.repeat(mix(kept["root"].to_numpy().view(np.uint64) + np.uint64(1)), size))
+            owner = np.repeat(np.arange(len(sets)), size)
+            shingle, first, back, often = np.unique(shingle, return_index=True, return_inverse=True, return_counts=True)
+            here = np.bincount(owner, often[back] > 1, minlength=len(sets)).astype(np.uint64)
+            part = ((shingle >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)
+            one, rest = often == 1, often > 1
+            # a shingle of several classes of the chunk counts already and goes on once
+            packets = [(p, 0, x) for p, x in dealt_out(part[one], shingle[one], codes[owner[first[one]]])]
+            packets += [(p, 1, x) for p, x in dealt_out(part[rest], shingle[rest])]
+            packets += [(p, 2, x) for p, x in dealt_out(mix(codes) % np.uint64(parts), codes, here)]
+            for a in range(0, len(packets), 64):
+                yield pd.DataFrame(packets[a : a + 64], columns=["part", "kind", "packed"])
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        one, rest, here = (unpack(b"".join(group.packed[group.kind == k]), c) for k, c in ((0, 2), (1, 1), (2, 2)))
+        _, back, often = np.unique(np.r_[one[:, 0], rest[:, 0]], return_inverse=True, return_counts=True)
+        code, n = np.unique(one[often[back[: len(one)]] > 1, 1], return_counts=True)
+        return pd.DataFrame({"code": np.r_[code, here[:, 0]].astype(np.int64), "n": np.r_[n, here[:, 1]].astype(np.int64)})
+
+    packets = rows.mapInPandas(run, "part int, kind int, packed binary")
+    return packets.groupBy("part").applyInPandas(meet, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def refined(docs: DataFrame, large: DataFrame, width: int, percent: int, text: str = "text") -> DataFrame:
+    """doc_id, class, n, root: those of ``large`` that may link, with roots such that links are within one as before."""
+    load = large.agg(F.sum("n")).first()[0] or 0
+    rows = texts_of(docs, large.select("doc_id", "class", "root"), text).select("class", "root", text)
+    counted = shared_shingles(rows, width, 1 + load // PART_ENTRIES, text).withColumnRenamed("n", "shared")
+    left = cut(large.withColumn("code", F.col("class").bitwiseAND(F.lit(int(LOW40)))).join(counted, "code").where(F.col("shared") * 100 >= F.col("n") * percent).drop("code", "shared"))
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for chunk in chunks(batches, text):
+            kept, found = own_sets(chunk.drop_duplicates(["class", text]), width, text)
+            yield kept[["class", "root", "n"]].assign(elements=[x.view(np.int64) for x in found])
+
+    told = texts_of(docs, left, text).select("class", "root", "n", text).mapInPandas(sets, "class long, root long, n long, elements array<long>")
+    each = cut(told).select("class", "root", "n", F.explode("elements").alias("shingle"))
+    often = each.groupBy("root", "shingle").agg(F.count("*").alias("often"))
+    ranked = each.join(often, ["root", "shingle"]).groupBy("class", "root", "n").agg(F.sort_array(F.collect_set(F.struct("often", "shingle"))).alias("ranked"))
+    least = F.ceil(F.col("n") * percent / 100).cast("int")
+    begin = cut(ranked.select("class", "root", F.explode(F.slice("ranked", F.lit(1), F.col("n").cast("int") - least + 1)).alias("x")).select("class", "root", "x.shingle"))
+    heads = begin.groupBy("root", "shingle").agg(F.min("class").alias("a"))
+    groups = components(begin.join(heads, ["root", "shingle"]).select("a", F.col("class").alias("b")))
+    return left.drop("root").join(groups.withColumnRenamed("node", "class"), "class").select("doc_id", "class", "n", "root")
+
+
 def links(docs: DataFrame, members: DataFrame, candidate: DataFrame, width: int, percent: int, text: str = "text") -> DataFrame:
     """a, b: true links that connect exactly what true links connect."""
     groups = candidate.withColumnRenamed("node", "code")
     one = members.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
     placed = one.withColumn("code", F.col("class").bitwiseAND(F.lit(int(LOW40)))).join(groups, "code").drop("code")
-    load = placed.groupBy("root").agg(F.sum("n").alias("load"), F.count("*").alias("classes"))
-    blocks = F.greatest(F.ceil(F.col("load") / BLOCK_SHINGLES), F.ceil(F.col("classes") / BLOCK_CLASSES)).cast("int")
-    chosen = cut(placed.join(load.select("root", blocks.alias("blocks")), "root").select("doc_id", "class", "root", "blocks"))
-    if chosen.count() <= BROADCAST_IDS:
-        chosen = F.broadcast(chosen)
+    def with_blocks(placed: DataFrame) -> DataFrame:
+        load = placed.groupBy("root").agg(F.sum("n").alias("load"), F.count("*").alias("classes"))
+        blocks = F.greatest(F.ceil(F.col("load") / BLOCK_SHINGLES), F.ceil(F.col("classes") / BLOCK_CLASSES)).cast("int")
+        return cut(placed.join(load.select("root", blocks.alias("blocks")), "root").select("doc_id", "class", "n", "root", "blocks"))
+
+    chosen = with_blocks(placed)
+    large = chosen.where("blocks > 1").drop("blocks")
+    if not large.isEmpty():
+        chosen = chosen.where("blocks = 1").union(with_blocks(refined(docs, large, width, percent, text)))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for chunk in chunks(batches, text):
-            flat, sizes = shingle_sets(chunk[text].tolist(), width)
-            end = np.cumsum(sizes)
-            own = set_keys(flat, sizes).view(np.int64) == chunk["class"].to_numpy()  # rows of one doc_id may have other texts
-            out = chunk[["class", "root", "blocks"]].assign(elements=[flat[e - s : e].tobytes() for e, s in zip(end, sizes, strict=True)])
-            yield out[own]
+            kept, found = own_sets(chunk, width, text)
+            yield kept[["class", "root", "blocks"]].assign(elements=[x.tobytes() for x in found])
 
     own_block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
     meet = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = (
-        docs.select("doc_id", text)
-        .join(chosen, "doc_id")
+        texts_of(docs, chosen, text)
         .select("class", "root", "blocks", text)
         .mapInPandas(sets, "class long, root long, blocks int, elements binary")
         .withColumn("own", own_block)
@@ -387,7 +464,7 @@ def links(docs: DataFrame, members: DataFrame, candidate: DataFrame, width: int,
 def join(docs: DataFrame, width: int, percent: int, text: str = "text", sigmas: float | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id: smallest doc_id reachable over pairs with 100 * intersection >= percent * union.
 
-    Exact; with ``sigmas`` candidates must share several entries (see above).
+    Exact; with ``sigmas`` candidates must share several entries, which can lose links (see above).
     """
     docs = batched(docs)
     plan = allocate(percent, docs.count())

@@ -69,6 +69,23 @@ def test_hot_copies_and_empty_table(spark):
     assert jaccard.join(docs.limit(0), 3, 90).count() == 0
 
 
+@pytest.mark.parametrize("block", [2048, 16])
+def test_pipeline_links_two_of_many_loose_versions(spark, monkeypatch, block):
+    """Every entry of the one linking pair is also in some of the loose versions, which link with nothing."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    monkeypatch.setattr(jaccard, "BLOCK_CLASSES", block)
+    r = random.Random(5)
+    base = [f"w{r.randrange(10**6)}" for _ in range(1000)]
+    rows = [(k, " ".join(f"v{k}x{i}" if r.random() < 0.11 else w for i, w in enumerate(base))) for k in range(1000)]
+    rows += [(2000, " ".join(base)), (2001, " ".join(f"new{i}" if i % 45 == 20 else w for i, w in enumerate(base)))]
+    one, *others = [sets_of(t, 5) for _, t in reversed(rows)]
+    alike = [len(one & s) / len(one | s) for s in others]
+    assert 0.8 <= alike[0] < 0.81 and max(alike[1:]) < 0.6
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = {x.doc_id for x in corpus_pipeline.one_of_near_copies(spark, docs, "").collect()}
+    assert {i for i, _ in rows} - kept == {2001}
+
+
 @pytest.mark.parametrize("percent,documents", [(90, 1), (90, 10**9), (80, 10**6)])
 def test_linking_sets_share_an_entry(percent, documents):
     """Whatever the allocation, unless both sets are misfits."""
