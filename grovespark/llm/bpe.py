@@ -28,7 +28,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from grovespark.llm.common import batched
+from grovespark.llm.common import batched, kept_columns, schema_of
 
 #: The code points that count as white space, and the pattern that splits text before merging.
 SPACES = [0x20, *range(0x09, 0x0E), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -237,7 +237,8 @@ def rows_of(batch: pd.DataFrame, text: str) -> Iterator[pd.DataFrame]:
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), decoded: bool = True) -> DataFrame:
-    """``keep`` columns with ``ids`` (array of int) and, if asked for, the text decoded from them."""
+    """``keep`` columns with ``ids`` (array of int) and, if asked for, the text decoded from them; these take the place of kept columns of their name."""
+    own = kept_columns(keep, ("ids", "decoded") if decoded else ("ids",))
     shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(path))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -249,15 +250,16 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
                     ids.append(np.array(x, dtype=np.int32))
                     if decoded:
                         back.append(codec.decode(x).decode())
-                out = part[list(keep)].assign(ids=ids)
+                out = part[own].assign(ids=ids)
                 yield out.assign(decoded=back) if decoded else out
 
-    kept = batched(docs).select(*keep, text)
-    return kept.mapInPandas(run, _schema(kept, keep) + ", ids array<int>" + ", decoded string" * decoded)
+    kept = batched(docs).select(*dict.fromkeys([*own, text]))
+    return kept.mapInPandas(run, schema_of(kept, own) + "ids array<int>" + ", decoded string" * decoded)
 
 
 def digests(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """As ``encode``, but with the length and digests in place of the ids and the text, which then never leave Python."""
+    own = kept_columns(keep, ("n_tokens", "ids_sha256", "decoded_sha256"))
     shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(path))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -268,11 +270,7 @@ def digests(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...
                 for ids, written in codec.encode_all(batch[text].tolist())
             ]
             n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
-            yield batch[list(keep)].assign(n_tokens=n, ids_sha256=a, decoded_sha256=b)
+            yield batch[own].assign(n_tokens=n, ids_sha256=a, decoded_sha256=b)
 
-    kept = batched(docs).select(*keep, text)
-    return kept.mapInPandas(run, _schema(kept, keep) + ", n_tokens long, ids_sha256 string, decoded_sha256 string")
-
-
-def _schema(df: DataFrame, keep: tuple[str, ...]) -> str:
-    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+    kept = batched(docs).select(*dict.fromkeys([*own, text]))
+    return kept.mapInPandas(run, schema_of(kept, own) + "n_tokens long, ids_sha256 string, decoded_sha256 string")

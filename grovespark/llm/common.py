@@ -16,22 +16,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder that the cluster names and read it back.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the one set with ``setCheckpointDir``.
 
-    A folder of our own is set only where none is configured, as in tests.
+    Where there is neither, a session on one machine, as in tests, gets a temporary
+    folder of its own; a cluster gets an error, since a local folder would lose data.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if base is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
     if context.getCheckpointDir() is None:
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(base)
+    return base
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the checkpoint folder and read it back."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one the cluster names for checkpoints, or below one of our own where it names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base}/{uuid.uuid4().hex}"
+    """A new folder below the checkpoint folder."""
+    return f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Remove a folder on whatever file system it is."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, lengthened where a column has one of them already, whatever its case."""
+    used = {c.lower() for c in taken}
+    return [next(n for k in range(len(used) + 1) if (n := name + "_" * k).lower() not in used) for name in names]
+
+
+def kept_columns(keep: tuple[str, ...], names: tuple[str, ...]) -> list[str]:
+    """``keep`` once each, without columns whose place the operator's own columns take."""
+    own = {n.lower() for n in names}
+    return [c for c in dict.fromkeys(keep) if c.lower() not in own]
+
+
+def schema_of(df: DataFrame, keep: list[str]) -> str:
+    return "".join(f"`{c.replace('`', '``')}` {df.schema[c].dataType.simpleString()}, " for c in keep)
 
 
 def stored(df: DataFrame) -> DataFrame:

@@ -1,44 +1,45 @@
 """N-gram Jaccard join by universe-partition pigeonhole.
 
 Two sets of s elements together link only if their symmetric difference is at most
-H = floor(s * (1 - t) / (1 + t)) for a threshold t.  The universe of hashes is cut
-into H + 1 segments per size band.  A segment's subset is indexed as it is (it must
-be equal; worth 1), and the first few segments of a band also with everything one
-deletion away (one difference is allowed; worth 2).  A set skips its empty segments,
-which many sets share by chance (worth 0), and makes up for each with a segment of
-worth 2.  Worths add up to H + 1, so by the pigeonhole principle every linking pair
-shares an index entry.  How many segments get deletions, or whether empty segments
-are indexed after all, is chosen per band by cost: entries written against chance
-meetings expected for the number of documents.  A set that has more empty segments
-than deletions can make up for is a misfit; its band gets one entry that everyone
-shares.  Documents index under their own band and the one below, since linking
-sizes lie in the same or neighbouring bands.
-
-Hashes are 64 bits; texts with equal sets form one class (64-bit key), and only
-classes are indexed, once per chunk of text, so copies don't multiply.  Sharing an
-entry makes classes candidates; every entry and chunk passes on its smallest class
-alone, hence stars and not all pairs.  Entries travel packed, 40 bits of the entry
-and 40 of the class; equal codes of different classes only add candidates.
+H = floor(s * (1 - t) / (1 + t)) for a threshold t.  Per size band the universe of
+hashes is cut into segments.  What a set has in a segment is indexed as it is (it must
+be equal, so one difference spoils it), and for the first few segments of a band also
+with everything one deletion away (two differences must fall there to spoil it).  Empty
+segments, which many sets share by chance, are skipped.  A band has so many segments
+that whatever H differences spoil, linking sets still share K index entries.  How many
+segments have deletions, and how many spare ones make up for empty ones, is chosen per
+band by cost: entries written against meetings over shingles that unrelated texts have
+as well.  A set with so many empty segments that K entries are not certain is a
+misfit; a pair is safe if one of the two fits, and misfits meet each other in an index
+of their own, over the first n - ceil(t * n) + 1 shingles in the order of the hashes, of
+which linking sets have one in common.  Documents index under their own band and the
+one below, since linking sizes lie in the same or neighbouring bands.
+
+So a class (the texts of one set) that shares fewer than K entries of a band with other
+classes links with none there, and goes; texts that merely share a passage mostly end
+here.  The rest is joined over the entries that they share: each entry connects its
+classes with its smallest one, hence stars and not all pairs.  Within a chunk of text
+an entry of several classes is known to be shared and one row stands for it, so at most
+one row a chunk is in an entry wherever rows of an entry meet in one task.
+
+Hashes are 64 bits, classes 46 bits until they are verified, entries 14 bits more than
+their number takes; equal codes of different classes or entries only add candidates
+(a pair of classes of one code is lost, with a chance of 2^-46).  Entries travel packed,
+sorted within a chunk, as gaps.
 
 Connected candidates are then verified exactly, all against all inside a task, in
 blocks of bounded size: a component of any size is cut into blocks and every two
 blocks meet.  Tasks give back a spanning forest of the true links and not the pairs.
-
-Where segments are small (low thresholds), texts that merely share a passage meet, and
-components grow with the table.  Components of more than one block are therefore
-refined first, and exactly so.  A link needs an intersection of at least t times
-either set, so a class with fewer shingles in other classes of its component links
-with none and leaves.  Of linking sets sorted by one order, the first s - ceil(t * s) + 1
-shingles of both have one in common; the order is rarest in the component first, and
-only classes that share such a shingle stay together.
-
-With ``sigmas`` given, candidates must share several entries, as stars count them: an
-entry counts for its smallest class alone, so true links between versions of a text
-that many other versions share entries with can be lost.  No query uses it.
+Components of more than one block are refined first, and exactly so.  A link needs an
+intersection of at least t times either set, so a class with fewer shingles in other
+classes of its component links with none and leaves.  Of linking sets sorted by one
+order, the first s - ceil(t * s) + 1 shingles of both have one in common; the order is
+rarest in the component first, and only classes that share such a shingle stay together.
 
 Defined results: null, empty and blank texts have the empty set and stand alone;
 texts of fewer than ``width`` words have one shingle; repeated doc_ids are
-rows of their own; other columns are ignored.
+rows of their own, and so are rows of a null doc_id (a group of null ids alone has a null
+component_id); other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -52,7 +53,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grovespark.llm.common import batched, cut
+from grovespark.llm.common import batched, cut, stored
 from grovespark.llm.components import components
 from grovespark.llm.shingles import mix, set_keys, shingle_sets
 
@@ -63,9 +64,15 @@ BLOCK_CLASSES = 2048
 #: Entries that one part of the index holds, about.
 PART_ENTRIES = 1_000_000
 CHUNK_ROWS = 50_000
-LOW40 = np.uint64((1 << 40) - 1)
-#: What a chance meeting costs against writing an index entry.
-MEETING_COST = 20.0
+#: Bits of a class while candidates are found; two more tell under which scheme an entry is.
+CLASS_BITS = 46
+LOW = np.uint64((1 << CLASS_BITS) - 1)
+#: Entries that candidates share, as a part of the differences that a link may have.
+ASKED = 0.15
+#: What a chance meeting costs against writing an index entry, and the part of a text's shingles that unrelated texts have as well.
+MEETING_COST, COMMON = 20.0, 0.1
+#: Schemes of an entry: the set's own band, the band below it, misfits of either.
+OWN, BELOW, MISFIT = 0, 1, 2
 #: Ids up to this many (16 bytes each) are broadcast; beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -81,120 +88,103 @@ def bands(percent: int, largest: int = 1 << 40) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Plan:
-    """Per band: its smallest size, segments, how many of them also with deletions, whether empty ones are indexed, and whether misfits are about."""
+    """Per band: its smallest size, differences of a link at most, segments, how many of them also with deletions, and entries that links share at least."""
 
     low: np.ndarray
+    differences: np.ndarray
     segments: np.ndarray
     loose: np.ndarray
-    empties: np.ndarray
-    misfits: np.ndarray
+    asked: np.ndarray
 
 
-def allocate(percent: int, documents: int) -> Plan:
-    """The cheapest choice per band for so many documents."""
+def allocate(percent: int, asked: float | None = None) -> Plan:
+    """The cheapest choice per band."""
     low = bands(percent)
-    segments, loose, empties = (np.zeros(len(low), dtype=np.int64) for _ in range(3))
-    for s in range(len(low) - 2):
-        high, next_high = int(low[s + 1]) - 1, int(low[s + 2]) - 1
-        together = max(2 * high, high + min(next_high, high * 100 // percent))
-        m = together * (100 - percent) // (100 + percent) + 1
-        if m == 1:  # only equal sets link
+    differences, segments, loose, need = (np.zeros(len(low), dtype=np.int64) for _ in range(4))
+    for s in range(len(low) - 1):
+        high = int(low[s + 1]) - 1
+        h = (high + high * 100 // percent) * (100 - percent) // (100 + percent)
+        if h == 0:  # only equal sets link
             continue
-        segments[s], mean = m, float(low[s]) / m
-        empty = m * math.exp(-mean)
-        with_empties = MEETING_COST * documents * m * math.exp(-2 * mean)
-        d = np.arange(1, min(m, 2000) + 1)
-        pairs = 1 - math.exp(-mean) * (1 + mean)
-        enough = np.maximum(d * pairs - 2 * np.sqrt(d * pairs * (1 - pairs)), 0)
-        excess = np.where(enough > empty, np.exp(enough - empty - enough * np.log(np.maximum(enough, 1e-9) / empty)), 1)  # Chernoff's bound
-        with_deletions = d * (1 + mean) + MEETING_COST * documents * excess
-        if with_empties <= with_deletions.min():
-            empties[s] = 1
-        else:
-            loose[s] = d[np.argmin(with_deletions)]
-    return Plan(low, segments, loose, empties, np.zeros(len(low), dtype=bool))
+        k = max(1, int((ASKED if asked is None else asked) * (h + 1)))
+        d = np.arange(min(h + k, 300) + 1, dtype=float)
+        m = h + k - d
+        for _ in range(8):  # spare segments for empty ones, and for those too small for deletions to count
+            mean = low[s] / np.maximum(m, 1)
+            lacking = (m + d * mean) * np.exp(-mean)
+            m = h + k + np.floor(lacking + 1.5 * np.sqrt(lacking)) - d
+        mean = low[s] / np.maximum(m, 1)
+        met = (m + d * mean) * (np.exp(-mean * (1 - COMMON)) - np.exp(-mean))
+        cost = np.where(m >= np.maximum(d, 1), m + d * mean + MEETING_COST * met, np.inf)
+        best = int(cost.argmin())
+        differences[s], segments[s], loose[s], need[s] = h, m[best], d[best], k
+    return Plan(low, differences, segments, loose, need)
 
 
 @dataclass
 class Cut:
-    """Sets cut into the segments of one scheme: for each set its segments, for each element its place."""
+    """Sets cut into the segments of one scheme: for each set its segments, for each element its place, for each segment its set, number and elements."""
 
     scheme: np.ndarray
     m: np.ndarray
-    base: np.ndarray
     at: np.ndarray
     owner: np.ndarray
     place: np.ndarray
     edge: np.ndarray
+    of: np.ndarray
+    number: np.ndarray
+    held: np.ndarray
+    double: np.ndarray
 
 
 def cut_sets(flat: np.ndarray, sizes: np.ndarray, plan: Plan, below: int) -> Cut:
     """By the set's own band or the band ``below`` it; segments are ranges of hashes, so sorted sets fall into slices."""
     scheme = np.searchsorted(plan.low, sizes, side="right") - 1 - below
     m = np.where(scheme >= 0, plan.segments[np.maximum(scheme, 0)], 0)
+    scheme = np.maximum(scheme, 0)
     base = np.cumsum(m) - m
     at = np.flatnonzero(np.repeat(m > 0, sizes))
     owner = np.repeat(np.arange(len(sizes)), sizes)[at]
     place = base[owner] + (((flat[at] >> np.uint64(32)) * m[owner].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
-    return Cut(scheme, m, base, at, owner, place, np.searchsorted(place, np.arange(int(m.sum()) + 1)))
+    edge = np.searchsorted(place, np.arange(int(m.sum()) + 1))
+    of = np.repeat(np.arange(len(sizes)), m)
+    number, held = np.arange(len(of)) - np.repeat(base, m), np.diff(edge)
+    return Cut(scheme, m, at, owner, place, edge, of, number, held, (held >= 2) & (number < plan.loose[scheme[of]]))
 
 
-def misfits(flat: np.ndarray, sizes: np.ndarray, plan: Plan, below: int) -> np.ndarray:
-    """Which sets have more empty segments than deletions make up for."""
-    c = cut_sets(flat, sizes, plan, below)
-    held = np.diff(c.edge)
-    of = np.repeat(np.arange(len(sizes)), c.m)
-    number = np.arange(len(of)) - np.repeat(c.base, c.m)
-    scheme = np.maximum(c.scheme, 0)
-    lacking = np.bincount(of, held == 0, minlength=len(sizes))
-    spare = np.bincount(of, (held >= 2) & (number < plan.loose[scheme][of]), minlength=len(sizes))
-    return (lacking > spare) & (c.m > 0) & (plan.empties[scheme] == 0)
+def misfits(c: Cut, plan: Plan) -> np.ndarray:
+    """Which sets may share fewer entries with a linking set than their band asks for."""
+    twice = np.bincount(c.of, c.double, minlength=len(c.m))
+    once = np.bincount(c.of, (c.held > 0) & ~c.double, minlength=len(c.m))
+    h = plan.differences[c.scheme]
+    # the most that h differences spoil: segments without deletions first
+    left = np.where(h <= once, once + twice - h, twice - (h - once) // 2)
+    return (c.m > 0) & (left < plan.asked[c.scheme])
 
 
-def index_entries(flat: np.ndarray, sizes: np.ndarray, keys: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
-    """(entry, class) for classes whose sorted sets follow each other in ``flat``."""
+def index_entries(flat: np.ndarray, sizes: np.ndarray, plan: Plan, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(entry, number of the set, scheme) for sorted sets that follow each other in ``flat``."""
     element = mix(flat + np.uint64(0x2545F491))
-    entries, classes = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.uint64)]
-    for below in (0, 1):
+    start = np.cumsum(sizes) - sizes
+    found = [(np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), 0)]
+    for below in (OWN, BELOW):
         c = cut_sets(flat, sizes, plan, below)
         if not c.m.any():
             continue
         prefix = np.r_[np.uint64(0), np.cumsum(element[c.at])]
-        subset, held = prefix[c.edge[1:]] - prefix[c.edge[:-1]], np.diff(c.edge)
-        of = np.repeat(np.arange(len(sizes)), c.m)
-        number, scheme = np.arange(len(of)) - np.repeat(c.base, c.m), np.maximum(c.scheme, 0)
-        tag = mix((scheme[of].astype(np.uint64) << np.uint64(40)) + number.astype(np.uint64))
-        shown = (held > 0) | (plan.empties[scheme][of] > 0)
-        entries.append(mix(subset ^ tag)[shown])
-        classes.append(keys[of][shown])
-        g = c.place
-        near = (held[g] >= 2) & (number[g] < plan.loose[scheme][c.owner])
-        entries.append(mix((subset[g[near]] - element[c.at[near]]) ^ tag[g[near]]))
-        classes.append(keys[c.owner[near]])
-        shared = plan.misfits[scheme] & (c.m > 0)
-        entries.append(mix(scheme[shared].astype(np.uint64) + np.uint64(0xC0FFEE)))
-        classes.append(keys[shared])
-    return np.concatenate(entries), np.concatenate(classes)
-
-
-def needed(plan: Plan, sigmas: float) -> np.ndarray:
-    """Per band: entries that candidates must share."""
-    m = np.where(plan.segments > 0, plan.segments, 1).astype(float)
-    mean = m * (math.exp(-1) - np.exp(-plan.low / m))
-    return np.maximum(1, np.floor((mean - sigmas * 0.31 * np.sqrt(m)) / 2)).astype(np.int64)
-
-
-def stars(entries: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(entries, their smallest class), and (class, larger class, entries shared) of those that met."""
-    order = np.lexsort((classes, entries))
-    entries, classes = entries[order], classes[order]
-    new = np.r_[True, entries[1:] != entries[:-1]][: len(entries)]
-    head = classes[new][np.cumsum(new) - 1]
-    apart = head != classes
-    if not apart.any():
-        return entries[new], classes[new], np.zeros((0, 3), dtype=np.uint64)
-    pairs, n = np.unique(np.stack([head[apart], classes[apart]], axis=1), axis=0, return_counts=True)
-    return entries[new], classes[new], np.concatenate([pairs, n[:, None].astype(np.uint64)], axis=1)
+        subset = prefix[c.edge[1:]] - prefix[c.edge[:-1]]
+        tag = mix((c.scheme[c.of].astype(np.uint64) << np.uint64(40)) + c.number.astype(np.uint64))
+        some, near = c.held > 0, c.double[c.place]
+        found.append((mix(subset ^ tag)[some], c.of[some], below))
+        g = c.place[near]
+        found.append((mix((subset[g] - element[c.at[near]]) ^ tag[g]), c.owner[near], below))
+        odd = np.flatnonzero(misfits(c, plan))
+        if len(odd):
+            first = sizes[odd] - -(-sizes[odd] * percent // 100) + 1
+            at = np.repeat(start[odd] - (np.cumsum(first) - first), first) + np.arange(int(first.sum()))
+            of = np.repeat(odd, first)
+            found.append((mix(element[at] ^ mix(c.scheme[of].astype(np.uint64) + np.uint64(0xC0FFEE))), of, MISFIT))
+    return np.concatenate([e for e, _, _ in found]), np.concatenate([n for _, n, _ in found]), np.concatenate([np.full(len(e), k) for e, _, k in found])
 
 
 def chunks(batches: Iterator[pd.DataFrame], text: str, chars: int = CHUNK_CHARS) -> Iterator[pd.DataFrame]:
@@ -216,42 +206,84 @@ def chunks(batches: Iterator[pd.DataFrame], text: str, chars: int = CHUNK_CHARS)
 
 
 def classes_of(docs: DataFrame, width: int, plan: Plan, text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, class key (null for the empty set), size band, and whether it is a misfit under that and under the band below."""
+    """doc_id, n_shingles, class key (null for the empty set) and size band."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for chunk in chunks(batches, text):
             flat, sizes = shingle_sets(chunk[text].tolist(), width)
             keys = pd.Series(set_keys(flat, sizes).view(np.int64), dtype="Int64", index=chunk.index)
             keys[sizes == 0] = pd.NA
-            own, below = misfits(flat, sizes, plan, 0), misfits(flat, sizes, plan, 1)
-            yield pd.DataFrame({"doc_id": chunk.doc_id, "n_shingles": sizes, "class": keys, "band": np.searchsorted(plan.low, sizes, side="right") - 1, "own": own, "below": below})
+            yield pd.DataFrame({"doc_id": chunk.doc_id.astype("Int64"), "n_shingles": sizes, "class": keys, "band": np.searchsorted(plan.low, sizes, side="right") - 1})
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInPandas(run, "doc_id long, n_shingles long, class long, band int")
+
+
+def narrow(column: np.ndarray, width: int) -> bytes:
+    """The lower ``width`` bytes of each number."""
+    return np.ascontiguousarray(column).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def widen(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), dtype=np.uint8)
+    out[:, :width] = np.frombuffer(data, dtype=np.uint8).reshape(-1, width)
+    return out.reshape(-1).view(np.uint64)
+
+
+#: Stands for no class: a row that only bridges a gap too wide for its bytes.
+NONE = np.uint64((1 << 48) - 1)
+
 
-    return docs.select("doc_id", text).mapInPandas(run, "doc_id long, n_shingles long, class long, band int, own boolean, below boolean")
+def pack_rows(entries: np.ndarray, codes: np.ndarray, width: int) -> bytes:
+    """Rows sorted by entry: the first entry, gaps of ``width`` bytes, codes of six bytes."""
+    gap, most = np.diff(entries, prepend=entries[:1]), np.uint64((1 << 8 * width) - 1)
+    bridges = (gap // most).astype(np.int64)
+    if bridges.any():
+        at = np.cumsum(bridges + 1) - 1
+        gaps, coded = np.full(int(at[-1]) + 1, most), np.full(int(at[-1]) + 1, NONE)
+        gaps[at], coded[at] = gap % most, codes
+        gap, codes = gaps, coded
+    return entries[:1].tobytes() + narrow(gap, width) + narrow(codes, 6)
+
+
+def unpack_rows(data: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
+    n = (len(data) - 8) // (width + 6)
+    codes = widen(data[8 + n * width :], 6)
+    entries = np.frombuffer(data, dtype=np.uint64, count=1) + np.cumsum(widen(data[8 : 8 + n * width], width))
+    return entries[codes != NONE], codes[codes != NONE]
 
 
 def pack(*columns: np.ndarray) -> bytes:
-    """40 bits of each column, row by row."""
-    rows = np.ascontiguousarray(np.stack(columns, axis=1)).view(np.uint8).reshape(-1, len(columns), 8)
-    return rows[:, :, :5].tobytes()
+    """48 bits of each number, column by column."""
+    return b"".join(narrow(c, 6) for c in columns)
 
 
-def unpack(data: bytes, columns: int) -> np.ndarray:
-    rows = np.zeros((len(data) // (5 * columns), columns, 8), dtype=np.uint8)
-    rows[:, :, :5] = np.frombuffer(data, dtype=np.uint8).reshape(-1, columns, 5)
-    return rows.reshape(-1, 8 * columns).view(np.uint64)
+def unpack(packets: pd.Series, columns: int) -> list[np.ndarray]:
+    parts = [widen(x, 6).reshape(columns, -1) for x in packets]
+    return list(np.concatenate([np.zeros((columns, 0), dtype=np.uint64), *parts], axis=1))
 
 
-def dealt_out(part: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """The rows of each part, packed."""
+def dealt_out(part: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """The rows of each part, in their order."""
     order = np.argsort(part, kind="stable")
     part, columns = part[order], [c[order] for c in columns]
     cuts = np.r_[0, np.flatnonzero(part[1:] != part[:-1]) + 1, len(part)].tolist() if len(part) else []
     for x, y in zip(cuts, cuts[1:], strict=False):
-        yield int(part[x]), pack(*[c[x:y] for c in columns])
+        yield int(part[x]), [c[x:y] for c in columns]
+
 
+def shared_by_several(entries: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Which rows, sorted by entry, are in an entry with another class."""
+    if not len(entries):
+        return np.zeros(0, dtype=bool)
+    new = np.r_[True, entries[1:] != entries[:-1]]
+    begin, classes = np.flatnonzero(new), codes >> np.uint64(2)
+    return (np.minimum.reduceat(classes, begin) != np.maximum.reduceat(classes, begin))[np.cumsum(new) - 1]
 
-def candidates(docs: DataFrame, width: int, plan: Plan, parts: int, text: str = "text") -> DataFrame:
-    """a, b, n: class codes that share n index entries, each with the smallest of an entry, so that sharing classes are connected."""
+
+def shared_entries(docs: DataFrame, width: int, percent: int, plan: Plan, shingles: int, text: str = "text") -> DataFrame:
+    """entry, code (46 bits of the class and the scheme) of entries that several classes share; rows may repeat."""
+    parts, bits = 1 + shingles // PART_ENTRIES, min(62, max(40, shingles.bit_length() + 14))
+    gap_bytes = -(-(bits - 14) // 8)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for chunk in chunks(batches, text):
@@ -260,32 +292,49 @@ def candidates(docs: DataFrame, width: int, plan: Plan, parts: int, text: str =
             first = np.zeros(len(keys), dtype=bool)
             first[np.unique(keys, return_index=True)[1]] = True
             first &= sizes > 0
-            entries, classes, met = stars(*index_entries(flat[np.repeat(first, sizes)], sizes[first], keys[first] & LOW40, plan))
-            part = ((entries >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)
-            packets = [(p, False, x) for p, x in dealt_out(part, entries, classes)]
-            packets += [(p, True, x) for p, x in dealt_out(mix(met[:, 0]) % np.uint64(parts), *met.T)]
+            entries, number, scheme = index_entries(flat[np.repeat(first, sizes)], sizes[first], plan, percent)
+            entries >>= np.uint64(64 - bits)
+            codes = ((keys[first] & LOW)[number] << np.uint64(2)) | scheme.astype(np.uint64)
+            order = np.argsort(entries, kind="stable")
+            entries, codes = entries[order], codes[order]
+            known = shared_by_several(entries, codes)
+            goes = np.r_[True, entries[1:] != entries[:-1]][: len(entries)] | ~known
+            part = ((entries >> np.uint64(bits - 24)) * np.uint64(parts)) >> np.uint64(24)
+            packets = []
+            for kind, rows in ((0, goes & ~known), (1, goes & known), (2, known)):
+                # rows known to be shared go on as they are, to parts dealt by their class; one of an entry goes to meet others
+                to = part[rows] if kind < 2 else mix(codes[rows]) % np.uint64(parts)
+                packets += [(p, kind, pack_rows(*x, gap_bytes)) for p, x in dealt_out(to, entries[rows], codes[rows])]
             for a in range(0, len(packets), 64):
-                yield pd.DataFrame(packets[a : a + 64], columns=["part", "met", "packed"])
+                yield pd.DataFrame(packets[a : a + 64], columns=["part", "kind", "packed"])
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
-        # at most one row a chunk of text is in an entry, so no entry is hot
-        both = unpack(b"".join(group.packed[~group.met]), 2)
-        _, _, now = stars(both[:, 0].copy(), both[:, 1].copy())
-        rows = np.concatenate([now, unpack(b"".join(group.packed[group.met]), 3)]).astype(np.int64)
-        return pd.DataFrame({"a": rows[:, 0], "b": rows[:, 1], "n": rows[:, 2]})
-
-    packets = docs.select(text).mapInPandas(run, "part int, met boolean, packed binary")
-    return packets.groupBy("part").applyInPandas(meet, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-
-
-def enough(found: DataFrame, members: DataFrame, plan: Plan, sigmas: float) -> DataFrame:
-    """The candidates that share as many entries as the band of the first asks for."""
-    need = needed(plan, sigmas)
-    most = int(np.flatnonzero(plan.segments)[-1]) + 1 if plan.segments.any() else 1
-    per_band = F.array(*[F.lit(int(x)) for x in need[: min(most, 400)]])
-    code = F.col("class").bitwiseAND(F.lit(int(LOW40)))
-    asked = members.where("class IS NOT NULL").groupBy(code.alias("a")).agg(F.min(F.get(per_band, F.col("band"))).alias("need"))
-    return found.join(asked, "a").where("n >= need").select("a", "b")
+        none = np.zeros(0, dtype=np.uint64)
+        rows = [[unpack_rows(x, gap_bytes) for x in group.packed[group.kind == k]] for k in range(3)]
+        entries, codes = (np.concatenate([none, *[x[i] for k in (0, 1) for x in rows[k]]]) for i in (0, 1))
+        told = np.arange(len(entries)) >= sum(len(x[0]) for x in rows[0])
+        order = np.argsort(entries, kind="stable")
+        entries, codes, told = entries[order], codes[order], told[order]
+        new = np.r_[True, entries[1:] != entries[:-1]][: len(entries)]
+        anew = (shared_by_several(entries, codes) | (np.bincount(np.cumsum(new) - 1, told)[np.cumsum(new) - 1] > 0 if len(entries) else told)) & ~told
+        done = [np.concatenate([none, *[x[i] for x in rows[2]]]) for i in (0, 1)]
+        return pd.DataFrame({"entry": np.r_[entries[anew], done[0]].view(np.int64), "code": np.r_[codes[anew], done[1]].view(np.int64)})
+
+    packets = docs.select(text).mapInPandas(run, "part int, kind int, packed binary")
+    return packets.groupBy("part").applyInPandas(meet, "entry long, code long")
+
+
+def candidates(shared: DataFrame, members: DataFrame, plan: Plan) -> DataFrame:
+    """a, b: classes (46 bits) that share as many entries with others as their band asks for, each linked with the smallest of an entry."""
+    asked = F.array(*[F.lit(int(x)) for x in plan.asked])
+    band_of = members.where("class IS NOT NULL").select(F.col("class").bitwiseAND(F.lit(int(LOW))).alias("node"), "band").distinct()
+    scheme = F.col("code").bitwiseAND(F.lit(3))
+    often = shared.groupBy("code").agg(F.count("*").alias("n")).select("code", F.shiftright("code", 2).alias("node"), scheme.alias("scheme"), "n")
+    enough = (F.col("scheme") == MISFIT) | (F.col("n") >= F.get(asked, (F.col("band") - F.col("scheme")).cast("int")))
+    kept = often.join(band_of, "node").where(enough).select("code").distinct()
+    rows = stored(shared.join(kept, "code").select("entry", F.shiftright("code", 2).alias("b")))
+    least = rows.groupBy("entry").agg(F.min("b").alias("a"), F.max("b").alias("most")).where("a < most").select("entry", "a")
+    return rows.join(least, "entry").where("a != b").select("a", "b").distinct()
 
 
 def by_group(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
@@ -363,14 +412,14 @@ def own_sets(chunk: pd.DataFrame, width: int, text: str) -> tuple[pd.DataFrame,
 
 
 def shared_shingles(rows: DataFrame, width: int, parts: int, text: str) -> DataFrame:
-    """code, n: how many shingles of a class (its lower 40 bits) are also in other classes of its root, or more than that where hashes collide."""
+    """code, n: how many shingles of a class (its lower 46 bits) are also in other classes of its root, or more than that where hashes collide."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for chunk in chunks(batches, text):
             kept, sets = own_sets(chunk.drop_duplicates(["class", text]), width, text)
             if not len(kept):
                 continue
-            codes, size = kept["class"].to_numpy().view(np.uint64) & LOW40, [len(x) for x in sets]
+            codes, size = kept["class"].to_numpy().view(np.uint64) & LOW, [len(x) for x in sets]
             shingle = mix(np.concatenate(sets) ^ np.repeat(mix(kept["root"].to_numpy().view(np.uint64) + np.uint64(1)), size))
             owner = np.repeat(np.arange(len(sets)), size)
             shingle, first, back, often = np.unique(shingle, return_index=True, return_inverse=True, return_counts=True)
@@ -378,17 +427,17 @@ def shared_shingles(rows: DataFrame, width: int, parts: int, text: str) -> DataF
             part = ((shingle >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)
             one, rest = often == 1, often > 1
             # a shingle of several classes of the chunk counts already and goes on once
-            packets = [(p, 0, x) for p, x in dealt_out(part[one], shingle[one], codes[owner[first[one]]])]
-            packets += [(p, 1, x) for p, x in dealt_out(part[rest], shingle[rest])]
-            packets += [(p, 2, x) for p, x in dealt_out(mix(codes) % np.uint64(parts), codes, here)]
+            packets = [(p, 0, pack(*x)) for p, x in dealt_out(part[one], shingle[one], codes[owner[first[one]]])]
+            packets += [(p, 1, pack(*x)) for p, x in dealt_out(part[rest], shingle[rest])]
+            packets += [(p, 2, pack(*x)) for p, x in dealt_out(mix(codes) % np.uint64(parts), codes, here)]
             for a in range(0, len(packets), 64):
                 yield pd.DataFrame(packets[a : a + 64], columns=["part", "kind", "packed"])
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
-        one, rest, here = (unpack(b"".join(group.packed[group.kind == k]), c) for k, c in ((0, 2), (1, 1), (2, 2)))
-        _, back, often = np.unique(np.r_[one[:, 0], rest[:, 0]], return_inverse=True, return_counts=True)
-        code, n = np.unique(one[often[back[: len(one)]] > 1, 1], return_counts=True)
-        return pd.DataFrame({"code": np.r_[code, here[:, 0]].astype(np.int64), "n": np.r_[n, here[:, 1]].astype(np.int64)})
+        (shingle, owner), (rest,), (codes, here) = (unpack(group.packed[group.kind == k], c) for k, c in ((0, 2), (1, 1), (2, 2)))
+        _, back, often = np.unique(np.r_[shingle, rest], return_inverse=True, return_counts=True)
+        code, n = np.unique(owner[often[back[: len(shingle)]] > 1], return_counts=True)
+        return pd.DataFrame({"code": np.r_[code, codes].astype(np.int64), "n": np.r_[n, here].astype(np.int64)})
 
     packets = rows.mapInPandas(run, "part int, kind int, packed binary")
     return packets.groupBy("part").applyInPandas(meet, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
@@ -399,7 +448,7 @@ def refined(docs: DataFrame, large: DataFrame, width: int, percent: int, text: s
     load = large.agg(F.sum("n")).first()[0] or 0
     rows = texts_of(docs, large.select("doc_id", "class", "root"), text).select("class", "root", text)
     counted = shared_shingles(rows, width, 1 + load // PART_ENTRIES, text).withColumnRenamed("n", "shared")
-    left = cut(large.withColumn("code", F.col("class").bitwiseAND(F.lit(int(LOW40)))).join(counted, "code").where(F.col("shared") * 100 >= F.col("n") * percent).drop("code", "shared"))
+    left = cut(large.withColumn("code", F.col("class").bitwiseAND(F.lit(int(LOW)))).join(counted, "code").where(F.col("shared") * 100 >= F.col("n") * percent).drop("code", "shared"))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for chunk in chunks(batches, text):
@@ -421,7 +470,7 @@ def links(docs: DataFrame, members: DataFrame, candidate: DataFrame, width: int,
     """a, b: true links that connect exactly what true links connect."""
     groups = candidate.withColumnRenamed("node", "code")
     one = members.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
-    placed = one.withColumn("code", F.col("class").bitwiseAND(F.lit(int(LOW40)))).join(groups, "code").drop("code")
+    placed = one.withColumn("code", F.col("class").bitwiseAND(F.lit(int(LOW)))).join(groups, "code").drop("code")
     def with_blocks(placed: DataFrame) -> DataFrame:
         load = placed.groupBy("root").agg(F.sum("n").alias("load"), F.count("*").alias("classes"))
         blocks = F.greatest(F.ceil(F.col("load") / BLOCK_SHINGLES), F.ceil(F.col("classes") / BLOCK_CLASSES)).cast("int")
@@ -461,19 +510,13 @@ def links(docs: DataFrame, members: DataFrame, candidate: DataFrame, width: int,
     return dealt.mapInPandas(verify, "a long, b long")
 
 
-def join(docs: DataFrame, width: int, percent: int, text: str = "text", sigmas: float | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id: smallest doc_id reachable over pairs with 100 * intersection >= percent * union.
-
-    Exact; with ``sigmas`` candidates must share several entries, which can lose links (see above).
-    """
-    docs = batched(docs)
-    plan = allocate(percent, docs.count())
+def join(docs: DataFrame, width: int, percent: int, text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id: smallest doc_id reachable over pairs with 100 * intersection >= percent * union."""
+    docs, plan = batched(docs), allocate(percent)
     members = cut(classes_of(docs, width, plan, text))
-    odd = members.where("own OR below").select(F.explode(F.expr("filter(array(IF(own, band, NULL), IF(below, band - 1, NULL)), b -> b IS NOT NULL)")).alias("band")).distinct().collect()  # bands grow with the logarithm of the size
-    plan.misfits[[r.band for r in odd]] = True
     shingles = members.agg(F.sum("n_shingles")).first()[0] or 0
-    shared = candidates(docs, width, plan, 1 + shingles // PART_ENTRIES, text)
-    groups = components(shared if sigmas is None else enough(shared, members, plan, sigmas))
+    shared = stored(shared_entries(docs, width, percent, plan, shingles, text))
+    groups = components(candidates(shared, members, plan))
     found = components(links(docs, members, groups, width, percent, text))
     rooted = members.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))

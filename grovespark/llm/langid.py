@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grovespark.llm.common import batched
+from grovespark.llm.common import batched, kept_columns, schema_of
 
 UNDETERMINED = "und"
 WINDOW = 256
@@ -182,15 +182,15 @@ def train(docs: DataFrame, usable: Column, per_language: int = PER_LANGUAGE) ->
     return Network(labels).fit(x, y)
 
 
-def predict(docs: DataFrame, network: Network, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns with lang_pred and score (mean probability of that language)."""
-    kept = batched(docs).select(*dict.fromkeys([*keep, text]))
+def predict(docs: DataFrame, network: Network, text: str = "text", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep`` columns with lang_pred and score (mean probability of that language), called ``names``; these take the place of kept columns of their name."""
+    own = kept_columns(keep, names)
+    kept = batched(docs).select(*dict.fromkeys([*own, text]))
     shared = docs.sparkSession.sparkContext.broadcast(network)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = shared.value.classify(batch[text].tolist())
-            yield batch[list(keep)].assign(lang_pred=[a for a, _ in found], score=[b for _, b in found])
+            yield batch[own].assign(**{names[0]: [a for a, _ in found], names[1]: [b for _, b in found]})
 
-    schema = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in keep)
-    return kept.mapInPandas(run, f"{schema}, lang_pred string, score double")
+    return kept.mapInPandas(run, f"{schema_of(kept, own)}`{names[0]}` string, `{names[1]}` double")

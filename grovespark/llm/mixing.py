@@ -13,7 +13,7 @@ side as long as it has few rows, which is counted first.
 Defined results: null text has size 0; null source is a source of its own, last
 in order; a source whose documents are all empty has target 0 and takes nothing;
 equal doc_ids draw alike; an empty table gives an empty result; other columns of
-the input pass through ``emit`` unchanged, unless named ``copies``.
+the input pass through ``emit`` unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grovespark.llm.common import WORD, cut
+from grovespark.llm.common import WORD, cut, fresh
 
 SEED = "mix-1"
 #: No source is repeated more often than this.
@@ -46,7 +46,7 @@ def targets(sizes: DataFrame, most: int = MOST) -> DataFrame:
     above its cap.  The end of that process is target = least(cap, level * weight)
     for one level: with sources in order of cap / weight, the level is what
     remains after the caps before, over the weight from there on, at the first
-  XX
+    source that this level doesn't lift above its cap.
     """
     every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
@@ -81,13 +81,13 @@ def copies(docs: DataFrame, seed: str = SEED, most: int = MOST) -> DataFrame:
 def emit(docs: DataFrame, seed: str = SEED, most: int = MOST) -> DataFrame:
     """The mixed documents: every row of ``docs`` as often as the mix takes it, all columns kept."""
     sized = docs.select("source", words(F.col("text")).alias("size")).groupBy("source").agg(F.sum("size").alias("size"))
-    per_source = targets(sized, most).select(F.col("source").alias("_of"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("_rate"))
-    per_source = cut(per_source)
+    of, rate, number = fresh(docs.columns, "of", "rate", "number")
+    per_source = cut(targets(sized, most).select(F.col("source").alias(of), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias(rate)))
     if per_source.count() <= BROADCAST_SOURCES:  # else documents are shuffled by source, and the engine splits hot ones
         per_source = F.broadcast(per_source)
-    n = F.floor("_rate") + F.when(draw(F.col("doc_id"), seed) < F.col("_rate") - F.floor("_rate"), 1).otherwise(0)
-    joined = docs.join(per_source, docs["source"].eqNullSafe(F.col("_of")))
-    return joined.withColumn("_n", F.explode(F.array_repeat(F.lit(0), n.cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    n = F.floor(rate) + F.when(draw(F.col("doc_id"), seed) < F.col(rate) - F.floor(rate), 1).otherwise(0)
+    joined = docs.join(per_source, F.col("source").eqNullSafe(F.col(of)))
+    return joined.withColumn(number, F.explode(F.array_repeat(F.lit(0), n.cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 #: The same in DuckDB, over a relation named ``{docs}``.

@@ -25,7 +25,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from grovespark.llm.common import batched
+from grovespark.llm.common import batched, kept_columns, schema_of
 
 ROUNDS = 10
 KINDS = ("email", "secret", "iban", "card", "ip", "phone", "ssn", "date")
@@ -226,16 +226,15 @@ class Pseudonyms:
         return undo.replace(text)[0]
 
 
-def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, the text with pseudonyms, and ``kinds``: what was replaced, in order."""
-    kept = batched(docs).select(*dict.fromkeys([*keep, text]))
+def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", keep: tuple[str, ...] = ("doc_id",), kinds: str = "kinds") -> DataFrame:
+    """``keep`` columns, the text with pseudonyms, and what was replaced, in order, called ``kinds``; these take the place of kept columns of their name."""
+    own = kept_columns(keep, (text, kinds))
+    kept = batched(docs).select(*own, text)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         work = Pseudonyms(key)
         for batch in batches:
             found = [work.replace(t) for t in batch[text]]
-            own = batch[[c for c in keep if c != text]]
-            yield own.assign(**{text: [t for t, _ in found], "kinds": [k for _, k in found]})
+            yield batch[own].assign(**{text: [t for t, _ in found], kinds: [k for _, k in found]})
 
-    schema = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in keep if c != text)
-    return kept.mapInPandas(run, f"{schema}, `{text}` string, kinds array<string>")
+    return kept.mapInPandas(run, f"{schema_of(kept, own)}`{text}` string, `{kinds}` array<string>")

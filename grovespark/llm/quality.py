@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grovespark.llm.common import kept_columns, schema_of
+
 TRAIN_DOCS = 3000
 #: Lines of one document that training looks at.
 TRAIN_LINES = 400
@@ -233,14 +235,14 @@ def score_texts(chain: Chain, texts: list[str | None]) -> np.ndarray:
 
 
 def score(docs: DataFrame, chain: Chain, threshold: float = 0.3, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns with score (0 to 1, higher: better) and predicted (1 from ``threshold`` on)."""
-    kept = docs.select(*dict.fromkeys([*keep, text]))
+    """``keep`` columns with score (0 to 1, higher: better) and predicted (1 from ``threshold`` on); these take the place of kept columns of their name."""
+    own = kept_columns(keep, ("score", "predicted"))
+    kept = docs.select(*dict.fromkeys([*own, text]))
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = score_texts(shared.value, batch[text].tolist())
-            yield batch[list(keep)].assign(score=found, predicted=(found >= threshold).astype(np.int32))
+            yield batch[own].assign(score=found, predicted=(found >= threshold).astype(np.int32))
 
-    schema = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in keep)
-    return kept.mapInPandas(run, f"{schema}, score double, predicted int")
+    return kept.mapInPandas(run, f"{schema_of(kept, own)}score double, predicted int")
