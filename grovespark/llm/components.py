@@ -25,7 +25,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             least.where("m < u").select("u", F.col("m").alias("v"))
-        ).distinct()
+        )
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = cut(small.union(small_least.select("u", F.col("m").alias("v"))).distinct())

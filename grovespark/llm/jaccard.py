@@ -20,7 +20,9 @@ classes links with none there, and goes; texts that merely share a passage mostl
 here.  The rest is joined over the entries that they share: each entry connects its
 classes with its smallest one, hence stars and not all pairs.  Within a chunk of text
 an entry of several classes is known to be shared and one row stands for it, so at most
-one row a chunk is in an entry wherever rows of an entry meet in one task.
+one row a chunk is in an entry wherever rows of an entry meet in one task.  Classes that share enough
+within their chunk are sure to stay: they are linked with one such class of the entry
+there and then, as pairs of classes, whatever the number of entries.
 
 Hashes are 64 bits, classes 46 bits until they are verified, entries 14 bits more than
 their number takes; equal codes of different classes or entries only add candidates
@@ -30,7 +32,7 @@ sorted within a chunk, as gaps.
 Connected candidates are then verified exactly, all against all inside a task, in
 blocks of bounded size: a component of any size is cut into blocks and every two
 blocks meet.  Tasks give back a spanning forest of the true links and not the pairs.
-Components of more than one block are refined first, and exactly so.  A link needs an
+Components of more than ``MANY_BLOCKS`` blocks are refined first, and exactly so.  A link needs an
 intersection of at least t times either set, so a class with fewer shingles in other
 classes of its component links with none and leaves.  Of linking sets sorted by one
 order, the first s - ceil(t * s) + 1 shingles of both have one in common; the order is
@@ -61,6 +63,8 @@ CHUNK_CHARS = 2_000_000
 #: Shingles and classes that one block of a verification holds.
 BLOCK_SHINGLES = 1_000_000
 BLOCK_CLASSES = 2048
+#: Components of more blocks than this are refined before all their classes meet.
+MANY_BLOCKS = 16
 #: Entries that one part of the index holds, about.
 PART_ENTRIES = 1_000_000
 CHUNK_ROWS = 50_000
@@ -280,8 +284,31 @@ def shared_by_several(entries: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return (np.minimum.reduceat(classes, begin) != np.maximum.reduceat(classes, begin))[np.cumsum(new) - 1]
 
 
+def local_stars(entries: np.ndarray, local: np.ndarray, classes: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the rows of one chunk, sorted by entry: which go to meet other chunks, which of these stand for others, which of these are sure to stay, which are told as they are; and pairs (row, its star's class) of those sure to stay."""
+    several = shared_by_several(entries, classes << np.uint64(2))
+    sure = np.bincount(local[several], minlength=len(need)) >= need
+    sure_row = sure[local] & several
+    new = np.r_[True, entries[1:] != entries[:-1]][: len(entries)]
+    begin, group = np.flatnonzero(new), np.cumsum(new) - 1
+    none = np.uint64(2**63)
+    star = np.minimum.reduceat(np.where(sure_row, classes, none), begin)[group] if len(entries) else classes
+    headed, head = star != none, sure_row & (classes == star)
+    open_group = np.bincount(group, several & ~sure_row, minlength=len(begin))[group] > 0 if len(entries) else several
+    stands = (several & ~headed & new) | head
+    pairs = np.flatnonzero(sure_row)
+    _, once = np.unique(np.stack([local[pairs].astype(np.uint64), star[pairs]], axis=1), axis=0, return_index=True)
+    pairs = pairs[once]
+    told = several & (~sure_row | (head & open_group))
+    return ~several | stands, stands, head, told, np.stack([pairs.astype(np.uint64), star[pairs]], axis=1)
+
+
 def shared_entries(docs: DataFrame, width: int, percent: int, plan: Plan, shingles: int, text: str = "text") -> DataFrame:
-    """entry, code (46 bits of the class and the scheme) of entries that several classes share; rows may repeat."""
+    """entry, code (46 bits of the class and the scheme), star.
+
+    Rows with an entry: several classes share it; they may repeat.  Rows without: the
+    code shares as many entries as its band asks for, and some of them with the class ``star``.
+    """
     parts, bits = 1 + shingles // PART_ENTRIES, min(62, max(40, shingles.bit_length() + 14))
     gap_bytes = -(-(bits - 14) // 8)
 
@@ -294,47 +321,59 @@ def shared_entries(docs: DataFrame, width: int, percent: int, plan: Plan, shingl
             first &= sizes > 0
             entries, number, scheme = index_entries(flat[np.repeat(first, sizes)], sizes[first], plan, percent)
             entries >>= np.uint64(64 - bits)
-            codes = ((keys[first] & LOW)[number] << np.uint64(2)) | scheme.astype(np.uint64)
             order = np.argsort(entries, kind="stable")
-            entries, codes = entries[order], codes[order]
-            known = shared_by_several(entries, codes)
-            goes = np.r_[True, entries[1:] != entries[:-1]][: len(entries)] | ~known
+            entries, number, scheme = entries[order], number[order], scheme[order]
+            classes = (keys[first] & LOW)[number]
+            codes = (classes << np.uint64(2)) | scheme.astype(np.uint64)
+            band = np.searchsorted(plan.low, sizes[first], side="right") - 1
+            need = np.stack([plan.asked[band], plan.asked[np.maximum(band - 1, 0)], np.ones_like(band)], axis=1)
+            goes, stands, sure, told, pairs = local_stars(entries, 3 * number + scheme, classes, np.maximum(need, 1).ravel())
             part = ((entries >> np.uint64(bits - 24)) * np.uint64(parts)) >> np.uint64(24)
             packets = []
-            for kind, rows in ((0, goes & ~known), (1, goes & known), (2, known)):
-                # rows known to be shared go on as they are, to parts dealt by their class; one of an entry goes to meet others
-                to = part[rows] if kind < 2 else mix(codes[rows]) % np.uint64(parts)
+            for kind, rows in ((0, goes & ~stands), (1, stands & ~sure), (2, stands & sure), (3, told)):
+                # rows known to be shared go on as they are, to parts dealt by their class
+                to = part[rows] if kind < 3 else mix(codes[rows]) % np.uint64(parts)
                 packets += [(p, kind, pack_rows(*x, gap_bytes)) for p, x in dealt_out(to, entries[rows], codes[rows])]
+            own = codes[pairs[:, 0].astype(np.int64)]
+            packets += [(p, 4, pack(*x)) for p, x in dealt_out(mix(own) % np.uint64(parts), own, pairs[:, 1])]
             for a in range(0, len(packets), 64):
                 yield pd.DataFrame(packets[a : a + 64], columns=["part", "kind", "packed"])
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
         none = np.zeros(0, dtype=np.uint64)
-        rows = [[unpack_rows(x, gap_bytes) for x in group.packed[group.kind == k]] for k in range(3)]
-        entries, codes = (np.concatenate([none, *[x[i] for k in (0, 1) for x in rows[k]]]) for i in (0, 1))
-        told = np.arange(len(entries)) >= sum(len(x[0]) for x in rows[0])
+        rows = [[unpack_rows(x, gap_bytes) for x in group.packed[group.kind == k]] for k in range(4)]
+        entries, codes = (np.concatenate([none, *[x[i] for k in range(3) for x in rows[k]]]) for i in (0, 1))
+        kind = np.repeat(np.arange(3), [sum(len(x[0]) for x in rows[k]) for k in range(3)])
         order = np.argsort(entries, kind="stable")
-        entries, codes, told = entries[order], codes[order], told[order]
+        entries, codes, kind = entries[order], codes[order], kind[order]
         new = np.r_[True, entries[1:] != entries[:-1]][: len(entries)]
-        anew = (shared_by_several(entries, codes) | (np.bincount(np.cumsum(new) - 1, told)[np.cumsum(new) - 1] > 0 if len(entries) else told)) & ~told
-        done = [np.concatenate([none, *[x[i] for x in rows[2]]]) for i in (0, 1)]
-        return pd.DataFrame({"entry": np.r_[entries[anew], done[0]].view(np.int64), "code": np.r_[codes[anew], done[1]].view(np.int64)})
+        known = np.bincount(np.cumsum(new) - 1, kind > 0)[np.cumsum(new) - 1] > 0 if len(entries) else new
+        several = shared_by_several(entries, codes)
+        anew = ((kind == 0) & (several | known)) | ((kind == 2) & several)
+        done = [np.concatenate([none, *[x[i] for x in rows[3]]]) for i in (0, 1)]
+        own, star = unpack(group.packed[group.kind == 4], 2)
+        found = np.r_[entries[anew], done[0]].view(np.int64)
+        pad = lambda a, before, after: pd.array(np.r_[np.zeros(before, np.int64), a, np.zeros(after, np.int64)], dtype="Int64")
+        entry, of = pad(found, 0, len(own)), pad(star.view(np.int64), len(found), 0)
+        entry[len(found) :], of[: len(found)] = pd.NA, pd.NA
+        return pd.DataFrame({"entry": entry, "code": np.r_[codes[anew], done[1], own].view(np.int64), "star": of})
 
     packets = docs.select(text).mapInPandas(run, "part int, kind int, packed binary")
-    return packets.groupBy("part").applyInPandas(meet, "entry long, code long")
+    return packets.groupBy("part").applyInPandas(meet, "entry long, code long, star long")
 
 
 def candidates(shared: DataFrame, members: DataFrame, plan: Plan) -> DataFrame:
     """a, b: classes (46 bits) that share as many entries with others as their band asks for, each linked with the smallest of an entry."""
     asked = F.array(*[F.lit(int(x)) for x in plan.asked])
     band_of = members.where("class IS NOT NULL").select(F.col("class").bitwiseAND(F.lit(int(LOW))).alias("node"), "band").distinct()
-    scheme = F.col("code").bitwiseAND(F.lit(3))
-    often = shared.groupBy("code").agg(F.count("*").alias("n")).select("code", F.shiftright("code", 2).alias("node"), scheme.alias("scheme"), "n")
-    enough = (F.col("scheme") == MISFIT) | (F.col("n") >= F.get(asked, (F.col("band") - F.col("scheme")).cast("int")))
+    often = shared.groupBy("code").agg(F.count("entry").alias("n"), F.count("star").alias("sure"))
+    often = often.select("code", F.shiftright("code", 2).alias("node"), F.col("code").bitwiseAND(F.lit(3)).alias("scheme"), "n", "sure")
+    enough = (F.col("sure") > 0) | (F.col("scheme") == MISFIT) | (F.col("n") >= F.get(asked, (F.col("band") - F.col("scheme")).cast("int")))
     kept = often.join(band_of, "node").where(enough).select("code").distinct()
-    rows = stored(shared.join(kept, "code").select("entry", F.shiftright("code", 2).alias("b")))
+    rows = stored(shared.where("entry IS NOT NULL").join(kept, "code").select("entry", F.shiftright("code", 2).alias("b")))
     least = rows.groupBy("entry").agg(F.min("b").alias("a"), F.max("b").alias("most")).where("a < most").select("entry", "a")
-    return rows.join(least, "entry").where("a != b").select("a", "b").distinct()
+    local = shared.where("star IS NOT NULL").select(F.col("star").alias("a"), F.shiftright("code", 2).alias("b"))
+    return rows.join(least, "entry").select("a", "b").union(local).where("a != b").distinct()
 
 
 def by_group(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
@@ -477,9 +516,9 @@ def links(docs: DataFrame, members: DataFrame, candidate: DataFrame, width: int,
         return cut(placed.join(load.select("root", blocks.alias("blocks")), "root").select("doc_id", "class", "n", "root", "blocks"))
 
     chosen = with_blocks(placed)
-    large = chosen.where("blocks > 1").drop("blocks")
+    large = chosen.where(F.col("blocks") > MANY_BLOCKS).drop("blocks")
     if not large.isEmpty():
-        chosen = chosen.where("blocks = 1").union(with_blocks(refined(docs, large, width, percent, text)))
+        chosen = chosen.where(F.col("blocks") <= MANY_BLOCKS).union(with_blocks(refined(docs, large, width, percent, text)))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for chunk in chunks(batches, text):

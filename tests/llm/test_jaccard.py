@@ -55,6 +55,7 @@ def test_matches_brute_force(spark, monkeypatch, seed, width, percent):
     if seed == 2:  # blocks that meet two by two, and segments of one hash, so that there are misfits
         monkeypatch.setattr(jaccard, "COMMON", 0.0)
         monkeypatch.setattr(jaccard, "BLOCK_CLASSES", 2)
+        monkeypatch.setattr(jaccard, "MANY_BLOCKS", 1)
     if seed == 3:  # every chunk is a few texts
         monkeypatch.setattr(jaccard, "CHUNK_CHARS", 2000)
         monkeypatch.setattr(jaccard, "ASKED", 0.4)
@@ -107,6 +108,8 @@ def test_pipeline_links_two_of_many_loose_versions(spark, monkeypatch, block):
     """Every entry of the one linking pair is also in some of the loose versions, which link with nothing."""
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     monkeypatch.setattr(jaccard, "BLOCK_CLASSES", block)
+    monkeypatch.setattr(jaccard, "MANY_BLOCKS", 3)
+    monkeypatch.setattr(jaccard, "ASKED", 0.0)
     r = random.Random(5)
     base = [f"w{r.randrange(10**6)}" for _ in range(1000)]
     rows = [(k, " ".join(f"v{k}x{i}" if r.random() < 0.11 else w for i, w in enumerate(base))) for k in range(1000)]
@@ -141,7 +144,7 @@ def test_linking_sets_share_as_many_entries_as_asked(percent, asked):
             c, d = (set(entries[(number == i) & (scheme == jaccard.MISFIT)].tolist()) for i in (0, 1))
             odd += all(plain)
             assert len(a & b) >= plan.asked[band.min()] if not all(plain) else c & d
-    assert tried > 100 and odd < tried / 4
+    assert tried > 100 and odd < tried / 3  # most fit, so that their entries do the work
 
 
 def test_misfits_meet_each_other_alone(spark):
