@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from grovespark.llm import bpe, jaccard, langid, mixing, pii
 from grovespark.llm.common import fresh, removed, shared_folder, stored, table
-from grovespark.llm.queries import PSEUDONYM_KEY, tokenizer_path
+from grovespark.llm.queries import pseudonym_key, tokenizer_path
 
 #: Documents whose best language is less probable than this are in none of the languages learned.
 LEAST_LANGUAGE = 0.5
@@ -46,7 +46,7 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced within its format; n_chars follows the new text."""
-    found = pii.pseudonymise(docs, PSEUDONYM_KEY, keep=tuple(docs.columns), kinds=fresh(docs.columns, "kinds")[0])
+    found = pii.pseudonymise(docs, pseudonym_key(spark), keep=tuple(docs.columns), kinds=fresh(docs.columns, "kinds")[0])
     return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

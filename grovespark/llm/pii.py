@@ -1,7 +1,7 @@
 """Format-preserving pseudonyms for personal data.
 
 Numbers and dates are found by pattern and validated (Luhn and mod-97 check digits,
-octet ranges, calendar days); a keyed Feistel network then permutes each within the
+octet ranges, groups of IPv6, calendar days); a keyed Feistel network then permutes each within the
 set of values of its own format.  The permutation depends on the key and the format
 alone, so equal values get equal pseudonyms in every document, different values get
 different ones, and ``Pseudonyms.restore`` undoes it with the key.  What fails
@@ -9,6 +9,9 @@ validation stays as it is.
 
 Rows are independent: one pass, no shuffle, nothing shared but the key.
 
+Letters of any script are replaced within their own stretch of the code table and case.
+The key is the caller's: whoever has it can restore the data.
+
 Defined results: null text stays null with no findings; an empty text stays empty;
 overlapping findings are resolved in the order of ``KINDS``, then by position; all
 other text, columns and repeated rows stay untouched.
@@ -17,7 +20,9 @@ other text, columns and repeated rows stay untouched.
 from __future__ import annotations
 
 import datetime
+import functools
 import hashlib
+import ipaddress
 import math
 import re
 from collections.abc import Callable, Iterator
@@ -28,18 +33,20 @@ from pyspark.sql import DataFrame
 from grovespark.llm.common import batched, kept_columns, schema_of
 
 ROUNDS = 10
-KINDS = ("email", "secret", "iban", "card", "ip", "phone", "ssn", "date")
+KINDS = ("email", "secret", "iban", "card", "ip", "ipv6", "phone", "phone_abroad", "ssn", "date")
 
 #: The shapes that are looked for.
 LOCAL_PART = re.compile(r"[\w.%+-]{1,64}\Z")
-DOMAIN = re.compile(r"[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9-])")
+DOMAIN = re.compile(r"(?:[^\W_]|-){1,63}(?:\.(?:[^\W_]|-){1,63}){0,8}\.[^\W\d_]{2,24}(?![^\W_]|-)")
 SECRET = re.compile(r"""(?i)(?<![A-Za-z])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)["']?\s{0,4}[=:]\s{0,4}["']?([A-Za-z0-9+/_-]{8,256})""")
 HEX = re.compile(r"(?<![A-Za-z0-9])(?=[a-fA-F]*[0-9])[0-9a-fA-F]{32,128}(?![A-Za-z0-9])")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])")
 CARD = re.compile(r"(?<![\d.])\d(?:[ -]?\d){12,18}(?!\d)")
 IP = re.compile(r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)")
+IPV6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}|:(?=:))(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:.]*[\w:])")
+ABROAD = re.compile(r"(?<![\w+])\+\d{1,3}(?:[ .-]?\(?\d\)?){6,13}(?!\d)")
 PHONE = re.compile(r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|(?<!\d)\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)")
-SSN = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")
+SSN = re.compile(r"(?<![\d-])(?<!\d )\d{3}([- ])\d{2}\1\d{4}(?![\d-]| \d)")
 DATE = re.compile(r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\d/-])")
 ANYTHING = re.compile(r"[0-9@=:]").search
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
@@ -54,6 +61,17 @@ def mod97(iban: str) -> int:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
 
+@functools.lru_cache(maxsize=4096)
+def alphabet_of(c: str) -> str:
+    """The characters that may take the place of ``c``: ASCII digits, ASCII letters, or letters and digits of its case among 128 neighbours."""
+    if c.isascii():
+        return "" if not c.isalnum() else "0123456789" if c.isdigit() else "abcdefghijklmnopqrstuvwxyz"
+    if not c.isalnum():
+        return ""
+    begin = max(128, ord(c) & ~127)
+    return "".join(x for x in map(chr, range(begin, begin + 128)) if x.isalnum() and x.isupper() == c.isupper() and x.isdigit() == c.isdigit())
+
+
 class Feistel:
     """Keyed permutation of 0 .. size-1 for any size: two halves of a mixed radix, and walking on while outside."""
 
@@ -91,22 +109,28 @@ class Pseudonyms:
     def permute(self, value: int, size: int, tag: str, member: Callable[[int], bool] = lambda v: True) -> int:
         return self.feistel.permute(value, size, tag, member, self.back)
 
-    def shaped(self, value: str, tag: str, alphabet: str = "") -> str:
+    def shaped(self, value: str, tag: str, alphabet: str = "", member: Callable[[str], bool] | None = None) -> str:
         """Letters and digits within their own class and place; case and everything else stays.
 
-        ``alphabet`` names the characters, if all of the value comes from fewer.
+        ``alphabet`` names the characters, if all of the value comes from fewer;
+        ``member`` tells which results there may be.
         """
-        sets = [alphabet or ("0123456789" if c.isdigit() else "abcdefghijklmnopqrstuvwxyz") if c.isascii() and c.isalnum() else "" for c in value]
+        sets = [(alphabet if c.isascii() and c.isalnum() else "") if alphabet else alphabet_of(c) for c in value]
         number, size = 0, 1
         for c, own in zip(value, sets, strict=True):
             if own:
-                number, size = number * len(own) + own.index(c.lower()), size * len(own)
-        tag += "".join("." if not own else "h" if alphabet else "9" if own[0] == "0" else "a" for own in sets)
-        number, out = self.permute(number, size, tag), []
+                number, size = number * len(own) + own.index(c.lower() if c.isascii() else c), size * len(own)
+        tag += "".join("." if not own else "h" if alphabet else "9" if own[0] == "0" else own[0] for own in sets)
+        fits = (lambda v: member(self.written(v, value, sets, alphabet))) if member else (lambda v: True)
+        return self.written(self.permute(number, size, tag, fits), value, sets, alphabet)
+
+    @staticmethod
+    def written(number: int, value: str, sets: list[str], alphabet: str) -> str:
+        out = []
         for c, own in zip(reversed(value), reversed(sets), strict=True):
             if own:
                 number, k = divmod(number, len(own))
-                c = own[k].upper() if (value.isupper() if alphabet else c.isupper()) else own[k]
+                c = own[k].upper() if c.isascii() and (value.isupper() if alphabet else c.isupper()) else own[k]
             out.append(c)
         return "".join(reversed(out))
 
@@ -125,10 +149,13 @@ class Pseudonyms:
         return self.shaped(value, "secret", "0123456789abcdef" if one_case and re.fullmatch(r"[0-9a-fA-F]{16,}", value) else "")
 
     def iban(self, value: str) -> str | None:
-        if mod97(value) != 1:
+        """In one piece or in groups of four; both get the same pseudonym."""
+        plain = value.replace(" ", "")
+        if not 15 <= len(plain) <= 34 or mod97(plain) != 1:
             return None
-        inner = self.shaped(value[4:], "iban" + value[:2])
-        return f"{value[:2]}{98 - mod97(value[:2] + '00' + inner):02d}{inner}"
+        inner = self.shaped(plain[4:], "iban" + plain[:2])
+        new = iter(f"{plain[:2]}{98 - mod97(plain[:2] + '00' + inner):02d}{inner}")
+        return "".join(c if c == " " else next(new) for c in value)
 
     def card(self, value: str) -> str | None:
         digits = re.sub(r"\D", "", value)
@@ -146,6 +173,28 @@ class Pseudonyms:
         number = self.permute(int.from_bytes(bytes(parts), "big"), 2**32, "ip")
         return ".".join(map(str, number.to_bytes(4, "big")))
 
+    def ipv6(self, value: str) -> str | None:
+        try:
+            ipaddress.IPv6Address(value)
+        except ValueError:
+            return None
+        letters = any(c.isalpha() for c in value)
+        if not any(c.isdigit() for c in value):  # rather a name in some programming language
+            return None
+        if letters and value not in (value.lower(), value.upper()):
+            value = value.lower()
+        return self.shaped(value, "ipv6", "0123456789abcdef", lambda new: any(c.isalpha() for c in new) == letters and any(c.isdigit() for c in new))
+
+    def phone_abroad(self, value: str) -> str | None:
+        """The country's code stays: what stands apart, or else two digits."""
+        digits, head = re.sub(r"\D", "", value), re.match(r"\+(\d{1,3})(?=[ .(-])", value)
+        code = len(head[1]) if head else 2
+        if not 8 <= len(digits) <= 15:
+            return None
+        n, zero = len(digits) - code, digits[code] == "0"
+        number = self.permute(int(digits[code:]), 10**n, f"abroad{digits[:code]}.{n}", lambda v: (v < 10 ** (n - 1)) == zero)
+        return self.refill(value, digits[:code] + f"{number:0{n}d}")
+
     def phone(self, value: str) -> str:
         digits = re.sub(r"\D", "", value)
         own = digits[-10:]
@@ -156,7 +205,7 @@ class Pseudonyms:
 
     def ssn(self, value: str) -> str | None:
         valid = lambda v: 0 < v // 10**6 < 900 and v // 10**6 != 666 and v // 10**4 % 100 > 0 and v % 10**4 > 0
-        number = int(value.replace("-", ""))
+        number = int(re.sub(r"\D", "", value))
         return self.refill(value, f"{self.permute(number, 10**9, 'ssn', valid):09d}") if valid(number) else None
 
     def date(self, value: str) -> str | None:
@@ -199,7 +248,7 @@ class Pseudonyms:
             yield "secret", *m.span(1)
         for m in HEX.finditer(text):
             yield "secret", *m.span()
-        for kind, pattern in (("iban", IBAN), ("card", CARD), ("ip", IP), ("phone", PHONE), ("ssn", SSN), ("date", DATE)):
+        for kind, pattern in (("iban", IBAN), ("card", CARD), ("ip", IP), ("ipv6", IPV6), ("phone", PHONE), ("phone_abroad", ABROAD), ("ssn", SSN), ("date", DATE)):
             for m in pattern.finditer(text):
                 yield kind, *m.span()
 

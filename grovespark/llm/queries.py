@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,12 +48,18 @@ def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 10), tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
-#: The key of the registered query; a user passes one of their own.
-PSEUDONYM_KEY = b"registered query"
+#: Where a session keeps the key of pseudonyms; without one each application draws its own, and its pseudonyms can't be restored later.
+KEY_SETTING = "spark.grovespark.pseudonym.key"
+_OWN_KEY = secrets.token_bytes(32)
+
+
+def pseudonym_key(spark: SparkSession) -> bytes:
+    given = spark.conf.get(KEY_SETTING, None)
+    return given.encode() if given else _OWN_KEY
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.pseudonymise(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+    found = pii.pseudonymise(table(spark, sf_dir, "documents"), pseudonym_key(spark))
     return found.select("doc_id", F.size("kinds").alias("n_pii"), "kinds", "text")
 
 

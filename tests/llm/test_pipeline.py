@@ -24,7 +24,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert not {9001, 9002, 9003} & {r.doc_id for r in kept[0]} and len(kept[0]) >= 115
     texts = [(r.doc_id, r.text) for r in kept[0]]
     assert sorted(r.doc_id for r in kept[1]) == sorted(i for i, _, c in brute(texts, 5, 80) if i == c)
-    work = pii.Pseudonyms(corpus_pipeline.PSEUDONYM_KEY)
+    work = pii.Pseudonyms(corpus_pipeline.pseudonym_key(spark))
     before = {r.doc_id: r.text for r in kept[1]}
     assert {r.doc_id: r.text for r in kept[2]} == {i: work.replace(t)[0] for i, t in before.items()}
     assert all(r.n_chars == len(r.text) for r in kept[2])
