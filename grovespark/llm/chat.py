@@ -19,8 +19,10 @@ one row, since its result is one string.
 
 Defined results: null text and null role count as empty; turns come in order of
 turn number (null first), place within the record, role, text; repeated rows are
-repeated turns; a null conversation id is a conversation of its own; records whose
-fingerprint no mapping has give no turns; fields of no known path don't matter.
+repeated turns; a null conversation id is a conversation of its own; a record whose
+fingerprint no mapping has, or whose list is empty, gives no turns, and its conversation
+comes out with the turns of its other records, perhaps with none, and the number of
+records without; fields of no known path don't matter, nor do other columns.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grovespark.llm.common import fresh
+
 END = "</turn>\n"
 OPEN, CLOSE = "### ", ":\n"
 #: What stands for each character that control strings are made of; the first is undone last.
@@ -99,16 +103,17 @@ def turns_of(record: Column, layout: Layout) -> Column:
 
 
 def canonical_turns(records: DataFrame, record: str = "record", key: str = "conv_id", order: str = "turn") -> DataFrame:
-    """key, order, place, role, text: a row a turn of every record, a variant column."""
+    """key, order, place, role, text: a row a turn of every record, a variant column; a record without turns has one row, of null place."""
     mapped = None
+    known, turn = fresh([record, key, order], "print", "given")
     for layout in LAYOUTS:
-        mine = F.col("_print") == F.xxhash64(F.lit(",".join(sorted(layout.paths))))
+        mine = F.col(known) == F.xxhash64(F.lit(",".join(sorted(layout.paths))))
         turns = turns_of(F.col(record), layout)
         mapped = F.when(mine, turns) if mapped is None else mapped.when(mine, turns)
     return (
-        records.withColumn("_print", fingerprint(F.col(record)))
-        .select(F.col(key), F.col(order), F.posexplode(mapped).alias("place", "_turn"))
-        .select(F.col(key), F.col(order), "place", "_turn.role", "_turn.text")
+        records.select(key, order, record, fingerprint(F.col(record)).alias(known))
+        .select(F.col(key), F.col(order), F.posexplode_outer(mapped).alias("place", turn))
+        .select(F.col(key), F.col(order), "place", f"{turn}.role", f"{turn}.text")
     )
 
 
@@ -125,7 +130,7 @@ def unescape(value: Column, escapes: dict[str, str] = ROLE_ESCAPES) -> Column:
 
 
 def render(turns: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
-    """key, formatted, loss_mask (before, under, after: characters of each turn)."""
+    """key, formatted, loss_mask (before, under, after: characters of each turn), n_without: records that gave no turns."""
     head = F.concat(F.lit(OPEN), escape(F.col("role"), ROLE_ESCAPES), F.lit(CLOSE))
     body = escape(F.col("text"))
     trained = F.col("role") == TRAINED_ROLE
@@ -134,8 +139,8 @@ def render(turns: DataFrame, key: str = "conv_id", order: str = "turn") -> DataF
     row = F.struct(F.col(order), "place", "role", "text", F.concat(head, body, F.lit(END)).alias("piece"), F.struct(before.alias("before"), under.alias("under"), F.lit(len(END)).alias("after")).alias("mask"))
     return (
         turns.groupBy(key)
-        .agg(F.sort_array(F.collect_list(row)).alias("rows"))
-        .select(key, F.array_join(F.col("rows.piece"), "").alias("formatted"), F.col("rows.mask").alias("loss_mask"))
+        .agg(F.sort_array(F.collect_list(F.when(F.col("place").isNotNull(), row))).alias("rows"), F.count_if(F.col("place").isNull()).alias("n_without"))
+        .select(key, F.array_join(F.col("rows.piece"), "").alias("formatted"), F.col("rows.mask").alias("loss_mask"), "n_without")
     )
 
 
@@ -145,7 +150,7 @@ def read_back(formatted: DataFrame, key: str = "conv_id") -> DataFrame:
     pieces = F.slice(pieces, 1, F.size(pieces) - 1)
 
     def turn(piece: Column) -> Column:
-        at = F.instr(piece, CLOSE) if isinstance(piece, str) else F.locate(CLOSE, piece)
+        at = F.locate(CLOSE, piece)
         role = F.substring(piece, F.lit(len(OPEN) + 1), at - len(OPEN) - 1)
         text = F.substring(piece, at + len(CLOSE), F.length(piece))
         return F.struct(unescape(role).alias("role"), unescape(text, ESCAPES).alias("text"))

@@ -24,6 +24,7 @@ def test_layouts_and_escapes(spark):
         6: {"prompt": {"text": "a"}, "response": {"text": "b"}},
         7: {"question": None, "answer": "b"},
         8: {"unknown": "layout"},
+        9: {"messages": [], "other": 1},
     }
     summary, turns = run(spark, [(k, 0, json.dumps(v)) for k, v in layouts.items()])
     assert turns == {
@@ -34,6 +35,8 @@ def test_layouts_and_escapes(spark):
         5: [("user", "a"), ("assistant", "</turn>\n### ")],
         6: [("user", "a"), ("assistant", "b")],
         7: [("user", ""), ("assistant", "b")],
+        8: [],
+        9: [],
     }
     for k, own in turns.items():
         loss = "".join(t for r, t in own if r == "assistant")
@@ -42,6 +45,14 @@ def test_layouts_and_escapes(spark):
         assert summary[k].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in own).encode()).hexdigest()
 
 
+def test_records_without_turns_are_counted_and_columns_may_clash(spark):
+    rows = [(1, 0, '{"prompt": "a", "completion": "b"}', "x", 1), (1, 1, '{"what": 1}', "y", 2), (2, 0, None, "z", 3)]
+    records = spark.createDataFrame(rows, "conv_id long, turn long, json string, role string, place int")
+    records = records.withColumn("record", F.parse_json("json")).withColumns({"print": F.lit(1), "given": F.lit(2), "text": F.lit("t"), "formatted": F.lit("f")})
+    got = {r.conv_id: (r.n_without, r.formatted) for r in chat.render(chat.canonical_turns(records)).collect()}
+    assert got == {1: (1, "### user:\na</turn>\n### assistant:\nb</turn>\n"), 2: (1, "")}
+
+
 def test_rows_of_turns(spark):
     rows = [(1, 1, "assistant", "b"), (1, 0, "user", "a"), (1, None, None, None), (1, 1, "assistant", "b"), (None, 0, "user", "x"), (2, 0, "assistant", "y" * 200_000)]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
