@@ -37,6 +37,8 @@ from grovespark.llm.components import components
 from grovespark.llm.jaccard import by_group
 
 BLOCK = 1024
+#: Pairs computed exactly at once.
+PAIRS = 16_384
 #: Width of the confidence bound in standard deviations; a linking pair is lost with a chance of about 1e-9.
 CONFIDENCE = 6.0
 #: Chance that a pair just at the threshold meets in no table.
@@ -112,7 +114,9 @@ def block_links(group: pd.DataFrame, threshold: float, tables: int, bits: int) -
         both = np.unique(i * len(x) + j)
         i, j = both // len(x), both % len(x)
         i, j = i[i != j], j[i != j]
-    keep = exact(x[i], x[j]) >= threshold
+    keep = np.zeros(len(i), dtype=bool)
+    for at in range(0, len(i), PAIRS):
+        keep[at : at + PAIRS] = exact(x[i[at : at + PAIRS]], x[j[at : at + PAIRS]]) >= threshold
     i, j = i[keep], j[keep]
     if table:
         met = bucket_codes(x, tables, bits)[:, :table]
