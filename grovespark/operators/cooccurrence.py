@@ -88,8 +88,9 @@ def top_and_fill(lifted: DataFrame, popular: DataFrame, per_row: int, most: int)
 
 def lift_matrix(rows: DataFrame, columns: DataFrame, lifted: DataFrame) -> DataFrame:
     """row, col, value = exp(lift), 0 for pairs never seen; for the chosen rows and columns."""
-    grid = rows.select("row").join(lifted.select("row", "col", "lift"), "row", "left").join(columns.select("col"), "col", "left_semi")
-    return grid.select("row", "col", F.exp("lift").alias("value"))
+    # the matrix is the result: chosen rows times chosen columns
+    grid = rows.select("row").distinct().crossJoin(columns.select("col").distinct()).join(lifted.select("row", "col", "lift"), ["row", "col"], "left")
+    return grid.select("row", "col", F.coalesce(F.exp("lift"), F.lit(0.0)).alias("value"))
 
 
 def suggestions(documents: DataFrame, scores: DataFrame) -> DataFrame:

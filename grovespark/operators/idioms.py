@@ -19,8 +19,9 @@ def parse_forms(forms: DataFrame) -> DataFrame:
 
     The parent of a token is found by the counts: token i's depth in the pre-order
     follows from how many children are still open, a running sum over the tokens.
+    Labels may hold blanks; a token ends with its closing bracket.
     """
-    token = forms.select("rule_id", F.posexplode(F.split("form", " ")).alias("node_id", "token"))
+    token = forms.select("rule_id", F.posexplode(F.split("form", r"(?<=\)) ")).alias("node_id", "token"))
     label = F.regexp_extract("token", r"^(.*)\(([0-9.]*)\)$", 1)
     counts = F.regexp_extract("token", r"^(.*)\(([0-9.]*)\)$", 2)
     rows = token.select("rule_id", "node_id", label.alias("label"), F.when(counts == "", F.array().cast("array<int>")).otherwise(F.split(counts, r"\.").cast("array<int>")).alias("child_counts"))
@@ -116,7 +117,7 @@ def rank_greedily(covered: DataFrame, gains: DataFrame, limit: int = 25) -> Data
         left = left.join(taken, ["tree_id", "node_id"], "left_anti")
         if rank % 4 == 0:
             left = cut(left)
-    return spark.createDataFrame(out, "rank int, rule_id long, score double")
+    return spark.createDataFrame(out, f"rank int, rule_id {covered.schema['rule_id'].dataType.simpleString()}, score double")
 
 
 def clone_overlap(cluster_nodes: DataFrame, levels: int, accept: float = 0.9) -> DataFrame:

@@ -1,17 +1,23 @@
 """Structural matching: patterns against trees, level by level.
 
 Patterns and trees are node tables; patterns carry ``rule_id`` in place of
-``tree_id``.  Tops are joined on label and number of properties; then children of
-aligned nodes are joined on their place below them.  The number of joins is the
-height of the tallest pattern, each an equi-join on tree and parent, so large
-trees, many trees and many patterns all spread out.
+``tree_id``.  A pattern's children are the first ones in each property of the tree
+node's, so tops are joined on label, number of properties and a hash of the children
+of one property, the one in which the pattern has most: every tree node has one hash
+for each number of first children, a running value, so there are as many rows as
+nodes and only tops whose children agree there meet.  Then children of aligned nodes
+are joined on their place below them.  The number of joins is the height of the
+tallest pattern, each an equi-join on tree and parent, so large trees, many trees and
+many patterns all spread out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from grovespark.plans.state import cut
+
 
 def _pattern(patterns: DataFrame) -> DataFrame:
     names = {"node_id": "p_id", "parent_id": "p_parent", "prop_idx": "p_prop", "child_idx": "p_idx", "label": "p_label", "n_props": "p_props", "child_counts": "p_counts", "is_leaf": "p_leaf"}
@@ -37,17 +43,35 @@ def aligned(patterns: DataFrame, nodes: DataFrame, all_children: bool = False, o
     # a pattern node's children are the first in each property of the tree node's
     room = F.forall(F.zip_with("p_counts", "child_counts", lambda a, b: a <= b), lambda x: x)
     fits &= (F.col("p_leaf") | (F.col("p_counts") == F.col("child_counts"))) if all_children else room
-    tops = p.where("p_parent IS NULL").join(t, F.expr("p_label = label AND p_props = n_props")).where(fits)
-    found = now = tops.select("rule_id", "tree_id", F.col("node_id").alias("anchor"), "p_id", "node_id")
-    below = p.where("p_parent IS NOT NULL")
-    for _ in range(height(patterns)):
+    below, levels = p.where("p_parent IS NOT NULL"), height(patterns)
+    found = now = cut(agreeing_tops(p, t).where(fits).select("rule_id", "tree_id", F.col("node_id").alias("anchor"), "p_id", "node_id"))
+    for level in range(levels):
         pairs = now.select("rule_id", "tree_id", "anchor", F.col("p_id").alias("p_parent"), F.col("node_id").alias("parent_id"))
         wanted = pairs.join(below, ["rule_id", "p_parent"]).withColumnsRenamed({"p_prop": "prop_idx", "p_idx": "child_idx"})
         now = wanted.join(t, ["tree_id", "parent_id", "prop_idx", "child_idx"]).where(fits).select("rule_id", "tree_id", "anchor", "p_id", "node_id")
+        if level + 1 < levels:
+            now = cut(now)
         found = found.unionByName(now)
     return found
 
 
+def agreeing_tops(p: DataFrame, t: DataFrame) -> DataFrame:
+    """Pattern tops with tree nodes of equal label, number of properties and first children in the pattern's fullest property."""
+    tops = p.where("p_parent IS NULL")
+    child = F.xxhash64("p_idx", "p_label", "p_props")
+    lists = p.join(tops.select("rule_id", F.col("p_id").alias("p_parent")), ["rule_id", "p_parent"]).groupBy("rule_id", "p_prop").agg(F.count("*").alias("k"), F.bit_xor(child).alias("key"))
+    fullest = lists.groupBy("rule_id").agg(F.max(F.struct("k", "p_prop", "key")).alias("x")).select("rule_id", F.col("x.k").alias("first"), F.col("x.p_prop").alias("of"), F.col("x.key").alias("key"))
+    so_far = Window.partitionBy("tree_id", "parent_id", "prop_idx").orderBy("child_idx").rowsBetween(Window.unboundedPreceding, 0)
+    prefixes = t.where("parent_id IS NOT NULL").select(
+        "tree_id", F.col("parent_id").alias("node_id"), (F.col("child_idx") + 1).cast("long").alias("first"), F.col("prop_idx").alias("of"), F.bit_xor(F.xxhash64("child_idx", "label", "n_props")).over(so_far).alias("key")
+    )
+    keyed = tops.join(fullest, "rule_id")
+    met = keyed.join(prefixes.join(t, ["tree_id", "node_id"]), ["first", "of", "key"]).where("p_label = label AND p_props = n_props")
+    alone = tops.join(fullest, "rule_id", "left_anti").join(t, F.expr("p_label = label AND p_props = n_props"))
+    columns = [*tops.columns, *t.columns]
+    return met.select(columns).unionByName(alone.select(columns))
+
+
 def pattern_sizes(patterns: DataFrame) -> DataFrame:
     return patterns.groupBy("rule_id").agg(F.count("*").alias("size"))
 

@@ -290,84 +290,97 @@ def tree_posterior(spark, sf_dir):
     return out.select("tree_id", F.round("log2p", 6).alias("log2p"), "nodes")
 
 
-#: Patterns are the trees of orders of every 25th customer: one fragment an order, its items below.
+#: Patterns are the forms of fragments that occur at least three times with two nodes or more, in all trees; a form is its own id.
+#: Their nodes are those of a form's first occurrence.
 PATTERNS = """
-patterns AS (
-  SELECT o.tree_id * 1000 + o.node_id AS rule_id, n.node_id - o.node_id AS node_id, CASE WHEN n.node_id = o.node_id THEN NULL ELSE 0 END AS parent_id,
-    CASE WHEN n.node_id = o.node_id THEN NULL ELSE n.prop_idx END AS prop_idx, CASE WHEN n.node_id = o.node_id THEN NULL ELSE n.child_idx END AS child_idx,
-    n.label, n.n_props, n.child_counts, n.is_leaf
-  FROM nodes o JOIN nodes n ON n.tree_id = o.tree_id AND n.node_id BETWEEN o.node_id AND o.last_desc WHERE o.depth = 1 AND o.tree_id % 25 = 0),
-sizes AS (SELECT rule_id, count(*) AS size FROM patterns GROUP BY rule_id)"""
-
-
-def patterns_of(nodes: DataFrame) -> DataFrame:
-    tops = nodes.where("depth = 1 AND tree_id % 25 = 0").select("tree_id", F.col("node_id").alias("o_id"), F.col("last_desc").alias("o_last"))
-    rows = nodes.join(tops, "tree_id").where("node_id BETWEEN o_id AND o_last")
-    below = F.col("node_id") > F.col("o_id")
-    return rows.select(
-        (F.col("tree_id") * 1000 + F.col("o_id")).alias("rule_id"), (F.col("node_id") - F.col("o_id")).alias("node_id"), F.when(below, 0).alias("parent_id"),
-        F.when(below, F.col("prop_idx")).alias("prop_idx"), F.when(below, F.col("child_idx")).alias("child_idx"), "label", "n_props", "child_counts", "is_leaf",
-    )
-
-
-ALIGNED = """
-aligned AS (
-  SELECT p.rule_id, n.tree_id, n.node_id AS anchor, p.node_id AS p_id, n.node_id FROM patterns p JOIN nodes n ON p.parent_id IS NULL AND p.label = n.label AND p.n_props = n.n_props
-  WHERE {top}
-  UNION ALL
-  SELECT p.rule_id, t.tree_id, t.node_id, q.node_id, n.node_id FROM patterns p JOIN nodes t ON p.parent_id IS NULL AND p.label = t.label AND p.n_props = t.n_props AND {at_t}
-    JOIN patterns q ON q.rule_id = p.rule_id AND q.parent_id = 0
-    JOIN nodes n ON n.tree_id = t.tree_id AND n.parent_id = t.node_id AND n.prop_idx = q.prop_idx AND n.child_idx = q.child_idx AND n.label = q.label AND n.n_props = q.n_props),
-sites AS (SELECT rule_id, tree_id, anchor FROM aligned JOIN sizes USING (rule_id) GROUP BY rule_id, tree_id, anchor, size HAVING count(*) = size),
+kept AS MATERIALIZED (SELECT replace(rhs, '*', '') AS rule_id, size, CAST(sum(cnt) AS BIGINT) AS cnt FROM tsg WHERE cnt >= 3 AND size >= 2 GROUP BY 1, 2),
+examples AS (SELECT rule_id, min({{'t': f.tree_id, 'r': f.frag_root}}) AS x FROM kept JOIN frags f ON replace(f.rhs, '*', '') = rule_id GROUP BY rule_id),
+ranked AS (
+  SELECT e.rule_id, f.tree_id, f.node_id AS old_id, f.frag_root, f.label, f.child_counts, CAST(row_number() OVER (PARTITION BY e.rule_id ORDER BY f.node_id) - 1 AS INT) AS node_id
+  FROM examples e JOIN frag_nodes f ON f.tree_id = e.x.t AND f.frag_root = e.x.r),
+patterns AS MATERIALIZED (
+  SELECT r.rule_id, r.node_id, u.node_id AS parent_id, CASE WHEN u.node_id IS NULL THEN NULL ELSE n.prop_idx END AS prop_idx, CASE WHEN u.node_id IS NULL THEN NULL ELSE n.child_idx END AS child_idx,
+    r.label, n.n_props, r.child_counts, coalesce(list_sum(r.child_counts), 0) = 0 AS is_leaf
+  FROM ranked r JOIN nodes n ON n.tree_id = r.tree_id AND n.node_id = r.old_id
+  LEFT JOIN ranked u ON u.rule_id = r.rule_id AND u.old_id = n.parent_id AND r.old_id != r.frag_root),
+sizes AS (SELECT rule_id, count(*) AS size FROM patterns GROUP BY rule_id)""".replace("{{", "{").replace("}}", "}")
+
+
+def forms_of(rooted: DataFrame) -> DataFrame:
+    """rule_id (the form), size, cnt of the frequent fragments."""
+    counted = gr.count_fragments(gr.fragments(rooted)).withColumn("rule_id", F.regexp_replace("rhs", r"\*", ""))
+    kept = idioms.frequent(counted, 3, 2).withColumnRenamed("form", "rule_id")
+    return counted.where("cnt >= 3").join(kept, ["rule_id", "size"]).groupBy("rule_id", "size").agg(F.sum("cnt").alias("cnt"))
+
+
+def patterns_of(rooted: DataFrame) -> DataFrame:
+    """Node rows of the frequent forms."""
+    return cut(idioms.parse_forms(forms_of(rooted).select("rule_id", F.col("rule_id").alias("form"))))
+
+
+def pattern_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rooted = cut(rooted_of(spark, sf_dir))
+    return patterns_of(rooted), rooted.drop("is_root")
+
+
+NEXT = """
+al{i} AS (
+  SELECT a.rule_id, a.tree_id, a.anchor, p.node_id AS p_id, n.node_id FROM al{h} a JOIN patterns p ON p.rule_id = a.rule_id AND p.parent_id = a.p_id
+    JOIN nodes n ON n.tree_id = a.tree_id AND n.parent_id = a.node_id AND n.prop_idx = p.prop_idx AND n.child_idx = p.child_idx AND n.label = p.label AND n.n_props = p.n_props AND {{fits}})"""
+ALIGNED = (
+    """
+al0 AS (SELECT p.rule_id, n.tree_id, n.node_id AS anchor, p.node_id AS p_id, n.node_id FROM patterns p JOIN nodes n ON p.parent_id IS NULL AND p.label = n.label AND p.n_props = n.n_props AND {fits}),"""
+    + NEXT.format(h=0, i=1) + "," + NEXT.format(h=1, i=2) + """,
+aligned AS MATERIALIZED (SELECT * FROM al0 UNION ALL SELECT * FROM al1 UNION ALL SELECT * FROM al2),
+sites AS MATERIALIZED (SELECT rule_id, tree_id, anchor FROM aligned JOIN sizes USING (rule_id) GROUP BY rule_id, tree_id, anchor, size HAVING count(*) = size),
 covered AS (SELECT rule_id, tree_id, anchor, node_id FROM aligned JOIN sites USING (rule_id, tree_id, anchor))"""
-FITS = "p.child_counts[1] <= {0}.child_counts[1] AND p.child_counts[2] <= {0}.child_counts[2]"
-EXACT = "(p.is_leaf OR p.child_counts = {0}.child_counts)"
-PREFIX = ALIGNED.format(top=FITS.format("n"), at_t=FITS.format("t"))
-WHOLE = ALIGNED.format(top=EXACT.format("n"), at_t=EXACT.format("t"))
+)
+MINED = (ROOTED, FRAGMENTS, PATTERNS)
+PREFIX = ALIGNED.format(fits="coalesce(p.child_counts[1] <= n.child_counts[1], true) AND coalesce(p.child_counts[2] <= n.child_counts[2], true)")
+WHOLE = ALIGNED.format(fits="(p.is_leaf OR p.child_counts = n.child_counts)")
 
 
-@query(over_nodes("SELECT * FROM sites", PATTERNS, PREFIX))
+@query(over_nodes("SELECT * FROM sites", *MINED, PREFIX))
 def match_partial(spark, sf_dir):
-    nodes = nodes_of(spark, sf_dir)
-    return ma.match_sites(patterns_of(nodes), nodes)
+    return ma.match_sites(*pattern_table(spark, sf_dir))
 
 
-@query(over_nodes("SELECT * FROM sites", PATTERNS, WHOLE))
+@query(over_nodes("SELECT * FROM sites", *MINED, WHOLE))
 def match_all_children(spark, sf_dir):
-    nodes = nodes_of(spark, sf_dir)
-    return ma.match_sites(patterns_of(nodes), nodes, all_children=True)
+    return ma.match_sites(*pattern_table(spark, sf_dir), all_children=True)
+
+
+SUPER = """
+s0 AS MATERIALIZED (SELECT p.rule_id, t.tree_id, t.node_id AS anchor, p.node_id AS p_id, t.node_id FROM patterns p JOIN nodes t ON p.parent_id IS NULL AND p.label = t.label AND p.n_props = t.n_props)""" + "".join(
+    f""",
+b{i} AS (
+  SELECT s.rule_id, s.tree_id, s.anchor, q.node_id AS p_id, c.node_id, p.is_leaf AS p_leaf, coalesce(q.label = c.label AND q.n_props = c.n_props, false) AS agrees, t.is_leaf OR coalesce(p.child_counts[1] < t.child_counts[1], false) OR coalesce(p.child_counts[2] < t.child_counts[2], false) AS fewer
+  FROM s{i} s JOIN patterns p ON p.rule_id = s.rule_id AND p.node_id = s.p_id JOIN nodes t ON t.tree_id = s.tree_id AND t.node_id = s.node_id
+  LEFT JOIN nodes c ON NOT p.is_leaf AND c.tree_id = s.tree_id AND c.parent_id = s.node_id LEFT JOIN patterns q ON q.rule_id = s.rule_id AND q.parent_id = s.p_id AND q.prop_idx = c.prop_idx AND q.child_idx = c.child_idx),
+s{i + 1} AS (SELECT rule_id, tree_id, anchor, p_id, node_id FROM b{i} WHERE agrees)"""
+    for i in range(3)
+)
+BAD = " UNION ".join(f"SELECT rule_id, tree_id, anchor FROM b{i} WHERE NOT p_leaf AND (fewer OR NOT agrees)" for i in range(3))
 
 
-@query(
-    over_nodes(
-        """SELECT p.rule_id, t.tree_id, t.node_id AS anchor FROM patterns p JOIN nodes t ON p.parent_id IS NULL AND p.label = t.label AND p.n_props = t.n_props
-WHERE p.is_leaf OR (NOT t.is_leaf AND p.child_counts[1] >= t.child_counts[1] AND p.child_counts[2] >= t.child_counts[2]
-  AND NOT EXISTS (SELECT 1 FROM nodes c LEFT JOIN patterns q ON q.rule_id = p.rule_id AND q.parent_id = 0 AND q.prop_idx = c.prop_idx AND q.child_idx = c.child_idx
-    WHERE c.tree_id = t.tree_id AND c.parent_id = t.node_id AND (q.label IS NULL OR q.label != c.label)))""",
-        PATTERNS,
-    )
-)
+@query(over_nodes(f"SELECT rule_id, tree_id, anchor FROM s0 EXCEPT ({BAD})", *MINED, SUPER))
 def match_supertree(spark, sf_dir):
-    nodes = nodes_of(spark, sf_dir)
-    return ma.supertree_sites(patterns_of(nodes), nodes)
+    return ma.supertree_sites(*pattern_table(spark, sf_dir))
 
 
-@query(over_nodes("SELECT tree_id, rule_id, count(*) AS sites FROM sites GROUP BY tree_id, rule_id", PATTERNS, PREFIX))
+@query(over_nodes("SELECT tree_id, rule_id, count(*) AS sites FROM sites GROUP BY tree_id, rule_id", *MINED, PREFIX))
 def match_sites(spark, sf_dir):
-    nodes = nodes_of(spark, sf_dir)
-    return ma.patterns_in_trees(patterns_of(nodes), nodes)
+    return ma.patterns_in_trees(*pattern_table(spark, sf_dir))
 
 
-@query(over_nodes("SELECT DISTINCT tree_id, node_id FROM covered", PATTERNS, PREFIX))
+@query(over_nodes("SELECT DISTINCT tree_id, node_id FROM covered", *MINED, PREFIX))
 def covered_nodes(spark, sf_dir):
-    nodes = nodes_of(spark, sf_dir)
-    return ma.covered_nodes(patterns_of(nodes), nodes).select("tree_id", "node_id").distinct()
+    return ma.covered_nodes(*pattern_table(spark, sf_dir)).select("tree_id", "node_id").distinct()
 
 
-@query(over_nodes("SELECT tree_id, round(CAST(count(*) AS DOUBLE) / count(DISTINCT node_id), 9) AS ratio FROM covered GROUP BY tree_id", PATTERNS, PREFIX))
+@query(over_nodes("SELECT tree_id, round(CAST(count(*) AS DOUBLE) / count(DISTINCT node_id), 9) AS ratio FROM covered GROUP BY tree_id", *MINED, PREFIX))
 def duplication_ratio(spark, sf_dir):
-    nodes = nodes_of(spark, sf_dir)
-    return ma.duplication(ma.covered_nodes(patterns_of(nodes), nodes)).withColumn("ratio", F.round("ratio", 9))
+    return ma.duplication(ma.covered_nodes(*pattern_table(spark, sf_dir))).withColumn("ratio", F.round("ratio", 9))
 
 
 PAIRS = "pairs AS (SELECT c_custkey AS a, c_custkey + 1 AS b FROM customer)"
@@ -411,7 +424,7 @@ def similar_pairs_removed(spark, sf_dir):
     return st.similarity(st.label_multiset(nodes_of(spark, sf_dir)), neighbours(spark, sf_dir)).where("similarity <= 0.8").select("a", "b")
 
 
-KEPT = "kept AS (SELECT rule_id, size, size % 5 + 8 AS cnt FROM sizes), tree_sizes AS (SELECT tree_id, count(*) AS size FROM nodes GROUP BY tree_id)"
+KEPT = "tree_sizes AS (SELECT tree_id, count(*) AS size FROM nodes GROUP BY tree_id)"
 
 
 @query(over_nodes("SELECT DISTINCT replace(rhs, '*', '') AS form, size FROM tsg WHERE cnt >= 3 AND size >= 2", ROOTED, FRAGMENTS))
@@ -419,10 +432,9 @@ def pattern_filter(spark, sf_dir):
     return idioms.frequent(gr.count_fragments(gr.fragments(rooted_of(spark, sf_dir))), 3, 2)
 
 
-@query(over_nodes("SELECT rule_id, count(DISTINCT tree_id) AS files FROM sites GROUP BY rule_id HAVING count(DISTINCT tree_id) >= 3", PATTERNS, PREFIX))
+@query(over_nodes("SELECT rule_id, count(DISTINCT tree_id) AS files FROM sites GROUP BY rule_id HAVING count(DISTINCT tree_id) >= 3", *MINED, PREFIX))
 def pattern_docfreq(spark, sf_dir):
-    nodes = nodes_of(spark, sf_dir)
-    return idioms.document_frequency(ma.patterns_in_trees(patterns_of(nodes), nodes), 3)
+    return idioms.document_frequency(ma.patterns_in_trees(*pattern_table(spark, sf_dir)), 3)
 
 
 FILES = """
@@ -434,17 +446,16 @@ files AS (
 
 
 def file_table(spark, sf_dir):
-    nodes = nodes_of(spark, sf_dir)
-    patterns = patterns_of(nodes)
+    patterns, nodes = pattern_table(spark, sf_dir)
     return idioms.file_statistics(ma.covered_nodes(patterns, nodes), st.tree_sizes(nodes), ma.pattern_sizes(patterns))
 
 
-@query(over_nodes("SELECT tree_id, round(coverage, 9) AS coverage, round(file_recall, 9) AS file_recall, round(mean_size, 9) AS mean_size, sites FROM files", PATTERNS, PREFIX, KEPT, FILES))
+@query(over_nodes("SELECT tree_id, round(coverage, 9) AS coverage, round(file_recall, 9) AS file_recall, round(mean_size, 9) AS mean_size, sites FROM files", *MINED, PREFIX, KEPT, FILES))
 def pattern_stats(spark, sf_dir):
     return file_table(spark, sf_dir).select("tree_id", *[F.round(c, 9).alias(c) for c in ("coverage", "file_recall", "mean_size")], "sites")
 
 
-@query(over_nodes("SELECT round(avg(coverage), 9) AS coverage, round(avg(file_recall), 9) AS file_recall, round(avg(mean_size), 9) AS mean_size, CAST(sum(sites) AS BIGINT) AS sites FROM files", PATTERNS, PREFIX, KEPT, FILES))
+@query(over_nodes("SELECT round(avg(coverage), 9) AS coverage, round(avg(file_recall), 9) AS file_recall, round(avg(mean_size), 9) AS mean_size, CAST(sum(sites) AS BIGINT) AS sites FROM files", *MINED, PREFIX, KEPT, FILES))
 def pattern_corpus_stats(spark, sf_dir):
     return idioms.corpus_statistics(file_table(spark, sf_dir)).select(*[F.round(c, 9).alias(c) for c in ("coverage", "file_recall", "mean_size")], "sites")
 
@@ -452,16 +463,15 @@ def pattern_corpus_stats(spark, sf_dir):
 @query(
     over_nodes(
         """SELECT min_count, min_size, count(*) AS patterns, count(*) FILTER (s.sites > 0) AS seen, round(CAST(count(*) FILTER (s.sites > 0) AS DOUBLE) / count(*), 9) AS recall, CAST(coalesce(sum(s.sites), 0) AS BIGINT) AS sites
-FROM kept k LEFT JOIN (SELECT rule_id, count(*) AS sites FROM sites WHERE tree_id % 25 != 0 GROUP BY rule_id) s USING (rule_id), (VALUES (8), (10), (12)) c(min_count), (VALUES (2), (4), (6)) z(min_size)
+FROM kept k LEFT JOIN (SELECT rule_id, count(*) AS sites FROM sites GROUP BY rule_id) s USING (rule_id), (VALUES (3), (5), (10)) c(min_count), (VALUES (2), (4), (6)) z(min_size)
 WHERE k.cnt >= min_count AND k.size >= min_size GROUP BY min_count, min_size""",
-        PATTERNS, PREFIX, KEPT,
+        *MINED, PREFIX, KEPT,
     )
 )
 def pattern_threshold_grid(spark, sf_dir):
-    nodes = nodes_of(spark, sf_dir)
-    patterns = patterns_of(nodes)
-    kept = ma.pattern_sizes(patterns).withColumn("cnt", F.col("size") % 5 + 8)
-    out = idioms.threshold_grid(ma.patterns_in_trees(patterns, nodes).where("tree_id % 25 != 0"), kept, [8, 10, 12], [2, 4, 6])
+    patterns, nodes = pattern_table(spark, sf_dir)
+    kept = forms_of(st.with_roots(nodes, (F.col("tree_id") + F.col("node_id")) % 3 == 0))
+    out = idioms.threshold_grid(ma.patterns_in_trees(patterns, nodes), kept, [3, 5, 10], [2, 4, 6])
     return out.withColumn("recall", F.round("recall", 9))
 
 
@@ -470,12 +480,11 @@ def pattern_threshold_grid(spark, sf_dir):
         """SELECT (SELECT count(*) FROM (SELECT DISTINCT tree_id, node_id FROM covered)) AS covered, (SELECT count(*) FROM nodes) AS nodes,
   round((SELECT count(*) FROM (SELECT DISTINCT tree_id, node_id FROM covered)) / CAST((SELECT count(*) FROM nodes) AS DOUBLE), 9) AS coverage,
   round((SELECT count(DISTINCT rule_id) FROM covered) / CAST((SELECT count(*) FROM sizes) AS DOUBLE), 9) AS precision""",
-        PATTERNS, PREFIX,
+        *MINED, PREFIX,
     )
 )
 def pattern_coverage(spark, sf_dir):
-    nodes = nodes_of(spark, sf_dir)
-    patterns = patterns_of(nodes)
+    patterns, nodes = pattern_table(spark, sf_dir)
     out = idioms.coverage(ma.covered_nodes(patterns, nodes), st.tree_sizes(nodes), patterns)
     return out.withColumns({"coverage": F.round("coverage", 9), "precision": F.round("precision", 9)})
 
@@ -483,30 +492,31 @@ def pattern_coverage(spark, sf_dir):
 @query(
     over_nodes(
         """SELECT min_size, count(*) AS patterns, CAST(sum(hit) AS BIGINT) AS seen, round(avg(hit), 9) AS recall
-FROM (SELECT k.rule_id, k.size, CASE WHEN EXISTS (SELECT 1 FROM sites s WHERE s.rule_id = k.rule_id AND s.tree_id % 25 != 0) THEN 1 ELSE 0 END AS hit FROM sizes k), (VALUES (1), (3), (5), (8)) v(min_size)
+FROM (SELECT k.rule_id, k.size, CASE WHEN EXISTS (SELECT 1 FROM sites s WHERE s.rule_id = k.rule_id) THEN 1 ELSE 0 END AS hit FROM sizes k), (VALUES (1), (3), (5), (8)) v(min_size)
 WHERE size >= min_size GROUP BY min_size""",
-        PATTERNS, PREFIX,
+        *MINED, PREFIX,
     )
 )
 def snippet_recall(spark, sf_dir):
-    nodes = nodes_of(spark, sf_dir)
-    patterns = patterns_of(nodes)
-    seen = ma.match_sites(patterns, nodes).where("tree_id % 25 != 0")
+    patterns, nodes = pattern_table(spark, sf_dir)
+    seen = ma.match_sites(patterns, nodes)
     return idioms.recall_by_size(seen, ma.pattern_sizes(patterns), [1, 3, 5, 8]).withColumn("recall", F.round("recall", 9))
 
 
-@query(over_nodes("SELECT rule_id, count(*) AS files, CAST(sum(n) AS BIGINT) AS sites, min(tree_id) AS first_file, max(tree_id) AS last_file FROM (SELECT rule_id, tree_id, count(*) AS n FROM sites GROUP BY rule_id, tree_id) GROUP BY rule_id", PATTERNS, PREFIX))
+@query(over_nodes("SELECT rule_id, count(*) AS files, CAST(sum(n) AS BIGINT) AS sites, min(tree_id) AS first_file, max(tree_id) AS last_file FROM (SELECT rule_id, tree_id, count(*) AS n FROM sites GROUP BY rule_id, tree_id) GROUP BY rule_id", *MINED, PREFIX))
 def pattern_file_index(spark, sf_dir):
-    nodes = nodes_of(spark, sf_dir)
-    return idioms.pattern_index(ma.patterns_in_trees(patterns_of(nodes), nodes))
+    return idioms.pattern_index(ma.patterns_in_trees(*pattern_table(spark, sf_dir)))
 
 
 @query()
 def idiom_rank_greedy(spark, sf_dir):
-    nodes = nodes_of(spark, sf_dir)
-    patterns = patterns_of(nodes)
-    gains = ma.pattern_sizes(patterns).where("size >= 2").withColumn("gain", 1.0 + F.col("rule_id") % 7)
-    return idioms.rank_greedily(ma.covered_nodes(patterns, nodes), gains, 5)
+    """By how much a fragment's own probability exceeds that of its rules, in bits."""
+    patterns, nodes = pattern_table(spark, sf_dir)
+    found, priors = fragment_priors(spark, sf_dir)
+    scored = pr.fragment_posteriors(found, priors, alpha=1.0)
+    gain = F.greatest(F.lit(0.0), F.avg(F.log2(F.col("cnt") / F.col("total")) - F.col("prior")))
+    gains = scored.groupBy(F.regexp_replace("rhs", r"\*", "").alias("rule_id")).agg(gain.alias("gain"))
+    return idioms.rank_greedily(ma.covered_nodes(patterns, nodes), ma.pattern_sizes(patterns).join(gains, "rule_id"))
 
 
 @query()
@@ -584,17 +594,17 @@ def top_patterns(spark, sf_dir):
     return co.top_and_fill(event_lifts(spark, sf_dir), co.popularity(event_elements(spark, sf_dir)[1], "col"), 1, 8)
 
 
-@query(f"WITH {EVENT}, {LIFT} SELECT row, col, round(exp(lift), 6) AS value FROM lifted WHERE row != 'error' AND col < 'h2'")
+@query(f"WITH {EVENT}, {LIFT} SELECT r.row, c.col, coalesce(round(exp(lift), 6), 0.0) AS value FROM nr r CROSS JOIN nc c LEFT JOIN lifted l ON l.row = r.row AND l.col = c.col")
 def lift_matrix(spark, sf_dir):
     rows, cols = event_elements(spark, sf_dir)
-    return co.lift_matrix(rows.select("row").distinct().where("row != 'error'"), cols.select("col").distinct().where("col < 'h2'"), event_lifts(spark, sf_dir)).withColumn("value", F.round("value", 6))
+    return co.lift_matrix(rows, cols, event_lifts(spark, sf_dir)).withColumn("value", F.round("value", 6))
 
 
-ITEMS = "items_in AS (SELECT DISTINCT l_orderkey AS doc, l_suppkey % 40 AS item FROM lineitem), single AS (SELECT item, count(*) AS c FROM items_in GROUP BY item), cooc AS (SELECT x.item AS a, y.item AS b, count(*) AS n FROM items_in x JOIN items_in y ON x.doc = y.doc AND x.item < y.item GROUP BY 1, 2)"
+ITEMS = "items_in AS (SELECT DISTINCT l_orderkey AS doc, l_suppkey AS item FROM lineitem), single AS (SELECT item, count(*) AS c FROM items_in GROUP BY item), cooc AS (SELECT x.item AS a, y.item AS b, count(*) AS n FROM items_in x JOIN items_in y ON x.doc = y.doc AND x.item < y.item GROUP BY 1, 2)"
 
 
 def order_items(spark, sf_dir):
-    return read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), (F.col("l_suppkey") % 40).alias("item")).distinct()
+    return read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_suppkey").alias("item")).distinct()
 
 
 @query(f"WITH {ITEMS}, t AS (SELECT (SELECT sum(n) FROM cooc) AS np, (SELECT sum(c) FROM single) AS ni) SELECT a, b, n, round(n / CAST(np AS DOUBLE) * (ln(n / CAST(np AS DOUBLE)) - ln(x.c / CAST(ni AS DOUBLE)) - ln(y.c / CAST(ni AS DOUBLE))), 9) AS score FROM cooc JOIN single x ON x.item = a JOIN single y ON y.item = b, t WHERE n > 2")
@@ -602,20 +612,20 @@ def pair_likelihood_ratio(spark, sf_dir):
     return co.likely_pairs(order_items(spark, sf_dir)).withColumn("score", F.round("score", 9))
 
 
-@query(f"WITH {ITEMS}, p AS (SELECT i AS a, i + 1 AS b FROM range(0, 39) r(i)), m AS (SELECT a, b, doc, max(CASE WHEN item = a THEN 1 ELSE 0 END) AS x, max(CASE WHEN item = b THEN 1 ELSE 0 END) AS y FROM p JOIN items_in ON item IN (a, b) GROUP BY a, b, doc) SELECT a, b, CAST(sum(2 * x * y) AS BIGINT) AS both, CAST(sum(x + y) AS BIGINT) AS either, round(CAST(sum(2 * x * y) AS DOUBLE) / sum(x + y), 9) AS accuracy FROM m GROUP BY a, b")
+@query(f"WITH {ITEMS}, p AS (SELECT item AS a, item + 1 AS b FROM single), m AS (SELECT a, b, doc, max(CASE WHEN item = a THEN 1 ELSE 0 END) AS x, max(CASE WHEN item = b THEN 1 ELSE 0 END) AS y FROM p JOIN items_in ON item IN (a, b) GROUP BY a, b, doc) SELECT a, b, CAST(sum(2 * x * y) AS BIGINT) AS both, CAST(sum(x + y) AS BIGINT) AS either, round(CAST(sum(2 * x * y) AS DOUBLE) / sum(x + y), 9) AS accuracy FROM m GROUP BY a, b")
 def cooc_accuracy(spark, sf_dir):
     items = order_items(spark, sf_dir)
-    pairs = items.select(F.col("item").alias("a")).distinct().where("a < 39").withColumn("b", F.col("a") + 1)
+    pairs = items.select(F.col("item").alias("a")).distinct().withColumn("b", F.col("a") + 1)
     return co.pair_accuracy(pairs, items).withColumn("accuracy", F.round("accuracy", 9))
 
 
-SUGGEST = f"{EVENT}, {PMI.format(by='row')}, ranked AS (SELECT doc, col, score, CAST(row_number() OVER (PARTITION BY doc ORDER BY score DESC, col) AS INT) AS rank FROM (SELECT doc, col, max(pmi) AS score FROM ev_rows JOIN pmi USING (row) WHERE doc % 3 = 0 GROUP BY doc, col))"
+SUGGEST = f"{EVENT}, {PMI.format(by='row')}, ranked AS (SELECT doc, col, score, CAST(row_number() OVER (PARTITION BY doc ORDER BY score DESC, col) AS INT) AS rank FROM (SELECT doc, col, max(pmi) AS score FROM ev_rows JOIN pmi USING (row) GROUP BY doc, col))"
 
 
 def suggested(spark, sf_dir):
     rows, cols = event_elements(spark, sf_dir)
     scores = co.mutual_information(co.count_pairs(rows, cols), rows, cols, "row").withColumn("pmi", F.round("pmi", 6))
-    return co.suggestions(rows.where("doc % 3 = 0"), scores), cols
+    return co.suggestions(rows, scores), cols
 
 
 @query(f"WITH {SUGGEST} SELECT doc, col, score, rank FROM ranked")
@@ -777,9 +787,9 @@ def generate_tsg(spark, sf_dir):
 
 @query()
 def inside_logprob(spark, sf_dir):
-    """Trees of customers under the grammar of their own fragments of every fifth customer."""
+    """Trees of customers under the grammar of all their fragments."""
     rooted = cut(rooted_of(spark, sf_dir))
-    grammar = gr.count_rules(gr.fragments(rooted.where("tree_id % 5 = 0")))
+    grammar = gr.count_rules(gr.fragments(rooted))
     rules = cut(gr.ml_probabilities(grammar).withColumn("rule_id", F.xxhash64("head", "rhs")))
     forms = idioms.parse_forms(rules.select("rule_id", F.regexp_replace("rhs", r"\*", "").alias("form")))
     return pr.inside_log2(rooted, forms, rules.select("rule_id", F.log2("p").alias("log2p")), 2)

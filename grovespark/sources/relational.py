@@ -71,7 +71,7 @@ orders_placed AS (
     1 + coalesce(sum(coalesce(n0, 0) + coalesce(n1, 0) + 1) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
     row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS child_idx
   FROM orders LEFT JOIN counts ON order_id = o_orderkey),
-nodes AS (
+nodes AS MATERIALIZED (
   SELECT c_custkey AS tree_id, CAST(0 AS INT) AS node_id, CAST(NULL AS INT) AS parent_id, CAST(NULL AS INT) AS prop_idx, CAST(NULL AS INT) AS child_idx, 0 AS depth,
     CAST(coalesce(below, 0) AS INT) AS last_desc, c_mktsegment AS label, 1 AS n_props, [CAST(coalesce(n, 0) AS INT)] AS child_counts, coalesce(n, 0) = 0 AS is_leaf
   FROM customer LEFT JOIN (SELECT tree_id, count(*) AS n, sum(n0 + n1 + 1) AS below FROM orders_placed GROUP BY tree_id) t ON t.tree_id = c_custkey
