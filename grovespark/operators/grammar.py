@@ -80,21 +80,55 @@ def fragment_of_nodes(rooted: DataFrame) -> DataFrame:
     return above.groupBy("tree_id", "node_id").agg(F.max("r_id").alias("frag_root"))
 
 
+def fragment_rows(rooted: DataFrame) -> DataFrame:
+    """The nodes of the fragment that begins at each root: frag_root and the columns of ``rooted``; roots below the top have no children there."""
+    upper = fragment_of_nodes(rooted)
+    lone = F.transform("child_counts", lambda c: F.lit(0))
+    inside = rooted.join(upper, ["tree_id", "node_id"]).withColumn("child_counts", F.when(F.col("is_root"), lone).otherwise(F.col("child_counts")))
+    return rooted.where("is_root").withColumn("frag_root", F.col("node_id")).unionByName(inside)
+
+
 def fragments(rooted: DataFrame) -> DataFrame:
     """tree_id, frag_root, head, rhs (canonical string), size: the fragment that begins at each root.
 
     Roots below the top of a fragment end it: they are written starred and without children.
     """
-    upper = fragment_of_nodes(rooted)
-    lone = F.transform("child_counts", lambda c: F.lit(0))
-    inside = rooted.join(upper, ["tree_id", "node_id"]).withColumn("child_counts", F.when(F.col("is_root"), lone).otherwise(F.col("child_counts")))
-    tops = rooted.where("is_root").withColumn("frag_root", F.col("node_id"))
+    return as_text(fragment_rows(rooted))
+
+
+def as_text(rows: DataFrame) -> DataFrame:
+    """tree_id, frag_root, head, rhs, size of fragments given by their nodes."""
     token = F.concat(F.when(F.col("is_root"), "*").otherwise(""), "label", F.lit("("), F.array_join(F.col("child_counts").cast("array<string>"), "."), F.lit(")"))
-    rows = tops.unionByName(inside).select("tree_id", "frag_root", "node_id", "label", token.alias("token"))
-    listed = F.sort_array(F.collect_list(F.struct("node_id", "token", "label")))
+    listed = F.sort_array(F.collect_list(F.struct("node_id", token.alias("token"), "label")))
     return rows.groupBy("tree_id", "frag_root").agg(listed.alias("rows")).select("tree_id", "frag_root", F.col("rows")[0]["label"].alias("head"), F.array_join(F.transform("rows", lambda r: r["token"]), " ").alias("rhs"), F.size("rows").cast("long").alias("size"))
 
 
+def templetized_fragments(rooted: DataFrame, kinds: DataFrame) -> DataFrame:
+    """``fragments`` in which labels of ``kinds`` (label, type) are variables ``type#k``, numbered by first occurrence in the fragment; so a variable at the top is 0."""
+    rows = fragment_rows(rooted).join(kinds.select("label", "type"), "label", "left").withColumn("variable", F.when(F.col("type").isNotNull(), F.col("label")))
+    firsts = rows.where("variable IS NOT NULL").groupBy("tree_id", "frag_root", "variable").agg(F.min("node_id").alias("first"))
+    numbered = firsts.withColumn("k", F.row_number().over(Window.partitionBy("tree_id", "frag_root").orderBy("first")) - 1).drop("first")
+    named = rows.join(numbered, ["tree_id", "frag_root", "variable"], "left")
+    return as_text(named.withColumn("label", F.when(F.col("k").isNull(), F.col("label")).otherwise(F.concat("type", F.lit("#"), F.col("k").cast("string")))))
+
+
+def merge_alphabets(left: DataFrame, left_symbols: DataFrame, right: DataFrame, right_symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(grammar, alphabet) of two grammars whose symbols are numbered apart; the alphabet keeps the left numbers and appends the right's new labels.
+
+    Grammars: head, rhs, cnt with ids in place of labels; alphabets: label, symbol_id.
+    Ids in a rule are looked up one row a token and written back in order.
+    """
+    last = left_symbols.agg(F.coalesce(F.max("symbol_id"), F.lit(-1))).first()[0]
+    new = right_symbols.join(left_symbols, "label", "left_anti")
+    alphabet = left_symbols.select("label", "symbol_id").unionByName(new.select("label", (F.lit(last) + F.row_number().over(Window.orderBy("label"))).cast("int").alias("symbol_id")))
+    change = right_symbols.select("label", F.col("symbol_id").cast("string").alias("old")).join(alphabet, "label").select("old", F.col("symbol_id").cast("string").alias("id"))
+    tokens = right.select("head", "rhs", "cnt", F.posexplode(F.split("rhs", " ")).alias("place", "token")).withColumn("old", F.regexp_extract("token", r"^\*?(\d+)", 1))
+    parts = tokens.join(change, "old").withColumn("token", F.concat(F.when(F.col("token").startswith("*"), "*").otherwise(""), "id", F.regexp_extract("token", r"(\(.*)$", 1)))
+    listed = parts.groupBy("head", "rhs", "cnt").agg(F.sort_array(F.collect_list(F.struct("place", "token", "id"))).alias("parts"))
+    moved = listed.select(F.col("parts")[0]["id"].alias("head"), F.array_join(F.transform("parts", lambda x: x["token"]), " ").alias("rhs"), "cnt")
+    return add_counts(left.select("head", "rhs", "cnt"), moved), alphabet
+
+
 def count_fragments(found: DataFrame) -> DataFrame:
     return found.groupBy("head", "rhs", "size").agg(F.count("*").alias("cnt"))
 

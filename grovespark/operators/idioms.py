@@ -133,3 +133,16 @@ def clone_overlap(cluster_nodes: DataFrame, levels: int, accept: float = 0.9) ->
     members = enough.groupBy("cluster").agg(F.count("*").alias("members"))
     shared = common.join(enough.select("cluster", "b"), ["cluster", "b"], "left_semi").groupBy("cluster", "node_id").agg(F.count("*").alias("n")).join(members, "cluster").where("n = members")
     return shared.groupBy("cluster").agg(F.count("*").alias("size"), F.first("members").alias("members"))
+
+
+def merge_patterns(*corpora: DataFrame) -> DataFrame:
+    """Distinct forms, with their size, of several corpora of patterns."""
+    every = corpora[0]
+    for other in corpora[1:]:
+        every = every.unionByName(other)
+    return every.distinct()
+
+
+def long_snippets(nodes: DataFrame, least: int = 20) -> DataFrame:
+    """tree_id, tokens of trees with more than ``least`` leaves beside a first and a last one."""
+    return nodes.groupBy("tree_id").agg(F.count_if("is_leaf").alias("tokens")).where(F.col("tokens") - 2 > least)

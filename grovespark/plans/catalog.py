@@ -757,11 +757,72 @@ def samplem_scores(spark, sf_dir):
 
 @query()
 def gibbs_train(spark, sf_dir):
-    """Three sweeps; the grammar of the last."""
-    grammar, _ = train(nodes_of(spark, sf_dir), 3, alpha=1.0, mean_size=10.0)
+    """Five sweeps; the grammar summed after the burn-in."""
+    grammar, _ = train(nodes_of(spark, sf_dir), 5, alpha=1.0, mean_size=10.0)
     return grammar
 
 
+@query(
+    over_nodes(
+        """SELECT head, rhs, count(*) AS cnt FROM (
+  SELECT tree_id, frag_root, arg_min(named, node_id) AS head, string_agg((CASE WHEN is_root THEN '*' ELSE '' END) || named || '(' || array_to_string(child_counts, '.') || ')', ' ' ORDER BY node_id) AS rhs
+  FROM (SELECT f.*, CASE WHEN length(label) != 2 THEN label ELSE 'ITEM#' || (dense_rank() OVER (PARTITION BY tree_id, frag_root, length(label) = 2 ORDER BY first_id) - 1) END AS named
+    FROM (SELECT *, min(node_id) OVER (PARTITION BY tree_id, frag_root, label) AS first_id FROM frag_nodes) f)
+  GROUP BY tree_id, frag_root) GROUP BY head, rhs""",
+        ROOTED, FRAGMENTS,
+    )
+)
+def tsg_templetized(spark, sf_dir):
+    """Items are variables."""
+    rooted = rooted_of(spark, sf_dir)
+    kinds = rooted.where("length(label) = 2").select("label", F.lit("ITEM").alias("type")).distinct()
+    return gr.count_rules(gr.templetized_fragments(rooted, kinds))
+
+
+APART = """
+left_symbols AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS id FROM (SELECT DISTINCT label FROM nodes WHERE tree_id % 2 = 0)),
+alphabet AS (
+  SELECT * FROM left_symbols UNION ALL
+  SELECT label, (SELECT coalesce(max(id), -1) FROM left_symbols) + row_number() OVER (ORDER BY label) FROM (SELECT DISTINCT label FROM nodes WHERE tree_id % 2 = 1 AND label NOT IN (SELECT label FROM left_symbols)))"""
+
+
+@query(
+    over_nodes(
+        """SELECT head, rhs, count(*) AS cnt FROM (
+  SELECT tree_id, frag_root, CAST(arg_min(id, node_id) AS VARCHAR) AS head, string_agg((CASE WHEN is_root THEN '*' ELSE '' END) || id || '(' || array_to_string(child_counts, '.') || ')', ' ' ORDER BY node_id) AS rhs
+  FROM frag_nodes JOIN alphabet USING (label) GROUP BY tree_id, frag_root) GROUP BY head, rhs""",
+        ROOTED, FRAGMENTS, APART,
+    )
+)
+def tsg_merge_alphabets(spark, sf_dir):
+    """Grammars of even and of odd trees, each with numbers of its own."""
+    rooted, halves = rooted_of(spark, sf_dir), []
+    for rest in (0, 1):
+        half = rooted.where(F.col("tree_id") % 2 == rest)
+        alphabet = cut(st.symbols(half))
+        coded = st.remap(half, alphabet).withColumn("label", F.col("symbol_id").cast("string")).drop("symbol_id")
+        halves += [gr.count_rules(gr.fragments(coded)), alphabet]
+    return gr.merge_alphabets(*halves)[0]
+
+
+@query(over_nodes("SELECT DISTINCT form, size FROM (SELECT tree_id % 2 AS half, replace(rhs, '*', '') AS form, size, rhs, count(*) AS cnt FROM frags GROUP BY 1, 2, 3, 4) WHERE cnt >= 3 AND size >= 2", ROOTED, FRAGMENTS))
+def pattern_merge(spark, sf_dir):
+    """Patterns of even and of odd trees."""
+    found = gr.fragments(rooted_of(spark, sf_dir))
+    return idioms.merge_patterns(*[idioms.frequent(gr.count_fragments(found.where(F.col("tree_id") % 2 == rest)), 3, 2) for rest in (0, 1)])
+
+
+@query(over_nodes("SELECT tree_id, count(*) FILTER (is_leaf) AS tokens FROM nodes GROUP BY tree_id HAVING count(*) FILTER (is_leaf) - 2 > 20"))
+def snippet_length(spark, sf_dir):
+    return idioms.long_snippets(nodes_of(spark, sf_dir))
+
+
+@query()
+def block_train(spark, sf_dir):
+    """Five block sweeps; the grammar summed after the burn-in."""
+    return train(nodes_of(spark, sf_dir), 5, alpha=1.0, mean_size=10.0, block=True)[0]
+
+
 @query()
 def hyperparameter_grid(spark, sf_dir):
     found, priors = fragment_priors(spark, sf_dir)
