@@ -757,8 +757,8 @@ def samplem_scores(spark, sf_dir):
 
 @query()
 def gibbs_train(spark, sf_dir):
-    """Five sweeps; the grammar summed after the burn-in."""
-    grammar, _ = train(nodes_of(spark, sf_dir), 5, alpha=1.0, mean_size=10.0)
+    """Three sweeps; the grammar of the last."""
+    grammar, _ = train(nodes_of(spark, sf_dir), 3, alpha=1.0, mean_size=10.0)
     return grammar
 
 
@@ -819,8 +819,8 @@ def snippet_length(spark, sf_dir):
 
 @query()
 def block_train(spark, sf_dir):
-    """Five block sweeps; the grammar summed after the burn-in."""
-    return train(nodes_of(spark, sf_dir), 5, alpha=1.0, mean_size=10.0, block=True)[0]
+    """Three block sweeps; the grammar of the last."""
+    return train(nodes_of(spark, sf_dir), 3, alpha=1.0, mean_size=10.0, block=True)[0]
 
 
 @query()
