@@ -7,8 +7,8 @@ cover all their bytes, and a document's probabilities are the mean over its wind
 weighted by the bytes in each.
 
 Training rows are a bounded sample: about ``per_language`` rows of each language,
-chosen by a hash of the id, ``SAMPLE_CHARS`` characters of each.  The trained
-weights (fixed size but for a row a language) go to the tasks; scoring is one pass
+chosen by a hash of id and text, and of each ``SAMPLE_CHARS`` characters from
+anywhere in it, the place drawn by the same hash.  The trained weights (fixed size but for a row a language) go to the tasks; scoring is one pass
 without a shuffle.
 
 Defined results: a text that is null or holds no letter gets ``und`` with score 0,
@@ -169,10 +169,11 @@ def train(docs: DataFrame, usable: Column, per_language: int = PER_LANGUAGE) ->
     share = {r.lang: per_language / r["count"] for r in rows.groupBy("lang").count().collect()}
     if not share:
         return Network([])
-    dice = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1_000_003)) / 1_000_003
+    drawn = rows.select("lang", "text", F.xxhash64(F.lit("langid"), "doc_id", "text").alias("hash")).withColumn("dice", F.pmod("hash", F.lit(1_000_003)) / 1_000_003)
     wanted = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])[F.col("lang")]
-    sample = rows.where(dice < wanted).select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), dice.alias("dice")).limit(2 * per_language * len(share)).toPandas()
-    sample = sample.sort_values(["dice", "lang", "text"], kind="stable")
+    begin = F.pmod(F.shiftright("hash", 20), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1) + 1
+    part = F.substring(F.col("text"), begin.cast("int"), F.lit(SAMPLE_CHARS)).alias("text")
+    sample = drawn.where(F.col("dice") < wanted).select("dice", "lang", part).orderBy("dice", "lang", "text").limit(2 * per_language * len(share)).toPandas()
     labels = sorted(share)
     found = [(windows_of(t.encode()), labels.index(k)) for t, k in zip(sample.text, sample.lang, strict=True) if LETTER(t)]
     if not found:

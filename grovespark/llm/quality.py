@@ -8,8 +8,9 @@ share of a document that is bad, and a logistic curve turns it into a score.
 Documents are labelled, lines are not.  Training starts with every line having its
 document's label, fits, then moves the lines of bad documents that the fit takes for
 good, keeping at least the worst line of each, and fits again.  It uses a bounded
-sample of about ``TRAIN_DOCS`` labelled rows chosen by a hash of the id; features
-are taken in the tasks and only they reach the driver.  Scoring is one pass
+sample of about ``TRAIN_DOCS`` labelled rows chosen by a hash of the id, and of each
+``TRAIN_LINES`` lines in a row from anywhere in it, the first drawn by a checksum of
+the text; features are taken in the tasks and only they reach the driver.  Scoring is one pass
 without a shuffle, and looks at the text alone.
 
 Defined results: null text counts as empty, which is one line without characters;
@@ -20,6 +21,7 @@ never; extra columns are ignored and repeated rows repeat.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -204,14 +206,16 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, train_docs: int =
     known = labels.where(usable & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     total = known.count()
     dice = F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(1_000_003)) / 1_000_003
-    picked = known.where(dice < train_docs / max(total, 1)).limit(2 * train_docs)
+    picked = known.where(dice < train_docs / max(total, 1)).orderBy(dice, "doc_id").limit(2 * train_docs)
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for i, q, t in zip(batch.doc_id, batch.quality, batch.text, strict=True):
                 x, length, _ = line_features([t])
-                yield pd.DataFrame({"doc_id": [i], "quality": [q], "x": [x[:TRAIN_LINES].tobytes()], "length": [length[:TRAIN_LINES].tobytes()]})
+                begin = zlib.crc32((t or "").encode()) % (max(len(x) - TRAIN_LINES, 0) + 1)
+                lines = slice(begin, begin + TRAIN_LINES)
+                yield pd.DataFrame({"doc_id": [i], "quality": [q], "x": [x[lines].tobytes()], "length": [length[lines].tobytes()]})
 
     sample = rows.mapInPandas(run, "doc_id long, quality int, x binary, length binary").toPandas().sort_values(["doc_id", "x"], kind="stable")
     if not len(sample):

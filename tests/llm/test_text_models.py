@@ -28,6 +28,18 @@ def test_held_out_accuracy_of_languages(spark):
     assert all(0 <= x.score <= 1 for x in got.values())
 
 
+def test_languages_are_learned_beyond_the_beginning(spark):
+    """Equal first kilobytes, repeated rows of one id: what tells languages apart comes later, and two runs learn alike."""
+    r = random.Random(5)
+    rows = [(i % 7, "0 1 2 3 " * 128 + prose(r, lang, 600), lang) for i, lang in enumerate(sorted(SYLLABLES) * 30)]
+    docs = spark.createDataFrame(rows + rows[:20], "doc_id long, text string, lang string").repartition(5)
+    network = langid.train(docs, F.lit(True))
+    again = langid.train(docs.repartition(3), F.lit(True))
+    assert all(np.array_equal(a, b) for a, b in zip(network.weights(), again.weights(), strict=True))
+    fresh = [prose(r, lang, 60) for lang in sorted(SYLLABLES)]
+    assert [a for a, _ in network.classify(fresh)] == sorted(SYLLABLES)
+
+
 def test_nothing_to_learn(spark):
     docs = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert [(x.lang_pred, x.score) for x in langid.predict(docs, langid.train(docs, F.lit(True))).collect()] == [("und", 0.0)]
