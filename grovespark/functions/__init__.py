@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 NEG_INF = float("-inf")
@@ -22,13 +22,16 @@ def share(part: Column, whole: Column) -> Column:
     return F.try_divide(part.cast("double"), whole.cast("double"))
 
 
-def log2_sum_exp(x: Column) -> Column:
-    """Aggregate: log2 of the sum of powers of two, from the maximum and the collected values' sum relative to it.
+def log2_sum_exp(rows: DataFrame, group: list[str], x: Column) -> DataFrame:
+    """``group`` and log2p: log2 of the sum of the powers of two of ``x``, relative to the group's maximum so that nothing underflows.
 
-    Partial aggregation keeps two numbers a group, so no group is collected: values
-    are log2 probabilities, hence at most 0, and sums of their powers don't overflow.
+    The maximum is a window over the partitioning that the aggregate uses too.
     """
-    return log2(F.sum(F.when(x == NEG_INF, 0.0).otherwise(F.pow(F.lit(2.0), x))))
+    most = F.max("x_").over(Window.partitionBy(*group))
+    each = rows.select(*group, x.alias("x_")).withColumn("most_", most)
+    part = F.when(F.col("x_") == NEG_INF, 0.0).otherwise(F.pow(F.lit(2.0), F.col("x_") - F.col("most_")))
+    total = each.groupBy(*group).agg(F.max("most_").alias("most_"), F.sum(part).alias("sum_"))
+    return total.select(*group, F.when(F.col("most_") == NEG_INF, NEG_INF).otherwise(F.col("most_") + F.log2("sum_")).alias("log2p"))
 
 
 def log2_binomial(n: Column, k: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grovespark.functions import NEG_INF, ln
+from grovespark.operators.ranking import running_sum
 
 
 def count_pairs(rows: DataFrame, columns: DataFrame) -> DataFrame:
@@ -76,7 +77,8 @@ def pair_accuracy(pairs: DataFrame, items: DataFrame) -> DataFrame:
 
 def popularity(elements: DataFrame, name: str) -> DataFrame:
     """Elements by number of documents, most first, then by name."""
-    return elements.distinct().groupBy(name).agg(F.count("*").alias("n")).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), name)))
+    counted = elements.distinct().groupBy(name).agg(F.count("*").alias("n"))
+    return running_sum(counted, [F.desc("n"), F.col(name)], F.lit(1), "rank").withColumn("rank", F.col("rank").cast("int"))
 
 
 def top_and_fill(lifted: DataFrame, popular: DataFrame, per_row: int, most: int) -> DataFrame:
@@ -111,11 +113,10 @@ def recall_at(ranked: DataFrame, truth: DataFrame, ks: list[int]) -> DataFrame:
 def precision_at(ranked: DataFrame, truth: DataFrame, splits: list[float]) -> DataFrame:
     """split, threshold, docs, mean_size, precision: suggestions with scores from the one at that share of the descending order on.
 
-    The scores are ranked in a distributed sort over distinct values with running
-    counts of these.
+    Distinct scores are sorted in ranges, with running counts of their suggestions.
     """
     distinct = ranked.groupBy("score").agg(F.count("*").alias("n"))
-    running = distinct.withColumn("upto", F.sum("n").over(Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)))
+    running = running_sum(distinct, [F.desc("score")], F.col("n"), "upto")
     total = ranked.agg(F.count("*").alias("total"))
     wanted = F.floor(F.col("total") * F.col("split")) + 1
     grid = total.withColumn("split", F.explode(F.array(*[F.lit(float(s)) for s in splits])))

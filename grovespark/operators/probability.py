@@ -88,7 +88,7 @@ def inside_log2(nodes: DataFrame, grammar_nodes: DataFrame, rule_log2: DataFrame
         at = here.select("tree_id", F.col("node_id").alias("anchor"), "label")
         usable = ends.join(at.select("tree_id", "anchor"), ["tree_id", "anchor"]).join(values, ["tree_id", "node_id"], "left")
         ways = usable.groupBy("rule_id", "tree_id", "anchor").agg(F.sum("log2p").alias("below")).join(rule_log2, "rule_id")
-        built = ways.groupBy("tree_id", "anchor").agg(log2_sum_exp(F.col("below") + F.col("log2p")).alias("log2p"))
+        built = log2_sum_exp(ways, ["tree_id", "anchor"], F.col("below") + F.col("log2p"))
         with_head = at.join(heads, "label", "left_semi").join(built, ["tree_id", "anchor"], "left").select("tree_id", F.col("anchor").alias("node_id"), F.coalesce("log2p", F.lit(float("-inf"))).alias("log2p"))
         children = nodes.select("tree_id", "node_id", F.col("parent_id").alias("anchor")).join(values, ["tree_id", "node_id"])
         passed = at.join(heads, "label", "left_anti").join(children.groupBy("tree_id", "anchor").agg(F.sum("log2p").alias("log2p")), ["tree_id", "anchor"]).select("tree_id", F.col("anchor").alias("node_id"), "log2p")
@@ -96,6 +96,11 @@ def inside_log2(nodes: DataFrame, grammar_nodes: DataFrame, rule_log2: DataFrame
     return values.where("node_id = 0").select("tree_id", "log2p")
 
 
+def entropy_report(inside: DataFrame, tokens: DataFrame) -> DataFrame:
+    """tree_id, log2p, tokens, per_token (0 without tokens) from a language model's probability of whole trees, and the number of tokens of each."""
+    return inside.join(tokens, "tree_id").select("tree_id", "log2p", "tokens", F.when(F.col("tokens") == 0, 0.0).otherwise(F.try_divide("log2p", "tokens")).alias("per_token"))
+
+
 def train_cfg(rules: DataFrame, usable: Column) -> DataFrame:
     """Counts of the rules of the trees that ``usable`` admits."""
     return count_rules(rules.where(usable))

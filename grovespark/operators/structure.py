@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grovespark.operators.ranking import running_sum
+
 
 def tree_sizes(nodes: DataFrame) -> DataFrame:
     """Nodes of each tree, from the root's interval alone; equals the number of productions."""
@@ -42,8 +44,14 @@ def node_paths(nodes: DataFrame) -> DataFrame:
 
 
 def symbols(nodes: DataFrame) -> DataFrame:
-    """Dictionary of labels: dense ids in label order.  The number of labels is that of an alphabet, far below that of nodes."""
-    return nodes.select("label").distinct().select("label", F.expr("CAST(row_number() OVER (ORDER BY label) - 1 AS INT)").alias("symbol_id"))
+    """Dictionary of labels: dense ids in label order."""
+    return running_sum(nodes.select("label").distinct(), [F.col("label")], F.lit(1), "place").select("label", (F.col("place") - 1).cast("int").alias("symbol_id"))
+
+
+def unit_keys(alphabet: DataFrame, nodes: DataFrame, unit: Column) -> DataFrame:
+    """label, unit_key: one row, the first symbol that tops a tree and is a unit by ``unit``, a condition over the label."""
+    tops = nodes.where("parent_id IS NULL").select("label").distinct().where(unit)
+    return alphabet.join(tops, "label", "left_semi").select("label", F.col("symbol_id").alias("unit_key")).orderBy("unit_key").limit(1)
 
 
 def remap(nodes: DataFrame, alphabet: DataFrame) -> DataFrame:

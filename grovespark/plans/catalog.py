@@ -725,6 +725,22 @@ def detempletize(spark, sf_dir):
     return rw.splice_out(nodes_of(spark, sf_dir), "depth = 1")
 
 
+#: Returned items are variables, other finished ones literals.
+TYPED = """SELECT tree_id, 'n' || node_id AS node_key, CASE WHEN l OR (v AND {delegated}) THEN 't' || node_id ELSE 'n' || parent_id END AS parent_key,
+  CASE WHEN l OR (v AND {delegated}) THEN 0 ELSE prop_idx END AS prop_idx, CASE WHEN l OR (v AND {delegated}) THEN 0 ELSE child_idx END AS child_idx,
+  CASE WHEN v THEN '%TEMPLATE%:RETURNED' ELSE label END AS label, CASE WHEN v THEN 0 ELSE n_props END AS n_props
+FROM (SELECT *, label = 'RF' AS v, label = 'AF' AS l FROM nodes)
+UNION ALL
+SELECT tree_id, 't' || node_id, 'n' || parent_id, prop_idx, child_idx, CASE WHEN label = 'AF' THEN '%TEMPLATE%:%ITEM_LITERAL%' ELSE '%GenericVariable%' END, 1
+FROM nodes WHERE label = 'AF' OR (label = 'RF' AND {delegated})"""
+
+
+def typed(spark, sf_dir, delegated):
+    nodes = nodes_of(spark, sf_dir)
+    kinds = lambda label, kind: nodes.where(F.col("label") == label).select("label", F.lit(kind).alias("type")).distinct()
+    return rw.variable_types(nodes, kinds("RF", "RETURNED"), kinds("AF", "%ITEM_LITERAL%"), delegated)
+
+
 # Sampling, generation, sources and sinks.
 @query(
     over_nodes(
@@ -856,16 +872,72 @@ def inside_logprob(spark, sf_dir):
     return pr.inside_log2(rooted, forms, rules.select("rule_id", F.log2("p").alias("log2p")), 2)
 
 
+@query()
+def tsg_entropy(spark, sf_dir):
+    """Trees under the grammar of all fragments as a language model: log-probability, and that per leaf."""
+    tokens = st.leaf_counts(nodes_of(spark, sf_dir)).select("tree_id", F.col("leaves").alias("tokens"))
+    return pr.entropy_report(inside_logprob(spark, sf_dir), tokens)
+
+
 @query()
 def html_trees(spark, sf_dir):
     return tx.html_trees(read(spark, sf_dir, "pages"))
 
 
-@query()
+@query(
+    over_nodes(
+        """SELECT tree_id, string_agg('{"name":' || to_json(label)::VARCHAR || ',"children":[' || repeat(']}', depth - coalesce(following, 0) + 1) || CASE WHEN following <= depth THEN ',' ELSE '' END, '' ORDER BY node_id) AS json
+FROM (SELECT *, lead(depth) OVER (PARTITION BY tree_id ORDER BY node_id) AS following FROM nodes) GROUP BY tree_id"""
+    )
+)
 def json_export(spark, sf_dir):
     return tx.nested_json(nodes_of(spark, sf_dir))
 
 
+@query(
+    over_nodes(
+        """SELECT line, count(*) AS n FROM (SELECT 'Type : ' || CASE n.depth WHEN 0 THEN 'customer' WHEN 1 THEN 'order' ELSE 'item' END || ' Simple Props: [value:' || n.label || ', ] Child Props: ['
+  || CASE n.n_props WHEN 0 THEN '' WHEN 1 THEN 'p0, ' ELSE 'p0, p1, ' END || '] Annotations: [' || CASE WHEN p.label IS NULL THEN '' ELSE 'parent:' || p.label || ', ' END || ']' AS line
+FROM nodes n LEFT JOIN nodes p ON p.tree_id = n.tree_id AND p.node_id = n.parent_id) GROUP BY line"""
+    )
+)
+def symbol_printer(spark, sf_dir):
+    """Symbols annotated with their parent's label, and how many nodes have them."""
+    nodes = nodes_of(spark, sf_dir)
+    up = nodes.select("tree_id", F.col("node_id").alias("parent_id"), F.col("label").alias("up"))
+    counted = nodes.join(up, ["tree_id", "parent_id"], "left").groupBy("depth", "label", "n_props", "up").agg(F.count("*").alias("n"))
+    none = F.array().cast("array<string>")
+    return tx.symbol_lines(
+        counted.select(
+            "n", F.element_at(F.array(F.lit("customer"), F.lit("order"), F.lit("item")), F.col("depth") + 1).alias("kind"), F.create_map(F.lit("value"), "label").alias("simple"),
+            F.when(F.col("n_props") > 0, F.transform(F.sequence(F.lit(0), F.col("n_props") - 1), lambda k: F.concat(F.lit("p"), k.cast("string")))).otherwise(none).alias("child_props"),
+            F.when(F.col("up").isNotNull(), F.create_map(F.lit("parent"), "up")).otherwise(F.create_map().cast("map<string,string>")).alias("annotations"),
+        )
+    ).groupBy("line").agg(F.sum("n").alias("n"))
+
+
+@query(over_nodes("SELECT tree_id, 'n' || parent_id AS parent_key, prop_idx, string_agg(label, ' ' ORDER BY child_idx) AS text FROM nodes WHERE parent_id IS NOT NULL GROUP BY tree_id, parent_id, prop_idx HAVING count(*) > 2"))
+def multinode_printer(spark, sf_dir):
+    return rw.printed_chains(rw.binarize(nodes_of(spark, sf_dir)))
+
+
+@query(over_nodes(TYPED.format(delegated="false")))
+def variable_types(spark, sf_dir):
+    return typed(spark, sf_dir, False)
+
+
+@query(over_nodes(TYPED.format(delegated="true")))
+def delegated_types(spark, sf_dir):
+    return typed(spark, sf_dir, True)
+
+
+@query(over_nodes("SELECT label, CAST(symbol_id AS INT) AS unit_key FROM (SELECT label, row_number() OVER (ORDER BY label) - 1 AS symbol_id FROM (SELECT DISTINCT label FROM nodes)) WHERE label IN (SELECT label FROM nodes WHERE parent_id IS NULL) AND label >= 'C' ORDER BY symbol_id LIMIT 1"))
+def unit_key(spark, sf_dir):
+    """The first symbol that is a unit."""
+    nodes = nodes_of(spark, sf_dir)
+    return st.unit_keys(st.symbols(nodes), nodes, F.col("label") >= "C")
+
+
 @query(over_nodes("SELECT tree_id, string_agg(repeat('-', depth) || CASE WHEN parent_id IS NULL THEN '' ELSE '(' || prop_idx || ')' END || label, chr(10) ORDER BY node_id) AS text FROM nodes GROUP BY tree_id"))
 def tree_printer(spark, sf_dir):
     return tx.pretty(nodes_of(spark, sf_dir))

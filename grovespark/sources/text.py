@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 #: Elements without an end tag.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 NODES = "tree_id long, node_id int, parent_id int, prop_idx int, child_idx int, depth int, last_desc int, label string, n_props int, child_counts array<int>, is_leaf boolean"
+TREE_COLUMNS = [c.split()[0] for c in NODES.split(", ")]
 LINE = r"^\d+\s+dist:([0-9.]+)\s+FILE\s+(\S+)\s+LINE:(\d+):(\d+)"
 
 
@@ -55,18 +55,34 @@ def number(rows: list[tuple[str, int | None]]) -> list[tuple]:
     return [(i, p, None if p is None else 0, place[i], depth[i], last[i], label, 1, [kids[i]], kids[i] == 0) for i, (label, p) in enumerate(rows)]
 
 
+def parsed(html: str | None) -> tuple[list, str | None]:
+    """(label, parent) of the elements in pre-order, and why the parser refused the page, if it did."""
+    parser = _Tree()
+    try:
+        parser.feed(html or "")
+        parser.close()
+    except (AssertionError, ValueError) as problem:
+        return _Tree().rows, str(problem) or type(problem).__name__
+    return parser.rows, None
+
+
 def html_trees(pages: DataFrame, key: str = "page_id", text: str = "html") -> DataFrame:
-    """Node rows of each page's elements; raw-text elements hold no elements, unclosed ones end with their parent.  A null page has the document node alone."""
+    """Node rows of each page's elements, and ``error``.
+
+    Raw-text elements hold no elements, unclosed ones end with their parent.  A null
+    page has the document node alone.  A page that the parser refuses has so too, with
+    the reason in ``error``, which is null elsewhere: it is reported, and stops nothing.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            rows = []
             for key_value, html in zip(batch[key], batch[text], strict=True):
-                parser = _Tree()
-                parser.feed(html or "")
-                parser.close()
-                yield pd.DataFrame([(key_value, *r) for r in number(parser.rows)], columns=[c.split()[0] for c in NODES.split(", ")]).astype({"parent_id": "Int32", "prop_idx": "Int32", "child_idx": "Int32"})
+                found, error = parsed(html)
+                rows.extend((key_value, *r, error) for r in number(found))
+            yield pd.DataFrame(rows, columns=[*TREE_COLUMNS, "error"]).astype({"parent_id": "Int32", "prop_idx": "Int32", "child_idx": "Int32"})
 
-    return pages.select(key, text).mapInPandas(run, NODES)
+    return pages.select(key, text).mapInPandas(run, NODES + ", error string")
 
 
 def clone_clusters(lines: DataFrame) -> DataFrame:
@@ -85,17 +101,26 @@ def pretty(nodes: DataFrame) -> DataFrame:
 
 
 def nested_json(nodes: DataFrame) -> DataFrame:
-    """tree_id, json: ``{"name": ..., "children": [...]}`` of each tree; trees are the unit of the export, so each is built in one call."""
-
-    def run(tree: pd.DataFrame) -> pd.DataFrame:
-        made = {}
-        for r in tree.sort_values("node_id").itertuples():
-            made[r.node_id] = {"name": r.label, "children": []}
-            if r.node_id:
-                made[int(r.parent_id)]["children"].append(made[r.node_id])
-        return pd.DataFrame({"tree_id": [tree.tree_id.iloc[0]], "json": [json.dumps(made[0], ensure_ascii=False)]})
-
-    return nodes.select("tree_id", "node_id", "parent_id", "label").groupBy("tree_id").applyInPandas(run, "tree_id long, json string")
+    """tree_id, json: ``{"name": ..., "children": [...]}`` of each tree.
+
+    In pre-order a node's text is known from its own depth and the next one's: it is
+    opened, closed with as many nodes above it as end there, and a comma goes before a
+    sibling.  So a tree is one window and one aggregate, however deep.
+    """
+    following = F.lead("depth").over(Window.partitionBy("tree_id").orderBy("node_id"))
+    name = F.to_json(F.array("label"))
+    ends = F.repeat(F.lit("]}"), F.col("depth") - F.coalesce("next", F.lit(0)) + 1)
+    piece = F.concat(F.lit('{"name":'), F.substring(name, F.lit(2), F.length(name) - 2), F.lit(',"children":['), ends, F.when(F.col("next") <= F.col("depth"), ",").otherwise(""))
+    rows = F.sort_array(F.collect_list(F.struct("node_id", piece.alias("piece"))))
+    return nodes.select("tree_id", "node_id", "depth", "label", following.alias("next")).groupBy("tree_id").agg(F.array_join(F.transform(rows, lambda r: r["piece"]), "").alias("json"))
+
+
+def symbol_lines(symbols: DataFrame) -> DataFrame:
+    """line: ``Type : X Simple Props: [k:v, ] Child Props: [p, ] Annotations: [k:v, ]`` of (kind, simple, child_props, annotations): a string, a map, an array, a map."""
+    each = lambda texts: F.array_join(F.transform(F.sort_array(texts), lambda t: F.concat(t, F.lit(", "))), "")
+    pairs = lambda m: F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit(":"), e["value"]))
+    line = F.concat(F.lit("Type : "), "kind", F.lit(" Simple Props: ["), each(pairs("simple")), F.lit("] Child Props: ["), each(F.col("child_props")), F.lit("] Annotations: ["), each(pairs("annotations")), F.lit("]"))
+    return symbols.select("*", line.alias("line"))
 
 
 def report(grammar: DataFrame) -> DataFrame:

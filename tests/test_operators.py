@@ -1,8 +1,11 @@
+import json
 import math
+from unittest import mock
 
 import pytest
 from pyspark.sql import functions as F
 
+from grovespark.functions import log2_sum_exp
 from grovespark.operators import cooccurrence as co
 from grovespark.operators import grammar as gr
 from grovespark.operators import idioms
@@ -11,6 +14,8 @@ from grovespark.operators import probability as pr
 from grovespark.operators import rewrite as rw
 from grovespark.operators import sampling as sa
 from grovespark.operators import structure as st
+from grovespark.operators.ranking import running_sum
+from grovespark.plans.train import final_threshold
 from grovespark.sources import text as tx
 from tests.helpers import nodes_frame, rules_frame
 
@@ -177,3 +182,71 @@ def test_html_and_clones(spark):
     lines = ["000001\tdist:0.0\tFILE a.java LINE:10:5", "", "000002\tdist:1.5\tFILE b/c.java LINE:1:2", "noise"]
     frame = spark.createDataFrame([("f", i, s) for i, s in enumerate(lines)], "file string, line_no long, line string")
     assert sorted((r.cluster, r.file, r.first_line, r.n_lines, r.distance) for r in tx.clone_clusters(frame).collect()) == [(0, "a.java", 10, 5, 0.0), (1, "b/c.java", 1, 2, 1.5)]
+
+
+def test_page_that_the_parser_refuses(spark):
+    with mock.patch.object(tx._Tree, "close", side_effect=AssertionError("no such section")):
+        assert tx.parsed("<p>x") == ([["#document", None]], "no such section")
+    assert tx.parsed("<p><b>x</b></p>") == ([["#document", None], ["p", 0], ["b", 1]], None)
+    pages = spark.createDataFrame([(1, "<p>x</p><![bad"), (2, "<p><b>x</b></p>"), (3, None)], "page_id long, html string")
+    got = tx.html_trees(pages).groupBy("tree_id").agg(F.count("*").alias("n"), F.count("error").alias("errors")).collect()
+    assert {(r.tree_id, r.n) for r in got} == {(1, 2), (2, 3), (3, 1)} and sum(r.errors for r in got) == 0
+
+
+def test_nested_json(spark):
+    nodes = nodes_frame(spark, TREE_1, ('a"b\n', [("c", ["\u00e9", "x\\y"])], ["z"]), ("alone",))
+    got = {r.tree_id: json.loads(r.json) for r in tx.nested_json(nodes).collect()}
+    made = lambda name, *children: {"name": name, "children": list(children)}
+    assert got == {
+        1: made("1", made("3", made("6"), made("5")), made("2", made("4"))),
+        2: made('a"b\n', made("c", made("\u00e9"), made("x\\y")), made("z")),
+        3: made("alone"),
+    }
+
+
+def test_log_sum_of_tiny_probabilities(spark):
+    rows = spark.createDataFrame([("a", -3000.0), ("a", -3000.0), ("a", float("-inf")), ("b", float("-inf")), ("c", -1.0)], "k string, x double")
+    got = {r.k: r.log2p for r in log2_sum_exp(rows, ["k"], F.col("x")).collect()}
+    assert got == {"a": -2999.0, "b": float("-inf"), "c": -1.0}
+
+
+def test_running_sum(spark):
+    rows = spark.range(0, 1000, 1, 7).select(F.pmod(F.xxhash64("id"), F.lit(10**9)).alias("x"), (F.col("id") % 5).alias("v"))
+    got = running_sum(rows, [F.desc("x")], F.col("v"), "upto").orderBy(F.desc("x")).collect()
+    total = 0
+    for r in got:
+        total += r.v
+        assert r.upto == total
+    assert len(got) == 1000
+    assert running_sum(rows.limit(0), [F.col("x")], F.col("v"), "upto").count() == 0
+
+
+def test_variable_types(spark):
+    nodes = nodes_frame(spark, ("r", ["x", "5", ("x", ["y"])]))
+    kinds = spark.createDataFrame([("x", "int")], "label string, type string"), spark.createDataFrame([("5", "%NUM%")], "label string, type string")
+    rows = lambda delegated: {(r.node_key, r.parent_key, r.child_idx, r.label, r.n_props) for r in rw.variable_types(nodes, *kinds, delegated).collect()}
+    common = {("n0", None, None, "r", 1), ("n2", "t2", 0, "5", 0), ("t2", "n0", 1, "%TEMPLATE%:%NUM%", 1), ("n3", "n0", 2, "x", 1), ("n4", "n3", 0, "y", 0)}
+    assert rows(False) == common | {("n1", "n0", 0, "%TEMPLATE%:int", 0)}
+    assert rows(True) == common | {("n1", "t1", 0, "%TEMPLATE%:int", 0), ("t1", "n0", 0, "%GenericVariable%", 1)}
+    assert [r[0] for r in spark.createDataFrame([("%TEMPLATE%:int",), ("x",)], "l string").select(rw.is_template(F.col("l"))).collect()] == [True, False]
+
+
+def test_symbol_lines(spark):
+    rows = spark.createDataFrame([("X", {"k": "v"}, ["q", "p"], {}), ("Y", {}, [], {"b": "2", "a": "1"})], "kind string, simple map<string,string>, child_props array<string>, annotations map<string,string>")
+    assert [r.line for r in tx.symbol_lines(rows).orderBy("kind").collect()] == ["Type : X Simple Props: [k:v, ] Child Props: [p, q, ] Annotations: []", "Type : Y Simple Props: [] Child Props: [] Annotations: [a:1, b:2, ]"]
+
+
+def test_long_chain_printed(spark):
+    nodes = nodes_frame(spark, ("r", [str(k) for k in range(40)], ["a", "b"]))
+    got = rw.printed_chains(rw.binarize(nodes)).collect()
+    assert [(r.parent_key, r.prop_idx, r.text) for r in got] == [("n0", 0, " ".join(str(k) for k in range(40)))]
+
+
+def test_entropy_report(spark):
+    inside = spark.createDataFrame([(1, -6.0), (2, -1.0)], "tree_id long, log2p double")
+    tokens = spark.createDataFrame([(1, 3), (2, 0)], "tree_id long, tokens long")
+    assert {r.tree_id: r.per_token for r in pr.entropy_report(inside, tokens).collect()} == {1: -2.0, 2: 0.0}
+
+
+def test_final_threshold():
+    assert final_threshold(50) == 27
