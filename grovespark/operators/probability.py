@@ -36,13 +36,18 @@ def geometric_log2(size: Column, mean: float) -> Column:
     return (size - 1) * F.log2(F.lit(1 - p)) + F.log2(F.lit(p))
 
 
+def weighted_log2(n: Column, prior_log2: Column, alpha: float) -> Column:
+    """log2 of n + alpha * 2^prior; without a count from the prior itself, so that an unlikely large fragment doesn't underflow."""
+    return F.when(n > 0, F.log2(n + alpha * F.pow(F.lit(2.0), prior_log2))).otherwise(F.log2(F.lit(float(alpha))) + prior_log2)
+
+
 def posterior_log2(cnt: Column, total: Column, prior_log2: Column, alpha: float, remove: bool = False) -> Column:
     """Dirichlet-process posterior of a rule: its count within the head's total, one taken away if asked for and there."""
     n, big = F.least(cnt, total), total
     if remove:
         big = F.when(n > 0, total - 1).otherwise(total)
         n = F.when(n > 0, n - 1).otherwise(n)
-    return F.least(F.lit(0.0), F.log2(n + alpha * F.pow(F.lit(2.0), prior_log2)) - F.log2(big + F.lit(alpha)))
+    return F.least(F.lit(0.0), weighted_log2(n, prior_log2, alpha) - F.log2(big + F.lit(alpha)))
 
 
 def fragment_log2_prior(rooted: DataFrame, of_fragment: DataFrame, rules: DataFrame, grammar: DataFrame) -> DataFrame:

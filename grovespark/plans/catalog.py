@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -753,6 +754,44 @@ def join_probability(spark, sf_dir):
     return sites.select("tree_id", "node_id", F.round(p, 9).alias("p"))
 
 
+#: The first order with items of every tree; what joining and splitting there gives.
+SITES = """
+site AS MATERIALIZED (SELECT tree_id, min(node_id) AS site FROM rooted WHERE parent_id IS NOT NULL AND NOT is_leaf GROUP BY tree_id),
+changed AS MATERIALIZED (
+  SELECT r.*, x.part, CASE WHEN r.node_id = s.site THEN x.part = 'u' ELSE r.is_root END AS flag FROM rooted r JOIN site s USING (tree_id), (VALUES ('j'), ('u')) x(part)),
+part_nodes AS (
+  SELECT c.tree_id, c.part, c.node_id, c.label, c.flag, CASE WHEN c.node_id != 0 AND c.flag THEN list_transform(c.child_counts, lambda x: 0) ELSE c.child_counts END AS counts
+  FROM changed c LEFT JOIN changed p ON p.tree_id = c.tree_id AND p.part = c.part AND p.node_id = c.parent_id WHERE c.depth < 2 OR NOT p.flag
+  UNION ALL SELECT r.tree_id, 'l', r.node_id, r.label, r.node_id = s.site, r.child_counts FROM rooted r JOIN site s USING (tree_id) WHERE r.node_id = s.site OR r.parent_id = s.site),
+part_forms AS (
+  SELECT tree_id, part, arg_min(label, node_id) AS head, count(*) AS size, string_agg((CASE WHEN flag THEN '*' ELSE '' END) || label || '(' || array_to_string(counts, '.') || ')', ' ' ORDER BY node_id) AS rhs
+  FROM part_nodes GROUP BY tree_id, part),
+site_priors AS (
+  SELECT tree_id, sum(v) AS j, coalesce(sum(v) FILTER (node_id = site), 0) AS l FROM (
+    SELECT tree_id, node_id, site, log2(CASE WHEN {P} = 0 THEN 1e-9 ELSE {P} END) AS v FROM looked JOIN rooted USING (tree_id, node_id) JOIN site USING (tree_id) WHERE node_id = 0 OR NOT is_root OR node_id = site)
+  GROUP BY tree_id),
+part_counts AS (
+  SELECT f.tree_id, f.part, w.is_root AS was_root, coalesce(t.cnt, 0) AS cnt, coalesce(h.total, 0) AS total,
+    CASE f.part WHEN 'j' THEN p.j WHEN 'l' THEN p.l ELSE p.j - p.l END + (f.size - 1) * log2(0.9) + log2(0.1) AS prior,
+    CASE WHEN (f.part = 'j') != w.is_root AND coalesce(t.cnt, 0) > 0 THEN 1 ELSE 0 END AS less
+  FROM part_forms f JOIN site_priors p USING (tree_id) JOIN site s USING (tree_id) JOIN rooted w ON w.tree_id = f.tree_id AND w.node_id = s.site
+  LEFT JOIN (SELECT head, rhs, sum(cnt) AS cnt FROM tsg GROUP BY head, rhs) t ON t.head = f.head AND t.rhs = f.rhs LEFT JOIN (SELECT head, sum(cnt) AS total FROM tsg GROUP BY head) h ON h.head = f.head),
+part_scores AS (
+  SELECT tree_id, part, was_root, least(0, CASE WHEN cnt > less THEN log2(cnt - less + pow(2, prior)) ELSE prior END - log2(total - less + 1)) AS score FROM part_counts),
+site_scores AS (
+  SELECT tree_id, was_root, sum(score) FILTER (part = 'j') AS j, sum(score) FILTER (part != 'j') AS s FROM part_scores GROUP BY tree_id, was_root)""".replace("{P}", P)
+
+
+@query(over_nodes("SELECT tree_id, site, was_root, round(CASE WHEN s - j > 1000 THEN 0 ELSE 1 / (1 + pow(2, s - j)) END, 6) AS p FROM site_scores JOIN site USING (tree_id)", ROOTED, FRAGMENTS, RULES, CFG, LOOKED, SITES))
+def site_join_probability(spark, sf_dir):
+    """What the sampler would draw from at the first site of every tree, by the counts of the corpus."""
+    rooted = cut(rooted_of(spark, sf_dir))
+    rules = cut(gr.rules_of_nodes(rooted))
+    sites = rooted.where("parent_id IS NOT NULL AND NOT is_leaf").groupBy("tree_id").agg(F.min("node_id").alias("site"))
+    scored = sa.scored_sites(rooted, rules, trained(rules), sites)
+    return sa.site_probabilities(scored, 1.0, 10.0).withColumn("p", F.round("p", 6))
+
+
 BLOCK = """
 kinds AS (SELECT n.label AS site_type, count(*) % 12 + 1 AS n, count(*) % 5 % (count(*) % 12 + 2) AS n_split FROM nodes n WHERE depth = 1 GROUP BY n.label),
 scores AS (
@@ -767,7 +806,7 @@ def samplem_scores(spark, sf_dir):
     kinds = nodes_of(spark, sf_dir).where("depth = 1").groupBy(F.col("label").alias("site_type")).agg(F.count("*").alias("c"))
     kinds = kinds.withColumn("n", F.col("c") % 12 + 1).withColumn("n_split", F.col("c") % 5 % (F.col("n") + 1))
     fixed = lambda **x: {k: F.lit(v) for k, v in x.items()}
-    scores = sa.block_scores(F.col("n"), F.col("n_split"), fixed(u=40, l=30, j=20, nu=200, nl=150), fixed(u=0.005, l=0.02, j=0.001), F.lit(0), F.lit(0), 10.0)
+    scores = sa.block_scores(F.col("n"), F.col("n_split"), fixed(u=40, l=30, j=20, nu=200, nl=150), fixed(u=math.log2(0.005), l=math.log2(0.02), j=math.log2(0.001)), F.lit(0), F.lit(0), 10.0)
     return kinds.select("site_type", F.posexplode(scores).alias("m", "score")).select("site_type", F.col("m").cast("long").alias("m"), F.round("score", 6).alias("score"))
 
 

@@ -136,7 +136,7 @@ def test_binarize_round_trip(spark):
 def test_block_scores_and_draws(spark):
     """Two sites of equal weight: split and joined are equally likely."""
     lit = F.lit
-    scores = sa.block_scores(lit(1).cast("long"), lit(0).cast("long"), {k: lit(v) for k, v in {"u": 0, "l": 0, "j": 1, "nu": 1, "nl": 0}.items()}, {"u": lit(0.5), "l": lit(0.5), "j": lit(0.25)}, lit(0), lit(0), 10.0)
+    scores = sa.block_scores(lit(1).cast("long"), lit(0).cast("long"), {k: lit(v) for k, v in {"u": 0, "l": 0, "j": 1, "nu": 1, "nl": 0}.items()}, {"u": lit(-1.0), "l": lit(-1.0), "j": lit(-2.0)}, lit(0), lit(0), 10.0)
     row = spark.range(1).select(scores.alias("s")).first().s
     assert row[0] == pytest.approx(row[1])
     draws = spark.range(1000).select(sa.draw_index(F.array(lit(-1.0), lit(-2.0), lit(-2.0)), (F.col("id") + 0.5) / 1000).alias("k")).groupBy("k").count()
@@ -250,3 +250,11 @@ def test_entropy_report(spark):
 
 def test_final_threshold():
     assert final_threshold(50) == 27
+
+
+def test_posterior_of_an_unlikely_fragment(spark):
+    post = lambda n, total: pr.posterior_log2(F.lit(n), F.lit(total), F.lit(-5000.0), 2.0, True)
+    row = spark.range(1).select(post(1, 4).alias("last"), post(0, 0).alias("new"), post(3, 4).alias("often")).first()
+    assert row.last == pytest.approx(1 - 5000 - math.log2(5))
+    assert row.new == pytest.approx(-5000.0)
+    assert row.often == pytest.approx(math.log2(2 / 5))
