@@ -258,3 +258,40 @@ def test_posterior_of_an_unlikely_fragment(spark):
     assert row.last == pytest.approx(1 - 5000 - math.log2(5))
     assert row.new == pytest.approx(-5000.0)
     assert row.often == pytest.approx(math.log2(2 / 5))
+
+
+def test_greedy_ranking_against_a_loop(spark):
+    covered = {1: {1, 2, 3, 4}, 2: {3, 4, 5, 6, 7, 8}, 3: {9}, 4: {1, 2}}
+    gain, size = {1: 3.0, 2: 2.0, 3: 1.0, 4: 3.0}, {1: 2, 2: 2, 3: 2, 4: 1}
+    frame = spark.createDataFrame([(k, 1, n) for k, v in covered.items() for n in v], "rule_id long, tree_id long, node_id int")
+    gains = spark.createDataFrame([(k, gain[k], size[k]) for k in gain], "rule_id long, gain double, size int")
+    want, left = [], {k: set(v) for k, v in covered.items()}
+    while True:
+        score, best = max((gain[k] * (len(left[k]) // size[k]), -k) for k in left)
+        if score <= 0:
+            break
+        want.append((len(want) + 1, -best, score))
+        taken = set(left[-best])
+        left = {k: v - taken for k, v in left.items()}
+    assert [tuple(r) for r in idioms.rank_greedily(frame, gains).orderBy("rank").collect()] == want
+
+
+def test_hyperparameters_against_a_loop(spark):
+    rows = [("a", 3, 5, -2.0, 4), ("b", 1, 5, -5000.0, 3), ("c", 1, 1, -1.0, 1)]
+    frame = spark.createDataFrame(rows, "rhs string, cnt long, total long, prior double, size int")
+    got = {(r.alpha, r.mean_size): r.log2p for r in sa.hyperparameters(frame, [0.5, 10.0], [2.0, 5.0]).collect()}
+    for alpha, mean in got:
+        want = 0.0
+        for _, cnt, total, prior, size in rows:
+            prior += (size - 1) * math.log2(1 - 1 / mean) - math.log2(mean)
+            others = math.log2(cnt - 1 + alpha * 2**prior) if cnt > 1 else math.log2(alpha) + prior
+            want += cnt * (others - math.log2(total - 1 + alpha))
+        assert got[alpha, mean] == pytest.approx(want)
+    assert len(got) == 4
+
+
+def test_clone_overlap(spark):
+    nodes = nodes_frame(spark, ("r", ["a", "b"]), ("r", ["a", "b"]), ("r", ["a", "c"]), ("q", ["a"]))
+    cluster = spark.createDataFrame([(1, "k"), (2, "k"), (3, "k"), (4, "l")], "tree_id long, cluster string")
+    got = idioms.clone_overlap(nodes.join(cluster, "tree_id"), 2, 0.9).collect()
+    assert [(r.cluster, r.size, r.members) for r in got] == [("k", 3, 1)]
