@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovespark.llm import bpe, chat, jaccard, langid, lm, media, mixing, pii, quality, rabitq
+from grovespark.llm import bpe, chat, jaccard, langid, lexical, lm, media, mixing, pii, quality, rabitq
 from grovespark.llm.common import held_out, table
 
 
@@ -82,6 +82,10 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, network).select("doc_id", apart.alias("held_out"), "lang_pred", "score")
 
 
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op2_bpe": op2_bpe,
@@ -93,9 +97,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embeddings": op8_embeddings,
     "op9_jaccard": op9_jaccard,
     "op10_langid": op10_langid,
+    "op13_lexical": op13_lexical,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_chat": chat.SQL,
     "op7_mixing": mixing.SQL.format(docs="documents"),
+    "op13_lexical": lexical.SQL,
 }

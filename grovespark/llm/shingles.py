@@ -25,12 +25,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def scan_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All bytes with A-Z lower-cased, begin and length of each word in them, its hash, and the number of words of each text."""
+def scan_words(texts: list[str | None], apart: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All bytes with A-Z lower-cased, begin and length of each word in them, its hash, and the number of words of each text.
+
+    ``apart``: which bytes separate words, the blank among them.
+    """
     data = [(t or "").encode() + b" " for t in texts]
     flat = FOLD[np.frombuffer(b"".join(data), dtype=np.uint8)]
     size = np.fromiter(map(len, data), dtype=np.int64, count=len(data))
-    blank = BLANK[flat]
+    blank = apart[flat]
     edge = np.flatnonzero(np.diff(blank.view(np.int8), prepend=np.int8(1)))
     heads, stops = edge[::2], edge[1::2]
     if not len(heads):
