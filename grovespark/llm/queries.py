@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovespark.llm import bpe, chat, jaccard, langid, lexical, lm, media, mixing, negatives, pii, quality, rabitq
+from grovespark.llm import bpe, chat, fingerprints, jaccard, langid, lexical, lm, media, mixing, negatives, pii, quality, rabitq
 from grovespark.llm.common import held_out, table
 
 
@@ -82,6 +82,11 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, network).select("doc_id", apart.alias("held_out"), "lang_pred", "score")
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.versions(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.base64(c) for c in ("fingerprint", "edited_fingerprint")})
+
+
 def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.mine(negatives.usable(table(spark, sf_dir, "embeddings"), label), F.col("vec_id") % 50 == 0)
@@ -102,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embeddings": op8_embeddings,
     "op9_jaccard": op9_jaccard,
     "op10_langid": op10_langid,
+    "op11_fingerprints": op11_fingerprints,
     "op12_negatives": op12_negatives,
     "op13_lexical": op13_lexical,
 }
