@@ -41,7 +41,7 @@ from grovespark.llm.common import batched, fresh, kept_columns, schema_of, store
 from grovespark.llm.shingles import _FACTORS, _PLACES, mix, scan_words
 
 #: Words of a paragraph on average where lines are longer.
-WORDS = 8
+WORDS = 4
 #: Cells of a fingerprint's sketch, in three tables.
 CELLS = 15
 #: Characters hashed at once.

@@ -84,7 +84,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fingerprints.versions(table(spark, sf_dir, "documents"))
-    return found.withColumns({c: F.base64(c) for c in ("fingerprint", "edited_fingerprint")})
+    return found.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
 
 
 def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
