@@ -42,10 +42,32 @@ def log2_binomial(n: Column, k: Column) -> Column:
 
 
 def uniform(*key: Column, seed: int = 0) -> Column:
-    """A number in [0, 1) that depends on seed and key alone."""
-    return F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 52)).cast("double") / float(1 << 52)
+    """A number in [0, 1) that depends on seed and key alone: 52 bits of a digest of their text, which any engine can make."""
+    text = F.concat_ws("/", F.lit(str(seed)), *[k.cast("string") for k in key])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("bigint").cast("double") / float(1 << 52)
+
+
+#: The right-hand side of a node without properties.
+NO_PROPERTY = r"\0"
+#: Characters that separate things in the text of rules and fragments.
+_MARKS = r"([\\,|*() ])"
+
+
+def label_text(label: Column) -> Column:
+    """A label with separators escaped, so that texts of different rules differ; an empty label is written too."""
+    return F.when(label == "", r"\e").otherwise(F.regexp_replace(label, _MARKS, r"\\$1"))
+
+
+def label_of(text: Column) -> Column:
+    """The label that ``label_text`` wrote."""
+    return F.when(text == r"\e", "").otherwise(F.regexp_replace(text, r"\\(.)", "$1"))
+
+
+def without_roots(form: Column) -> Column:
+    """The text of a fragment without the stars before its tokens."""
+    return F.regexp_replace(form, r"(^| )\*", "$1")
 
 
 def rule_text(rhs: Column) -> Column:
-    """A right-hand side, an array of labels for each property, as ``a,b|c``."""
-    return F.array_join(F.transform(rhs, lambda p: F.array_join(p, ",")), "|")
+    """A right-hand side, an array of labels for each property, as ``a,b|c``; without any property a mark of its own."""
+    return F.when(F.size(rhs) == 0, NO_PROPERTY).otherwise(F.array_join(F.transform(rhs, lambda p: F.array_join(F.transform(p, label_text), ",")), "|"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grovespark.functions import rule_text
+from grovespark.functions import label_text, rule_text
+from grovespark.plans.state import cut
+
 
 def of_head(column: str) -> Column:
     """Sum of a column over all rules of the head."""
@@ -69,15 +71,18 @@ def prune(grammar: DataFrame, least: int, unknown: str = "UNK") -> DataFrame:
 
 
 def fragment_of_nodes(rooted: DataFrame) -> DataFrame:
-    """Each node with ``frag_root``: the nearest node above it that begins a fragment.  A root is also a frontier of the fragment above.
+    """Each node below a top with ``frag_root``: the nearest node above it that begins a fragment.  A root is also a frontier of the fragment above.
 
-    Nodes are visited in pre-order within the tree: the nearest root above is the
-    last root before whose interval still holds the node; found by an interval join
-    within the tree.
+    Pointers go to the parent first; one that does not end at a root yet takes over that of the node
+    it points to, so the number of joins is the logarithm of the longest way to a root.
     """
-    roots = rooted.where("is_root").select("tree_id", F.col("node_id").alias("r_id"), F.col("last_desc").alias("r_last"))
-    above = rooted.join(roots, "tree_id").where("r_id < node_id AND node_id <= r_last")
-    return above.groupBy("tree_id", "node_id").agg(F.max("r_id").alias("frag_root"))
+    flags = rooted.select("tree_id", F.col("node_id").alias("up"), F.col("is_root").alias("ended"))
+    ways = cut(rooted.where("parent_id IS NOT NULL").select("tree_id", "node_id", F.col("parent_id").alias("up")).join(flags, ["tree_id", "up"]).select("tree_id", "node_id", "up", "ended"))
+    while not ways.where("NOT ended").isEmpty():
+        further = ways.select("tree_id", F.col("node_id").alias("up"), F.col("up").alias("up2"), F.col("ended").alias("ended2"))
+        on = ways.where("NOT ended").join(further, ["tree_id", "up"]).select("tree_id", "node_id", F.col("up2").alias("up"), F.col("ended2").alias("ended"))
+        ways = cut(ways.where("ended").unionByName(on))
+    return ways.select("tree_id", "node_id", F.col("up").alias("frag_root"))
 
 
 def fragment_rows(rooted: DataFrame) -> DataFrame:
@@ -98,7 +103,7 @@ def fragments(rooted: DataFrame) -> DataFrame:
 
 def as_text(rows: DataFrame) -> DataFrame:
     """tree_id, frag_root, head, rhs, size of fragments given by their nodes."""
-    token = F.concat(F.when(F.col("is_root"), "*").otherwise(""), "label", F.lit("("), F.array_join(F.col("child_counts").cast("array<string>"), "."), F.lit(")"))
+    token = F.concat(F.when(F.col("is_root"), "*").otherwise(""), label_text(F.col("label")), F.lit("("), F.array_join(F.col("child_counts").cast("array<string>"), "."), F.lit(")"))
     listed = F.sort_array(F.collect_list(F.struct("node_id", token.alias("token"), "label")))
     return rows.groupBy("tree_id", "frag_root").agg(listed.alias("rows")).select("tree_id", "frag_root", F.col("rows")[0]["label"].alias("head"), F.array_join(F.transform("rows", lambda r: r["token"]), " ").alias("rhs"), F.size("rows").cast("long").alias("size"))
 

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from grovespark.functions import label_of, without_roots
+
 MIN_COUNT, MIN_SIZE = 10, 7
+#: A token of a form: up to a blank that is not escaped.
+TOKEN = r"((?:[^\\ ]|\\.)+)"
 
 
 def frequent(grammar: DataFrame, min_count: int = MIN_COUNT, min_size: int = MIN_SIZE) -> DataFrame:
     """Fragments that are frequent and large enough, each form once; root flags don't count in the form."""
-    plain = F.regexp_replace("rhs", r"\*", "")
-    return grammar.where((F.col("cnt") >= min_count) & (F.col("size") >= min_size)).select(plain.alias("form"), "size").distinct()
+    return grammar.where((F.col("cnt") >= min_count) & (F.col("size") >= min_size)).select(without_roots(F.col("rhs")).alias("form"), "size").distinct()
 
 
 def parse_forms(forms: DataFrame) -> DataFrame:
@@ -19,10 +22,10 @@ def parse_forms(forms: DataFrame) -> DataFrame:
 
     The parent of a token is found by the counts: token i's depth in the pre-order
     follows from how many children are still open, a running sum over the tokens.
-    Labels may hold blanks; a token ends with its closing bracket.
+    Labels may hold any characters, since separators in them are escaped.
     """
-    token = forms.select("rule_id", F.posexplode(F.split("form", r"(?<=\)) ")).alias("node_id", "token"))
-    label = F.regexp_extract("token", r"^(.*)\(([0-9.]*)\)$", 1)
+    token = forms.select("rule_id", F.posexplode(F.regexp_extract_all("form", F.lit(TOKEN), F.lit(1))).alias("node_id", "token"))
+    label = label_of(F.regexp_extract("token", r"^(.*)\(([0-9.]*)\)$", 1))
     counts = F.regexp_extract("token", r"^(.*)\(([0-9.]*)\)$", 2)
     rows = token.select("rule_id", "node_id", label.alias("label"), F.when(counts == "", F.array().cast("array<int>")).otherwise(F.split(counts, r"\.").cast("array<int>")).alias("child_counts"))
     below = F.aggregate("child_counts", F.lit(0), lambda s, c: s + c)

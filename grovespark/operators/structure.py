@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grovespark.functions import label_text
 from grovespark.operators.ranking import running_sum
+from grovespark.plans.state import cut
 
 
 def tree_sizes(nodes: DataFrame) -> DataFrame:
@@ -32,15 +34,21 @@ def label_multiset(nodes: DataFrame) -> DataFrame:
 
 
 def node_paths(nodes: DataFrame) -> DataFrame:
-    """For each node the way up: labels, properties and places from its parent to the root; the join is by tree and interval."""
-    up = nodes.select("tree_id", F.col("node_id").alias("a_id"), F.col("last_desc").alias("a_last"), F.col("depth").alias("a_depth"), F.col("label").alias("a_label"), F.col("prop_idx").alias("a_prop"), F.col("child_idx").alias("a_idx"))
-    joined = nodes.select("tree_id", "node_id", "prop_idx", "child_idx").join(up, "tree_id").where("a_id < node_id AND node_id <= a_last")
-    steps = F.sort_array(F.collect_list(F.struct((-F.col("a_depth")).alias("d"), "a_label", "a_prop", "a_idx")))
-    props = F.concat(F.array(F.first("prop_idx")), F.filter(F.transform(steps, lambda s: s["a_prop"]), lambda p: p.isNotNull()))
-    places = F.concat(F.array(F.first("child_idx")), F.filter(F.transform(steps, lambda s: s["a_idx"]), lambda p: p.isNotNull()))
-    return joined.groupBy("tree_id", "node_id").agg(
-        F.array_join(F.transform(steps, lambda s: s["a_label"]), ">").alias("labels"), F.array_join(props, ">").alias("props"), F.array_join(places, ">").alias("places")
-    )
+    """For each node the way up: labels, properties and places from its parent to the root.
+
+    A way that does not reach the root yet is followed by that of the node it ends at, so the
+    number of joins is the logarithm of the depth.
+    """
+    tops = nodes.select("tree_id", F.col("node_id").alias("up"), F.col("label").alias("up_label"), F.col("parent_id").isNull().alias("ended"))
+    one = lambda c: F.array(F.col(c))
+    first = nodes.where("parent_id IS NOT NULL").select("tree_id", "node_id", F.col("parent_id").alias("up"), one("prop_idx").alias("props"), one("child_idx").alias("places"))
+    columns = ["tree_id", "node_id", "up", "ended", "labels", "props", "places"]
+    ways = cut(first.join(tops, ["tree_id", "up"]).withColumn("labels", one("up_label")).select(columns))
+    while not ways.where("NOT ended").isEmpty():
+        further = ways.select("tree_id", F.col("node_id").alias("up"), F.col("up").alias("up2"), F.col("ended").alias("ended2"), *[F.col(c).alias(f"{c}2") for c in columns[4:]])
+        on = ways.where("NOT ended").join(further, ["tree_id", "up"]).select("tree_id", "node_id", F.col("up2").alias("up"), F.col("ended2").alias("ended"), *[F.concat(c, f"{c}2").alias(c) for c in columns[4:]])
+        ways = cut(ways.where("ended").unionByName(on))
+    return ways.select("tree_id", "node_id", *[F.array_join(F.col(c).cast("array<string>"), ">").alias(c) for c in columns[4:]])
 
 
 def symbols(nodes: DataFrame) -> DataFrame:
@@ -74,7 +82,7 @@ def similarity(multisets: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def canonical(nodes: DataFrame, group: list[str], with_flags: bool = False) -> DataFrame:
     """One string a group: ``label(counts)`` of its nodes in pre-order, roots starred if asked for."""
-    token = F.concat("label", F.lit("("), F.array_join(F.col("child_counts").cast("array<string>"), "."), F.lit(")"))
+    token = F.concat(label_text(F.col("label")), F.lit("("), F.array_join(F.col("child_counts").cast("array<string>"), "."), F.lit(")"))
     if with_flags:
         token = F.concat(F.when(F.col("is_root"), "*").otherwise(""), token)
     rows = F.sort_array(F.collect_list(F.struct("node_id", token.alias("token"))))

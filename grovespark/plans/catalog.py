@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grovespark.functions import without_roots
 from grovespark.operators import cooccurrence as co
 from grovespark.operators import grammar as gr
 from grovespark.operators import idioms
@@ -309,7 +310,7 @@ sizes AS (SELECT rule_id, count(*) AS size FROM patterns GROUP BY rule_id)""".re
 
 def forms_of(rooted: DataFrame) -> DataFrame:
     """rule_id (the form), size, cnt of the frequent fragments."""
-    counted = gr.count_fragments(gr.fragments(rooted)).withColumn("rule_id", F.regexp_replace("rhs", r"\*", ""))
+    counted = gr.count_fragments(gr.fragments(rooted)).withColumn("rule_id", without_roots(F.col("rhs")))
     kept = idioms.frequent(counted, 3, 2).withColumnRenamed("form", "rule_id")
     return counted.where("cnt >= 3").join(kept, ["rule_id", "size"]).groupBy("rule_id", "size").agg(F.sum("cnt").alias("cnt"))
 
@@ -516,7 +517,7 @@ def idiom_rank_greedy(spark, sf_dir):
     found, priors = fragment_priors(spark, sf_dir)
     scored = pr.fragment_posteriors(found, priors, alpha=1.0)
     gain = F.greatest(F.lit(0.0), F.avg(F.log2(F.col("cnt") / F.col("total")) - F.col("prior")))
-    gains = scored.groupBy(F.regexp_replace("rhs", r"\*", "").alias("rule_id")).agg(gain.alias("gain"))
+    gains = scored.groupBy(without_roots(F.col("rhs")).alias("rule_id")).agg(gain.alias("gain"))
     return idioms.rank_greedily(ma.covered_nodes(patterns, nodes), ma.pattern_sizes(patterns).join(gains, "rule_id"))
 
 
@@ -907,7 +908,7 @@ def inside_logprob(spark, sf_dir):
     rooted = cut(rooted_of(spark, sf_dir))
     grammar = gr.count_rules(gr.fragments(rooted))
     rules = cut(gr.ml_probabilities(grammar).withColumn("rule_id", F.xxhash64("head", "rhs")))
-    forms = idioms.parse_forms(rules.select("rule_id", F.regexp_replace("rhs", r"\*", "").alias("form")))
+    forms = idioms.parse_forms(rules.select("rule_id", without_roots(F.col("rhs")).alias("form")))
     return pr.inside_log2(rooted, forms, rules.select("rule_id", F.log2("p").alias("log2p")), 2)
 
 
