@@ -50,7 +50,7 @@ def uniform(*key: Column, seed: int = 0) -> Column:
 #: The right-hand side of a node without properties.
 NO_PROPERTY = r"\0"
 #: Characters that separate things in the text of rules and fragments.
-_MARKS = r"([\\,|*() ])"
+_MARKS = r"([\\,|*()])"
 
 
 def label_text(label: Column) -> Column:
@@ -65,7 +65,7 @@ def label_of(text: Column) -> Column:
 
 def without_roots(form: Column) -> Column:
     """The text of a fragment without the stars before its tokens."""
-    return F.regexp_replace(form, r"(^| )\*", "$1")
+    return F.regexp_replace(form, r"(?<!\\)\*", "")
 
 
 def rule_text(rhs: Column) -> Column:

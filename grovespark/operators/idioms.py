@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from grovespark.functions import label_of, without_roots
 
 MIN_COUNT, MIN_SIZE = 10, 7
-#: A token of a form: up to a blank that is not escaped.
-TOKEN = r"((?:[^\\ ]|\\.)+)"
+#: A token of a form: up to a closing bracket that is not escaped; a blank follows.
+TOKEN = r"((?:[^\\)]|\\.)+\)) ?"
 
 
 def frequent(grammar: DataFrame, min_count: int = MIN_COUNT, min_size: int = MIN_SIZE) -> DataFrame:

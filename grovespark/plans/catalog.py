@@ -2,23 +2,23 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovespark.functions import without_roots
+from grovespark.functions import uniform, without_roots
 from grovespark.operators import cooccurrence as co
 from grovespark.operators import grammar as gr
-from grovespark.operators import idioms
+from grovespark.operators import idioms, keys
 from grovespark.operators import matching as ma
 from grovespark.operators import probability as pr
 from grovespark.operators import rewrite as rw
 from grovespark.operators import sampling as sa
+from grovespark.operators import segmentation as se
 from grovespark.operators import structure as st
 from grovespark.plans.state import cut
-from grovespark.plans.train import train
+from grovespark.plans.train import node_priors, train
 from grovespark.sources import text as tx
 from grovespark.sources.relational import NODE_COLUMNS, NODES_SQL, customer_trees, read
 from grovespark.streaming import counts
@@ -793,29 +793,94 @@ def site_join_probability(spark, sf_dir):
     return sa.site_probabilities(scored, 1.0, 10.0).withColumn("p", F.round("p", 6))
 
 
-BLOCK = """
-kinds AS (SELECT n.label AS site_type, count(*) % 12 + 1 AS n, count(*) % 5 % (count(*) % 12 + 2) AS n_split FROM nodes n WHERE depth = 1 GROUP BY n.label),
-scores AS (
-  SELECT site_type, m, lgamma(n + 1) / ln(2) - lgamma(m + 1) / ln(2) - lgamma(n - m + 1) / ln(2)
-    + coalesce(list_sum(list_transform(range(m), lambda i: log2(40 - n_split + i + 0.05) - log2(200 - n + i + 10) + log2(30 - n_split + i + 0.2) - log2(150 - n_split + i + 10))), 0)
-    + coalesce(list_sum(list_transform(range(n - m), lambda i: log2(20 - (n - n_split) + i + 0.01) - log2(200 - n + i + m + 10))), 0) AS score
-  FROM kinds, unnest(range(n + 1)) t(m))"""
-
-
-@query(over_nodes("SELECT site_type, m, round(score, 6) AS score FROM scores", BLOCK))
+#: What the training steps need of the trees: orders with what they look like as a frontier and as inner nodes, and tops.
+ALL_RULES = "cfg AS (SELECT head, rhs, count(*) AS cnt FROM rules GROUP BY head, rhs), heads AS (SELECT head, sum(cnt) AS total FROM cfg GROUP BY head)"
+ORDERS = f"""
+rule_logs AS (SELECT tree_id, node_id, log2(CASE WHEN {P} = 0 THEN 1e-9 ELSE {P} END) AS lp FROM looked),
+orders_in AS MATERIALIZED (
+  SELECT n.tree_id, n.node_id, n.label, n.is_leaf, '*' || n.label || '(0.0)' AS star, n.last_desc - n.node_id + 1 AS size, any_value(CASE WHEN n.is_leaf THEN 0 ELSE lp END) AS lp,
+    n.label || '(' || array_to_string(n.child_counts, '.') || ')' || coalesce(' ' || string_agg(c.label || '()', ' ' ORDER BY c.node_id), '') AS open
+  FROM nodes n LEFT JOIN nodes c ON c.tree_id = n.tree_id AND c.parent_id = n.node_id LEFT JOIN rule_logs l ON l.tree_id = n.tree_id AND l.node_id = n.node_id
+  WHERE n.depth = 1 GROUP BY n.tree_id, n.node_id, n.label, n.is_leaf, n.last_desc, n.child_counts),
+tops_in AS MATERIALIZED (SELECT tree_id, label, '*' || label || '(' || array_to_string(child_counts, '.') || ')' AS token, lp FROM nodes JOIN rule_logs USING (tree_id, node_id) WHERE depth = 0)"""
+
+
+def drawn_sql(seed: int, *key: str) -> str:
+    text = " || '/' || ".join([f"'{seed}'", *[f"CAST({k} AS VARCHAR)" for k in key]])
+    return f"(CAST(('0x' || substr(md5({text}), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE)"
+
+
+def step_sql(k: int, block: bool, mean: float) -> str:
+    """The k-th training step: from the flags f{k} to f{k + 1}; all sites of a customer touch the top's fragment, so one a tree is drawn."""
+    prior = lambda x: f"{x}_prior + ({x}_size - 1) * log2({1 - 1 / mean}) + log2({1 / mean})"
+    parts = "".join(f", coalesce({x}.cnt, 0) AS {x}_cnt, coalesce({x}h.total, 0) AS {x}_total, {prior(x)} AS p{x}" for x in "jul")
+    joins = "".join(f" LEFT JOIN c{k} {x} ON {x}.head = {x}_head AND {x}.rhs = {x}_rhs LEFT JOIN h{k} {x}h ON {x}h.head = {x}_head" for x in "jul")
+    weight = lambda c, p: f"CASE WHEN {c} > 0 THEN log2({c} + pow(2, {p})) ELSE {p} END"
+    score = lambda x, less: f"least(0, {weight(f'({x}_cnt - {less})', f'p{x}')} - log2({x}_total - {less} + 1))"
+    less = lambda x: f"(CASE WHEN {'was' if x != 'j' else 'NOT was'} AND {x}_cnt > 0 THEN 1 ELSE 0 END)"
+    listed = lambda upto, body: f"coalesce(list_sum(list_transform(range({upto}), lambda i: {body})), 0)"
+    head = f"""
+st{k} AS MATERIALIZED (SELECT o.*, coalesce(f.flag, false) AS flag FROM orders_in o LEFT JOIN f{k} f USING (tree_id, node_id)),
+tree_forms{k} AS (SELECT t.tree_id, t.label AS head, t.token || coalesce(' ' || string_agg(CASE WHEN flag THEN star ELSE open END, ' ' ORDER BY node_id), '') AS rhs, 1 + coalesce(sum(CASE WHEN flag THEN 1 ELSE s.size END), 0) AS size
+  FROM tops_in t LEFT JOIN st{k} s USING (tree_id) GROUP BY t.tree_id, t.label, t.token),
+c{k} AS MATERIALIZED (SELECT head, rhs, size, count(*) AS cnt FROM (SELECT head, rhs, size FROM tree_forms{k} UNION ALL SELECT label, '*' || open, size FROM st{k} WHERE flag) GROUP BY head, rhs, size),
+h{k} AS (SELECT head, sum(cnt) AS total FROM c{k} GROUP BY head)"""
+    sites = f""",
+sites{k} AS MATERIALIZED (
+  SELECT s.tree_id, s.node_id AS site, s.flag AS was, t.label AS j_head, t.label AS u_head, s.label AS l_head, '*' || s.open AS l_rhs, s.size AS l_size, s.lp AS l_prior,
+    t.token || ' ' || string_agg(CASE WHEN o.flag AND o.node_id != s.node_id THEN o.star ELSE o.open END, ' ' ORDER BY o.node_id) AS j_rhs, t.token || ' ' || string_agg(CASE WHEN o.flag OR o.node_id = s.node_id THEN o.star ELSE o.open END, ' ' ORDER BY o.node_id) AS u_rhs,
+    1 + sum(CASE WHEN o.flag AND o.node_id != s.node_id THEN 1 ELSE o.size END) AS j_size, 1 + sum(CASE WHEN o.flag OR o.node_id = s.node_id THEN 1 ELSE o.size END) AS u_size,
+    t.lp + sum(CASE WHEN o.flag AND o.node_id != s.node_id THEN 0 ELSE o.lp END) AS j_prior, t.lp + sum(CASE WHEN o.flag OR o.node_id = s.node_id THEN 0 ELSE o.lp END) AS u_prior
+  FROM st{k} s JOIN tops_in t USING (tree_id) JOIN st{k} o ON o.tree_id = s.tree_id WHERE NOT s.is_leaf
+  GROUP BY s.tree_id, s.node_id, s.flag, t.label, s.label, s.open, s.size, s.lp, t.token, t.lp)"""
+    if not block:
+        pick = f""",
+picked{k} AS (SELECT * FROM sites{k} QUALIFY row_number() OVER (PARTITION BY tree_id ORDER BY {drawn_sql(1, str(k), "tree_id", "site")}, site) = 1),
+scored{k} AS (SELECT p.tree_id, site, was{parts} FROM picked{k} p{joins}),
+summed{k} AS (SELECT tree_id, site, {score("j", less("j"))} AS j, {score("u", less("u"))} + {score("l", less("l"))} AS s FROM scored{k}),
+new{k} AS MATERIALIZED (SELECT tree_id, site, {drawn_sql(2, str(k), "tree_id", "site")} > CASE WHEN s - j > 1000 THEN 0 ELSE 1 / (1 + pow(2, s - j)) END AS flag FROM summed{k})"""
+    else:
+        pick = f""",
+firsts{k} AS (SELECT j_rhs, u_rhs, l_rhs, min({{'t': tree_id, 's': site}}) AS f FROM sites{k} GROUP BY ALL),
+picked{k} AS MATERIALIZED (SELECT s.* FROM sites{k} s JOIN firsts{k} USING (j_rhs, u_rhs, l_rhs) QUALIFY row_number() OVER (PARTITION BY tree_id ORDER BY {drawn_sql(3, str(k), "f.t", "f.s")}, {drawn_sql(1, str(k), "tree_id", "site")}, site) = 1),
+types{k} AS (SELECT j_rhs, u_rhs, l_rhs, count(*) AS n, count(*) FILTER (was) AS n_split, min({{'t': tree_id, 's': site}}) AS f, any_value(j_head) AS j_head, any_value(u_head) AS u_head, any_value(l_head) AS l_head,
+  max(j_size) AS j_size, max(u_size) AS u_size, max(l_size) AS l_size, max(j_prior) AS j_prior, max(u_prior) AS u_prior, max(l_prior) AS l_prior FROM picked{k} GROUP BY j_rhs, u_rhs, l_rhs),
+scored{k} AS (SELECT t.j_rhs, t.u_rhs, t.l_rhs, n, n_split, f{parts} FROM types{k} t{joins}),
+m_scores{k} AS MATERIALIZED (SELECT *, lgamma(n + 1) / ln(2) - lgamma(m + 1) / ln(2) - lgamma(n - m + 1) / ln(2)
+    + {listed("m", weight("(u_cnt - n_split + i)", "pu") + " + " + weight("(l_cnt - n_split + i)", "pl") + " - log2(u_total - n + i + 1) - log2(l_total - n_split + i + 1)")}
+    + {listed("n - m", weight("(j_cnt - (n - n_split) + i)", "pj") + " - log2(u_total - n + i + m + 1)")} AS score
+  FROM scored{k}, unnest(range(n + 1)) x(m)),
+drawn{k} AS (SELECT j_rhs, u_rhs, l_rhs, arg_max(m, score * ln(2) - ln(-ln({drawn_sql(4, str(k), "f.t", "f.s", "m")} + pow(2, -53)))) AS m FROM m_scores{k} GROUP BY j_rhs, u_rhs, l_rhs),
+new{k} AS MATERIALIZED (SELECT tree_id, site, row_number() OVER (PARTITION BY j_rhs, u_rhs, l_rhs ORDER BY {drawn_sql(2, str(k), "tree_id", "site")}, tree_id, site) <= m AS flag FROM picked{k} JOIN drawn{k} USING (j_rhs, u_rhs, l_rhs))"""
+    return head + sites + pick + f""",
+f{k + 1} AS MATERIALIZED (SELECT tree_id, f.node_id, coalesce(n.flag, f.flag) AS flag FROM f{k} f LEFT JOIN (SELECT tree_id, site AS node_id, flag FROM new{k}) n USING (tree_id, node_id))"""
+
+
+FLAGS = f"f0 AS MATERIALIZED (SELECT tree_id, node_id, {drawn_sql(1, 'tree_id', 'node_id')} < 0.9 AS flag FROM nodes WHERE depth = 1 AND NOT is_leaf)"
+
+
+def training_sql(steps: int, block: bool) -> str:
+    last = step_sql(steps, block, 10.0).split(f",\nsites{steps} AS")[0]
+    return over_nodes(f"SELECT head, rhs, CAST(size AS BIGINT) AS size, cnt FROM c{steps}", RULES, ALL_RULES, LOOKED, ORDERS, FLAGS, *[step_sql(k, block, 10.0) for k in range(steps)], last)
+
+
+@query(over_nodes("SELECT f.t AS tree_id, f.s AS site, n, n_split, m, round(score, 6) AS score FROM m_scores0", RULES, ALL_RULES, LOOKED, ORDERS, FLAGS, step_sql(0, True, 10.0)))
 def samplem_scores(spark, sf_dir):
-    kinds = nodes_of(spark, sf_dir).where("depth = 1").groupBy(F.col("label").alias("site_type")).agg(F.count("*").alias("c"))
-    kinds = kinds.withColumn("n", F.col("c") % 12 + 1).withColumn("n_split", F.col("c") % 5 % (F.col("n") + 1))
-    fixed = lambda **x: {k: F.lit(v) for k, v in x.items()}
-    scores = sa.block_scores(F.col("n"), F.col("n_split"), fixed(u=40, l=30, j=20, nu=200, nl=150), fixed(u=math.log2(0.005), l=math.log2(0.02), j=math.log2(0.001)), F.lit(0), F.lit(0), 10.0)
-    return kinds.select("site_type", F.posexplode(scores).alias("m", "score")).select("site_type", F.col("m").cast("long").alias("m"), F.round("score", 6).alias("score"))
-
-
-@query()
+    """For every type of site that the first block step draws, named by its first site: the score of each number of them being split."""
+    nodes = cut(nodes_of(spark, sf_dir))
+    levels = keys.levels_of(nodes)
+    rooted = st.with_roots(nodes, uniform(F.col("tree_id"), F.col("node_id"), seed=1) < 0.9)
+    state = keys.skeleton(nodes, node_priors(nodes)).join(rooted.select("tree_id", "node_id", "is_root"), ["tree_id", "node_id"])
+    keyed = cut(keys.keyed(state, levels))
+    chosen = se.chosen_sites(cut(keys.sites(keyed, levels)), 1, 0, True)
+    counted = se.with_counts(se.types_of(chosen), keys.fragment_counts(keyed))
+    return se.scores(counted, 1.0, 10.0).select("first.tree_id", "first.site", "n", "n_split", "m", F.round("score", 6).alias("score"))
+
+
+@query(training_sql(5, False))
 def gibbs_train(spark, sf_dir):
-    """Three sweeps; the grammar of the last."""
-    grammar, _ = train(nodes_of(spark, sf_dir), 3, alpha=1.0, mean_size=10.0)
-    return grammar
+    """Five iterations of maximal sets of sites; the grammar summed after the burn-in."""
+    return train(cut(nodes_of(spark, sf_dir)), 5, alpha=1.0, mean_size=10.0)[0]
 
 
 @query(
@@ -873,10 +938,47 @@ def snippet_length(spark, sf_dir):
     return idioms.long_snippets(nodes_of(spark, sf_dir))
 
 
-@query()
+@query(training_sql(5, True))
 def block_train(spark, sf_dir):
-    """Three block sweeps; the grammar of the last."""
-    return train(nodes_of(spark, sf_dir), 3, alpha=1.0, mean_size=10.0, block=True)[0]
+    """Five iterations that draw the sites of a type together; the grammar summed after the burn-in."""
+    return train(cut(nodes_of(spark, sf_dir)), 5, alpha=1.0, mean_size=10.0, block=True)[0]
+
+
+#: Labels that hold the separators of the text forms: items `A,` and `A`, orders with brackets and stars, so that joined texts of different trees agree.
+HOSTILE = """
+hostile AS MATERIALIZED (SELECT tree_id, node_id, parent_id, prop_idx, child_idx, depth, n_props, child_counts, is_leaf,
+  CASE depth WHEN 0 THEN label WHEN 1 THEN '*' || replace(label, '-', ') (') ELSE CASE label WHEN 'RF' THEN 'a,b' WHEN 'AF' THEN 'a' ELSE 'b' END END AS label FROM nodes),
+lists AS MATERIALIZED (
+  SELECT p.tree_id, p.node_id, p.depth, p.label, p.n_props, p.last_desc - p.node_id + 1 AS size, coalesce(list([CAST(c.prop_idx AS VARCHAR), c.label] ORDER BY c.prop_idx, c.child_idx) FILTER (c.node_id IS NOT NULL), []) AS below
+  FROM (SELECT h.*, n.last_desc FROM hostile h JOIN nodes n USING (tree_id, node_id)) p LEFT JOIN hostile c ON c.tree_id = p.tree_id AND c.parent_id = p.node_id GROUP BY p.tree_id, p.node_id, p.depth, p.label, p.n_props, p.last_desc),
+wholes AS (
+  SELECT tree_id, node_id, label, n_props, size, [below] AS whole FROM lists WHERE depth > 0
+  UNION ALL
+  SELECT t.tree_id, t.node_id, t.label, t.n_props, t.size, coalesce(list([[o.label, CAST(o.n_props AS VARCHAR)]] || o.below ORDER BY o.node_id) FILTER (o.node_id IS NOT NULL), []) FROM lists t LEFT JOIN lists o ON o.tree_id = t.tree_id AND o.depth = 1 WHERE t.depth = 0 GROUP BY t.tree_id, t.node_id, t.label, t.n_props, t.size)"""
+
+
+def hostile_of(spark, sf_dir):
+    item = F.when(F.col("label") == "RF", "a,b").when(F.col("label") == "AF", "a").otherwise("b")
+    label = F.when(F.col("depth") == 0, F.col("label")).when(F.col("depth") == 1, F.concat(F.lit("*"), F.replace("label", F.lit("-"), F.lit(") (")))).otherwise(item)
+    return nodes_of(spark, sf_dir).withColumn("label", label)
+
+
+@query(over_nodes("SELECT label, size, n, f.t AS tree_id, f.i AS node_id FROM (SELECT label, n_props, size, whole, count(*) AS n, min({'t': tree_id, 'i': node_id}) AS f FROM wholes GROUP BY label, n_props, size, whole)", HOSTILE))
+def subtree_classes(spark, sf_dir):
+    """Distinct subtrees of trees whose labels hold commas, brackets and stars."""
+    return keys.subtree_classes(cut(hostile_of(spark, sf_dir)))
+
+
+@query(over_nodes("SELECT tree_id, min(tree_id) OVER (PARTITION BY label, n_props, size, whole) AS class_id FROM wholes WHERE node_id = 0", HOSTILE))
+def equal_trees(spark, sf_dir):
+    return keys.equal_trees(cut(hostile_of(spark, sf_dir)))
+
+
+@query(over_nodes("SELECT head, CAST(count(*) AS BIGINT) AS rules, CAST(sum(cnt) AS BIGINT) AS cnt FROM (SELECT label AS head, n_props, below, count(*) AS cnt FROM lists WHERE depth = 0 OR len(below) > 0 GROUP BY label, n_props, below) GROUP BY head", HOSTILE))
+def hostile_rules(spark, sf_dir):
+    """How many different rules each head has, where joined labels would agree."""
+    rules = gr.count_rules(gr.rules_of_nodes(cut(hostile_of(spark, sf_dir))))
+    return rules.groupBy("head").agg(F.count("*").alias("rules"), F.sum("cnt").alias("cnt"))
 
 
 @query()
