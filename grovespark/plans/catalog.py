@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from grovespark.functions import uniform, without_roots
 from grovespark.operators import cooccurrence as co
 from grovespark.operators import grammar as gr
-from grovespark.operators import idioms, keys
+from grovespark.operators import hyper, idioms, keys
 from grovespark.operators import matching as ma
 from grovespark.operators import probability as pr
 from grovespark.operators import rewrite as rw
@@ -989,6 +989,16 @@ def hyperparameter_grid(spark, sf_dir):
     return sa.hyperparameters(distinct, [0.5, 1.0, 10.0, 100.0], [2.0, 5.0, 20.0])
 
 
+@query()
+def hyperparameter_fit(spark, sf_dir):
+    """Where the corpus of all fragments is most likely, by following the gradient."""
+    found, priors = fragment_priors(spark, sf_dir)
+    scored = pr.fragment_posteriors(found, priors, alpha=1.0)
+    distinct = cut(scored.groupBy("head", "rhs").agg(F.first("cnt").alias("cnt"), F.first("total").alias("total"), F.avg("prior").alias("prior"), F.first("size").alias("size")))
+    got = hyper.fitted(distinct)
+    return spark.createDataFrame([(got["alpha"], got["mean_size"], got["log2p"], got["steps"])], "alpha double, mean_size double, log2p double, steps int")
+
+
 @query()
 def generate_cfg(spark, sf_dir):
     """A random tree for every customer, from the rules of all trees."""

@@ -9,7 +9,7 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: A selection that touches every module and stays quick.
-NAMES = ["tree_nodes", "node_paths", "cfg_ml_prob", "cfg_entropy", "tsg_counts", "tsg_prune", "tsg_templetized", "tsg_merge_alphabets", "pattern_merge", "snippet_length", "corpus_filter", "posterior_rule", "match_partial", "match_supertree", "maximal_overlap", "pattern_stats", "pattern_threshold_grid", "cooc_lift", "pmi_column", "pair_likelihood_ratio", "recall_at_k", "precision_at_threshold", "binarize", "sequential_multinode", "samplem_scores", "tree_printer", "json_export", "symbol_printer", "multinode_printer", "variable_types", "delegated_types", "unit_key", "site_join_probability", "top_columns", "symbol_dictionary", "stream_label_counts"]
+NAMES = ["tree_nodes", "node_paths", "cfg_ml_prob", "cfg_entropy", "tsg_counts", "tsg_prune", "tsg_templetized", "tsg_merge_alphabets", "pattern_merge", "snippet_length", "corpus_filter", "posterior_rule", "match_partial", "match_supertree", "maximal_overlap", "pattern_stats", "pattern_threshold_grid", "cooc_lift", "pmi_column", "pair_likelihood_ratio", "recall_at_k", "precision_at_threshold", "binarize", "sequential_multinode", "samplem_scores", "subtree_classes", "equal_trees", "hostile_rules", "detempletize", "tree_printer", "json_export", "symbol_printer", "multinode_printer", "variable_types", "delegated_types", "unit_key", "site_join_probability", "top_columns", "symbol_dictionary", "stream_label_counts"]
 
 
 def plain(value):
