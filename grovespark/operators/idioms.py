@@ -123,14 +123,14 @@ def rank_greedily(covered: DataFrame, gains: DataFrame, limit: int = 25) -> Data
     return spark.createDataFrame(out, f"rank int, rule_id {covered.schema['rule_id'].dataType.simpleString()}, score double")
 
 
-def clone_overlap(cluster_nodes: DataFrame, levels: int, accept: float = 0.9) -> DataFrame:
+def clone_overlap(cluster_nodes: DataFrame, accept: float = 0.9) -> DataFrame:
     """cluster, size: nodes of the common top of each cluster's trees with its first tree, of trees that share at least ``accept`` of it."""
     from grovespark.operators.matching import maximal_overlap
 
     first = cluster_nodes.groupBy("cluster").agg(F.min("tree_id").alias("a"))
     pairs = cluster_nodes.select("cluster", F.col("tree_id").alias("b")).distinct().join(first, "cluster").where("a != b")
     nodes = cluster_nodes.drop("cluster").distinct()
-    common = maximal_overlap(nodes, nodes, pairs.select("a", "b"), levels).join(pairs, ["a", "b"])
+    common = maximal_overlap(nodes, nodes, pairs.select("a", "b")).join(pairs, ["a", "b"])
     size = nodes.groupBy(F.col("tree_id").alias("a")).agg(F.count("*").alias("size"))
     enough = common.groupBy("cluster", "a", "b").agg(F.count("*").alias("n")).join(size, "a").where(F.col("n") >= accept * F.col("size"))
     members = enough.groupBy("cluster").agg(F.count("*").alias("members"))

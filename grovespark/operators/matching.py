@@ -24,15 +24,15 @@ def _pattern(patterns: DataFrame) -> DataFrame:
     return patterns.select("rule_id", *[F.col(a).alias(b) for a, b in names.items()])
 
 
-def height(patterns: DataFrame, most: int = 64) -> int:
-    """Edges from a top to the deepest pattern node."""
-    level, ids = 0, patterns.where("parent_id IS NULL").select("rule_id", "node_id")
-    while level < most:
-        ids = patterns.select("rule_id", F.col("node_id").alias("child"), F.col("parent_id").alias("node_id")).join(ids, ["rule_id", "node_id"]).select("rule_id", F.col("child").alias("node_id"))
-        if ids.isEmpty():
+def height(patterns: DataFrame) -> int:
+    """Edges from a top to the deepest pattern node, whatever it is."""
+    below = cut(patterns.where("parent_id IS NOT NULL").select("rule_id", "node_id", "parent_id"))
+    level, reached = 0, patterns.where("parent_id IS NULL").select("rule_id", F.col("node_id").alias("parent_id"))
+    while True:
+        reached = cut(below.join(reached, ["rule_id", "parent_id"]).select("rule_id", F.col("node_id").alias("parent_id")))
+        if reached.isEmpty():
             return level
         level += 1
-    raise ValueError("patterns are too tall")
 
 
 def aligned(patterns: DataFrame, nodes: DataFrame, all_children: bool = False, on: str = "label") -> DataFrame:
@@ -124,32 +124,37 @@ def supertree_sites(patterns: DataFrame, nodes: DataFrame) -> DataFrame:
     return start.join(bad.distinct(), keep, "left_anti")
 
 
-def maximal_overlap(left: DataFrame, right: DataFrame, pairs: DataFrame, levels: int) -> DataFrame:
-    """a, b, node_id of a: the largest common top of two trees, in each property only up to the first child that differs."""
+def maximal_overlap(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFrame:
+    """a, b, node_id of a: the largest common top of two trees, in each property only up to the first child that differs.
+
+    Goes down a level a step until no pair has nodes that agree; each step is written to the shared folder.
+    """
     one = left.select(F.col("tree_id").alias("a"), F.col("node_id").alias("a_id"), F.col("parent_id").alias("a_parent"), "prop_idx", "child_idx", F.col("label").alias("a_label"), F.col("n_props").alias("a_props"))
     two = right.select(F.col("tree_id").alias("b"), F.col("node_id").alias("b_id"), F.col("parent_id").alias("b_parent"), "prop_idx", "child_idx", F.col("label").alias("b_label"), F.col("n_props").alias("b_props"))
     same = F.coalesce(F.expr("a_label = b_label AND a_props = b_props"), F.lit(False))
+    one, two = cut(one), cut(two)
     tops = pairs.join(one.where("a_parent IS NULL").drop("prop_idx", "child_idx"), "a").join(two.where("b_parent IS NULL").drop("prop_idx", "child_idx"), "b").where(same)
-    found = now = tops.select("a", "b", "a_id", "b_id")
-    for _ in range(levels):
+    found = now = cut(tops.select("a", "b", "a_id", "b_id"))
+    while not now.isEmpty():
         open_ = now.select("a", "b", F.col("a_id").alias("a_parent"), F.col("b_id").alias("b_parent"))
         joined = open_.join(one, ["a", "a_parent"]).join(two, ["b", "b_parent", "prop_idx", "child_idx"])
         # a child differs at the first place where labels do; beyond the shorter list nothing is joined
         first = F.expr("min(CASE WHEN NOT coalesce(a_label = b_label AND a_props = b_props, false) THEN child_idx END) OVER (PARTITION BY a, b, a_parent, b_parent, prop_idx)")
-        now = joined.withColumn("first", first).where("first IS NULL OR child_idx < first").select("a", "b", "a_id", "b_id")
+        now = cut(joined.withColumn("first", first).where("first IS NULL OR child_idx < first").select("a", "b", "a_id", "b_id"))
         found = found.unionByName(now)
     return found.select("a", "b", F.col("a_id").alias("node_id"))
 
 
-def overlap(left: DataFrame, right: DataFrame, pairs: DataFrame, levels: int) -> DataFrame:
-    """a, b, node_id of a: nodes reached from agreeing tops over agreeing nodes, whatever their neighbours."""
+def overlap(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFrame:
+    """a, b, node_id of a: nodes reached from agreeing tops over agreeing nodes, whatever their neighbours, down to the last level that agrees."""
     one = left.select(F.col("tree_id").alias("a"), F.col("node_id").alias("a_id"), F.col("parent_id").alias("a_parent"), "prop_idx", "child_idx", F.col("label").alias("a_label"), F.col("n_props").alias("a_props"))
     two = right.select(F.col("tree_id").alias("b"), F.col("node_id").alias("b_id"), F.col("parent_id").alias("b_parent"), "prop_idx", "child_idx", F.col("label").alias("b_label"), F.col("n_props").alias("b_props"))
     same = F.expr("a_label = b_label AND a_props = b_props")
-    found = now = pairs.join(one.where("a_parent IS NULL").drop("prop_idx", "child_idx"), "a").join(two.where("b_parent IS NULL").drop("prop_idx", "child_idx"), "b").where(same).select("a", "b", "a_id", "b_id")
-    for _ in range(levels):
+    one, two = cut(one), cut(two)
+    found = now = cut(pairs.join(one.where("a_parent IS NULL").drop("prop_idx", "child_idx"), "a").join(two.where("b_parent IS NULL").drop("prop_idx", "child_idx"), "b").where(same).select("a", "b", "a_id", "b_id"))
+    while not now.isEmpty():
         open_ = now.select("a", "b", F.col("a_id").alias("a_parent"), F.col("b_id").alias("b_parent"))
-        now = open_.join(one, ["a", "a_parent"]).join(two, ["b", "b_parent", "prop_idx", "child_idx"]).where(same).select("a", "b", "a_id", "b_id")
+        now = cut(open_.join(one, ["a", "a_parent"]).join(two, ["b", "b_parent", "prop_idx", "child_idx"]).where(same).select("a", "b", "a_id", "b_id"))
         found = found.unionByName(now)
     return found.select("a", "b", F.col("a_id").alias("node_id"))
 

@@ -71,7 +71,7 @@ def tree_posteriors(fragments: DataFrame) -> DataFrame:
     return fragments.groupBy("tree_id").agg(F.sum("posterior").alias("log2p"), F.sum("size").alias("nodes"))
 
 
-def inside_log2(nodes: DataFrame, grammar_nodes: DataFrame, rule_log2: DataFrame, depth: int) -> DataFrame:
+def inside_log2(nodes: DataFrame, grammar_nodes: DataFrame, rule_log2: DataFrame) -> DataFrame:
     """tree_id, log2p: probability of each tree summed over all ways to build it from fragments, bottom-up.
 
     ``grammar_nodes``: rule_id and the rule's nodes (node_id, parent_id, prop_idx,
@@ -79,7 +79,7 @@ def inside_log2(nodes: DataFrame, grammar_nodes: DataFrame, rule_log2: DataFrame
     A rule fits at a node if labels and numbers of properties agree and inner rule
     nodes have the node's child counts.  What hangs below its leaves multiplies in;
     a node no rule's head fits passes its children's product on; leaves count 1.
-    One join a level, deepest first.
+    One join a level, from the deepest inner node of all trees up.
     """
     from grovespark.operators.matching import aligned, end_points
     from grovespark.plans.state import cut
@@ -88,7 +88,8 @@ def inside_log2(nodes: DataFrame, grammar_nodes: DataFrame, rule_log2: DataFrame
     ends = cut(end_points(cut(aligned(grammar_nodes, nodes, all_children=True)), grammar_nodes))
     heads = grammar_nodes.where("parent_id IS NULL").select("label").distinct()
     values = nodes.where("is_leaf").select("tree_id", "node_id", F.lit(0.0).alias("log2p"))
-    for level in range(depth, -1, -1):
+    deepest = nodes.where("NOT is_leaf").agg(F.coalesce(F.max("depth"), F.lit(-1))).first()[0]
+    for level in range(deepest, -1, -1):
         here = nodes.where((F.col("depth") == level) & ~F.col("is_leaf"))
         at = here.select("tree_id", F.col("node_id").alias("anchor"), "label")
         usable = ends.join(at.select("tree_id", "anchor"), ["tree_id", "anchor"]).join(values, ["tree_id", "node_id"], "left")

@@ -404,13 +404,13 @@ SHARED = "SELECT a, b, a_id AS node_id FROM l0 UNION ALL SELECT a, b, a_id FROM
 @query(over_nodes(SHARED, PAIRS, OVERLAP.format(keep="f IS NULL OR child_idx < f")))
 def maximal_overlap(spark, sf_dir):
     nodes = nodes_of(spark, sf_dir)
-    return ma.maximal_overlap(nodes, nodes, neighbours(spark, sf_dir), 2)
+    return ma.maximal_overlap(nodes, nodes, neighbours(spark, sf_dir))
 
 
 @query(over_nodes(SHARED, PAIRS, OVERLAP.format(keep="same")))
 def overlapping_nodes(spark, sf_dir):
     nodes = nodes_of(spark, sf_dir)
-    return ma.overlap(nodes, nodes, neighbours(spark, sf_dir), 2)
+    return ma.overlap(nodes, nodes, neighbours(spark, sf_dir))
 
 
 SIMILAR = "bags AS (SELECT tree_id, label, count(*) AS n FROM nodes GROUP BY tree_id, label), similar_pairs AS (SELECT a, b, CAST(sum(least(coalesce(x, 0), coalesce(y, 0))) AS DOUBLE) / sum(greatest(coalesce(x, 0), coalesce(y, 0))) AS similarity FROM (SELECT a, b, label, max(n) FILTER (tree_id = a) AS x, max(n) FILTER (tree_id = b) AS y FROM pairs JOIN bags ON tree_id IN (a, b) GROUP BY a, b, label) GROUP BY a, b)"
@@ -526,7 +526,7 @@ def clone_clusters(spark, sf_dir):
     """Trees of one market segment and number of orders are a cluster."""
     nodes = nodes_of(spark, sf_dir)
     cluster = nodes.where("parent_id IS NULL").select("tree_id", F.concat("label", F.lit("/"), F.array_join(F.col("child_counts").cast("array<string>"), ".")).alias("cluster"))
-    return idioms.clone_overlap(nodes.join(cluster, "tree_id"), 2, 0.1)
+    return idioms.clone_overlap(nodes.join(cluster, "tree_id"), 0.1)
 
 
 @query(
@@ -1021,7 +1021,7 @@ def inside_logprob(spark, sf_dir):
     grammar = gr.count_rules(gr.fragments(rooted))
     rules = cut(gr.ml_probabilities(grammar).withColumn("rule_id", F.xxhash64("head", "rhs")))
     forms = idioms.parse_forms(rules.select("rule_id", without_roots(F.col("rhs")).alias("form")))
-    return pr.inside_log2(rooted, forms, rules.select("rule_id", F.log2("p").alias("log2p")), 2)
+    return pr.inside_log2(rooted, forms, rules.select("rule_id", F.log2("p").alias("log2p")))
 
 
 @query()

@@ -104,8 +104,8 @@ def test_matching_deep(spark):
 def test_overlaps(spark):
     nodes = nodes_frame(spark, ("1", ["2", "3", "4"]), ("1", ["2", "9", "4", "5"]))
     pairs = spark.createDataFrame([(1, 2)], "a long, b long")
-    assert sorted(r.node_id for r in ma.maximal_overlap(nodes, nodes, pairs, 2).collect()) == [0, 1]
-    assert sorted(r.node_id for r in ma.overlap(nodes, nodes, pairs, 2).collect()) == [0, 1, 3]
+    assert sorted(r.node_id for r in ma.maximal_overlap(nodes, nodes, pairs).collect()) == [0, 1]
+    assert sorted(r.node_id for r in ma.overlap(nodes, nodes, pairs).collect()) == [0, 1, 3]
 
 
 @pytest.mark.parametrize("more,expected", [([], math.log2(0.75)), (["x"], float("-inf"))])
@@ -116,7 +116,7 @@ def test_inside_probability(spark, more, expected):
     log2p = spark.createDataFrame([(1, -1.0), (2, -1.0), (3, -1.0), (4, -1.0), (5, 0.0)], "rule_id long, log2p double")
     tree = nodes_frame(spark, ("A", [("B", ["D", "E"] + more), "C"]))
     # leaves of the grammar's nodes carry one property where the tree's do
-    assert pr.inside_log2(tree, rules, log2p, 2).first().log2p == pytest.approx(expected)
+    assert pr.inside_log2(tree, rules, log2p).first().log2p == pytest.approx(expected)
 
 
 def test_forms_round_trip(spark):
@@ -293,5 +293,19 @@ def test_hyperparameters_against_a_loop(spark):
 def test_clone_overlap(spark):
     nodes = nodes_frame(spark, ("r", ["a", "b"]), ("r", ["a", "b"]), ("r", ["a", "c"]), ("q", ["a"]))
     cluster = spark.createDataFrame([(1, "k"), (2, "k"), (3, "k"), (4, "l")], "tree_id long, cluster string")
-    got = idioms.clone_overlap(nodes.join(cluster, "tree_id"), 2, 0.9).collect()
+    got = idioms.clone_overlap(nodes.join(cluster, "tree_id"), 0.9).collect()
     assert [(r.cluster, r.size, r.members) for r in got] == [("k", 3, 1)]
+
+
+def chain(n):
+    tree = ("x",)
+    for k in range(n - 1):
+        tree = (str(k % 7), [tree])
+    return tree
+
+
+def test_deep_trees_have_no_limit(spark):
+    nodes = nodes_frame(spark, chain(12), chain(12)).coalesce(1).cache()
+    pairs = spark.createDataFrame([(1, 2)], "a long, b long")
+    assert ma.overlap(nodes, nodes, pairs).count() == 12
+    assert ma.height(rules_frame(spark, chain(67)).coalesce(1)) == 66
