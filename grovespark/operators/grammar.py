@@ -77,28 +77,33 @@ def fragment_of_nodes(rooted: DataFrame) -> DataFrame:
     it points to, so the number of joins is the logarithm of the longest way to a root.
     """
     flags = rooted.select("tree_id", F.col("node_id").alias("up"), F.col("is_root").alias("ended"))
-    ways = cut(rooted.where("parent_id IS NOT NULL").select("tree_id", "node_id", F.col("parent_id").alias("up")).join(flags, ["tree_id", "up"]).select("tree_id", "node_id", "up", "ended"))
-    while not ways.where("NOT ended").isEmpty():
+    parents = rooted.where("parent_id IS NOT NULL").select("tree_id", "node_id", F.col("parent_id").alias("up")).join(flags, ["tree_id", "up"]).select("tree_id", "node_id", "up", "ended")
+
+    def followed(ways: DataFrame) -> DataFrame:
         further = ways.select("tree_id", F.col("node_id").alias("up"), F.col("up").alias("up2"), F.col("ended").alias("ended2"))
         on = ways.where("NOT ended").join(further, ["tree_id", "up"]).select("tree_id", "node_id", F.col("up2").alias("up"), F.col("ended2").alias("ended"))
-        ways = cut(ways.where("ended").unionByName(on))
+        return cut(ways.where("ended").unionByName(on))
+
+    ways = followed(parents)
+    while not ways.where("NOT ended").isEmpty():
+        ways = followed(ways)
     return ways.select("tree_id", "node_id", F.col("up").alias("frag_root"))
 
 
-def fragment_rows(rooted: DataFrame) -> DataFrame:
+def fragment_rows(rooted: DataFrame, of_fragment: DataFrame | None = None) -> DataFrame:
     """The nodes of the fragment that begins at each root: frag_root and the columns of ``rooted``; roots below the top have no children there."""
-    upper = fragment_of_nodes(rooted)
+    upper = fragment_of_nodes(rooted) if of_fragment is None else of_fragment
     lone = F.transform("child_counts", lambda c: F.lit(0))
     inside = rooted.join(upper, ["tree_id", "node_id"]).withColumn("child_counts", F.when(F.col("is_root"), lone).otherwise(F.col("child_counts")))
     return rooted.where("is_root").withColumn("frag_root", F.col("node_id")).unionByName(inside)
 
 
-def fragments(rooted: DataFrame) -> DataFrame:
+def fragments(rooted: DataFrame, of_fragment: DataFrame | None = None) -> DataFrame:
     """tree_id, frag_root, head, rhs (canonical string), size: the fragment that begins at each root.
 
     Roots below the top of a fragment end it: they are written starred and without children.
     """
-    return as_text(fragment_rows(rooted))
+    return as_text(fragment_rows(rooted, of_fragment))
 
 
 def as_text(rows: DataFrame) -> DataFrame:

@@ -76,7 +76,8 @@ def nodes_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rooted_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return st.with_roots(nodes_of(spark, sf_dir), (F.col("tree_id") + F.col("node_id")) % 3 == 0)
+    """Written once, as the way to the nearest root is looked up several times."""
+    return cut(st.with_roots(nodes_of(spark, sf_dir), (F.col("tree_id") + F.col("node_id")) % 3 == 0))
 
 
 def trained(rules: DataFrame) -> DataFrame:
@@ -268,8 +269,8 @@ scored AS (
 
 def fragment_priors(spark, sf_dir):
     rooted = rooted_of(spark, sf_dir)
-    rules = gr.rules_of_nodes(rooted)
-    return gr.fragments(rooted), pr.fragment_log2_prior(rooted, gr.fragment_of_nodes(rooted), rules, trained(rules))
+    rules, upper = cut(gr.rules_of_nodes(rooted)), gr.fragment_of_nodes(rooted)
+    return cut(gr.fragments(rooted, upper)), pr.fragment_log2_prior(rooted, upper, rules, trained(rules))
 
 
 @query(over_nodes("SELECT tree_id, frag_root, round(prior, 6) AS prior, round(prior + (size - 1) * log2(0.9) + log2(0.1), 6) AS with_size FROM scored", ROOTED, FRAGMENTS, RULES, CFG, LOOKED, PRIORS))
@@ -321,7 +322,7 @@ def patterns_of(rooted: DataFrame) -> DataFrame:
 
 
 def pattern_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rooted = cut(rooted_of(spark, sf_dir))
+    rooted = rooted_of(spark, sf_dir)
     return patterns_of(rooted), rooted.drop("is_root")
 
 
@@ -786,7 +787,7 @@ site_scores AS (
 @query(over_nodes("SELECT tree_id, site, was_root, round(CASE WHEN s - j > 1000 THEN 0 ELSE 1 / (1 + pow(2, s - j)) END, 6) AS p FROM site_scores JOIN site USING (tree_id)", ROOTED, FRAGMENTS, RULES, CFG, LOOKED, SITES))
 def site_join_probability(spark, sf_dir):
     """What the sampler would draw from at the first site of every tree, by the counts of the corpus."""
-    rooted = cut(rooted_of(spark, sf_dir))
+    rooted = rooted_of(spark, sf_dir)
     rules = cut(gr.rules_of_nodes(rooted))
     sites = rooted.where("parent_id IS NOT NULL AND NOT is_leaf").groupBy("tree_id").agg(F.min("node_id").alias("site"))
     scored = sa.scored_sites(rooted, rules, trained(rules), sites)
@@ -1017,7 +1018,7 @@ def generate_tsg(spark, sf_dir):
 @query()
 def inside_logprob(spark, sf_dir):
     """Trees of customers under the grammar of all their fragments."""
-    rooted = cut(rooted_of(spark, sf_dir))
+    rooted = rooted_of(spark, sf_dir)
     grammar = gr.count_rules(gr.fragments(rooted))
     rules = cut(gr.ml_probabilities(grammar).withColumn("rule_id", F.xxhash64("head", "rhs")))
     forms = idioms.parse_forms(rules.select("rule_id", without_roots(F.col("rhs")).alias("form")))
