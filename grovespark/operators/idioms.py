@@ -123,19 +123,47 @@ def rank_greedily(covered: DataFrame, gains: DataFrame, limit: int = 25) -> Data
     return spark.createDataFrame(out, f"rank int, rule_id {covered.schema['rule_id'].dataType.simpleString()}, score double")
 
 
-def clone_overlap(cluster_nodes: DataFrame, accept: float = 0.9) -> DataFrame:
-    """cluster, size: nodes of the common top of each cluster's trees with its first tree, of trees that share at least ``accept`` of it."""
+def common_tops(cluster_nodes: DataFrame, accept: float = 0.9) -> tuple[DataFrame, DataFrame]:
+    """(cluster, node columns of the first tree: what is left of it; cluster, members: trees accepted, the first one not counted).
+
+    A fold over each cluster's trees in the order of tree_id: the top begins as the whole
+    first tree; a tree whose common top with it has at least ``accept`` of its nodes, and
+    one at least, is accepted and the common top takes its place.
+
+    Only a tree that is accepted and shares less than all changes the top.  A step
+    compares all trees that are left of all clusters with the tops at once and goes on behind each
+    cluster's first such tree, so there are as many steps as changes of the top, at most its
+    nodes, whatever the number of trees; no task holds a cluster.
+    """
     from grovespark.operators.matching import maximal_overlap
+    from grovespark.plans.state import cut
+
+    nodes = cut(cluster_nodes)
+    trees = cut(nodes.select("cluster", F.col("tree_id").alias("b")).distinct())
+    first = trees.groupBy("cluster").agg(F.min("b").alias("tree_id"))
+    top, left = cut(nodes.join(first, ["cluster", "tree_id"])), cut(trees.join(first, "cluster").where("b > tree_id").select("cluster", "b"))
+    trees_only, members = cut(nodes.drop("cluster").distinct()), None
+    while not left.isEmpty():
+        named = top.drop("tree_id").withColumnRenamed("cluster", "tree_id")
+        common = cut(maximal_overlap(named, trees_only, left.select(F.col("cluster").alias("a"), "b")).withColumnRenamed("a", "cluster"))
+        size = top.groupBy("cluster").agg(F.count("*").alias("size"))
+        shared = common.groupBy("cluster", "b").agg(F.count("*").alias("n")).join(size, "cluster").where(F.col("n") >= accept * F.col("size"))
+        shared = cut(shared)
+        change = cut(shared.where("n < size").groupBy("cluster").agg(F.min("b").alias("changed")))
+        passed = shared.join(change, "cluster", "left").where("changed IS NULL OR b <= changed").groupBy("cluster").agg(F.count("*").alias("members"))
+        members = passed if members is None else members.unionByName(passed)
+        smaller = common.join(change.withColumnRenamed("changed", "b"), ["cluster", "b"], "left_semi").select("cluster", "node_id")
+        kept = top.join(change, "cluster", "left_anti").unionByName(top.join(smaller, ["cluster", "node_id"], "left_semi").select(top.columns))
+        top, left = cut(kept), cut(left.join(change, "cluster").where("b > changed").select("cluster", "b"))
+    if members is None:
+        return top, first.select("cluster", F.lit(0).cast("long").alias("members")).where("false")
+    return top, members.groupBy("cluster").agg(F.sum("members").alias("members"))
 
-    first = cluster_nodes.groupBy("cluster").agg(F.min("tree_id").alias("a"))
-    pairs = cluster_nodes.select("cluster", F.col("tree_id").alias("b")).distinct().join(first, "cluster").where("a != b")
-    nodes = cluster_nodes.drop("cluster").distinct()
-    common = maximal_overlap(nodes, nodes, pairs.select("a", "b")).join(pairs, ["a", "b"])
-    size = nodes.groupBy(F.col("tree_id").alias("a")).agg(F.count("*").alias("size"))
-    enough = common.groupBy("cluster", "a", "b").agg(F.count("*").alias("n")).join(size, "a").where(F.col("n") >= accept * F.col("size"))
-    members = enough.groupBy("cluster").agg(F.count("*").alias("members"))
-    shared = common.join(enough.select("cluster", "b"), ["cluster", "b"], "left_semi").groupBy("cluster", "node_id").agg(F.count("*").alias("n")).join(members, "cluster").where("n = members")
-    return shared.groupBy("cluster").agg(F.count("*").alias("size"), F.first("members").alias("members"))
+
+def clone_overlap(cluster_nodes: DataFrame, accept: float = 0.9) -> DataFrame:
+    """cluster, size, members: nodes of the common top of each cluster's trees (see ``common_tops``) and how many beside the first have it; clusters with such trees only."""
+    top, members = common_tops(cluster_nodes, accept)
+    return top.groupBy("cluster").agg(F.count("*").alias("size")).join(members, "cluster")
 
 
 def merge_patterns(*corpora: DataFrame) -> DataFrame:

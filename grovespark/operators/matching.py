@@ -99,29 +99,59 @@ def end_points(found: DataFrame, patterns: DataFrame) -> DataFrame:
     return found.join(whole(found, patterns), ["rule_id", "tree_id", "anchor"]).join(leaves, ["rule_id", "p_id"]).select("rule_id", "tree_id", "anchor", "node_id")
 
 
-def supertree_sites(patterns: DataFrame, nodes: DataFrame) -> DataFrame:
-    """rule_id, tree_id, anchor where the pattern reaches at least as far as the tree, up to the pattern's leaves.
+def _node_columns(nodes: DataFrame) -> DataFrame:
+    return nodes.select("tree_id", "node_id", "parent_id", "prop_idx", "child_idx", "label", "n_props", "child_counts", "is_leaf")
 
-    Everything in the tree below the anchor, up to where the pattern ends, must be in
-    the pattern; found as tops that agree, less those with a violation below.
-    """
-    p = _pattern(patterns)
-    t = nodes.select("tree_id", "node_id", "parent_id", "prop_idx", "child_idx", "label", "n_props", "child_counts", "is_leaf")
-    tops = p.where("p_parent IS NULL").join(t, F.expr("p_label = label AND p_props = n_props"))
-    now = tops.withColumn("anchor", F.col("node_id"))
+
+def _descend_supertrees(tops: DataFrame, p: DataFrame, t: DataFrame, levels: int) -> tuple[DataFrame, DataFrame]:
+    """(aligned pairs, violations) below ``tops``, pattern tops on tree nodes that agree: whatever the tree has there must be in the pattern, up to its leaves."""
     keep = ["rule_id", "tree_id", "anchor"]
-    start, bad = now.select(keep), None
+    now = cut(tops.withColumn("anchor", F.col("node_id")).select(*keep, "p_id", "p_counts", "p_leaf", "node_id", "child_counts", "is_leaf"))
+    found, bad = now, None
     fewer = ~F.forall(F.zip_with("p_counts", "child_counts", lambda a, b: a >= b), lambda x: x)
-    for _ in range(height(patterns) + 1):
+    for _ in range(levels + 1):
         wrong = now.where(~F.col("p_leaf") & (F.col("is_leaf") | fewer)).select(keep)
         open_ = now.where("NOT p_leaf AND NOT is_leaf").select(*keep, F.col("p_id").alias("p_parent"), F.col("node_id").alias("parent_id"))
         children = open_.join(t, ["tree_id", "parent_id"])
         below = children.withColumnsRenamed({"prop_idx": "p_prop", "child_idx": "p_idx"}).join(p, ["rule_id", "p_parent", "p_prop", "p_idx"], "left")
         agrees = F.coalesce(F.expr("p_label = label AND p_props = n_props"), F.lit(False))
-        wrong = wrong.union(below.where(~agrees).select(keep))
+        below = cut(below.select(now.columns + [agrees.alias("agrees")]))
+        wrong = wrong.union(below.where("NOT agrees").select(keep))
         bad = wrong if bad is None else bad.union(wrong)
-        now = below.where(agrees)
-    return start.join(bad.distinct(), keep, "left_anti")
+        now = below.where("agrees").drop("agrees")
+        found = found.unionByName(now)
+    return found, bad.distinct()
+
+
+def supertree_sites(patterns: DataFrame, nodes: DataFrame) -> DataFrame:
+    """rule_id, tree_id, anchor where the pattern reaches at least as far as the tree, up to the pattern's leaves.
+
+    Everything in the tree below the anchor, up to where the pattern ends, must be in
+    the pattern; found as tops that agree, less those with a violation below.
+    """
+    p, t, keep = _pattern(patterns), _node_columns(nodes), ["rule_id", "tree_id", "anchor"]
+    tops = p.where("p_parent IS NULL").join(t, F.expr("p_label = label AND p_props = n_props"))
+    _, bad = _descend_supertrees(tops, p, t, height(patterns))
+    return tops.select("rule_id", "tree_id", F.col("node_id").alias("anchor")).join(bad, keep, "left_anti")
+
+
+def supertree_end_points(patterns: DataFrame, nodes: DataFrame) -> DataFrame:
+    """rule_id, tree_id, anchor, node_id: tree nodes under the leaves of patterns that reach at least as far as the tree at an inner node.
+
+    Patterns of one node end nowhere.  An inner node's children are the first of the
+    pattern top's in each property, so tops meet on a hash of the children of the property
+    in which the tree node has most; a pattern has a running hash of its top's first children.
+    """
+    p, t, keep = _pattern(patterns), _node_columns(nodes), ["rule_id", "tree_id", "anchor"]
+    children = t.where("parent_id IS NOT NULL").groupBy("tree_id", F.col("parent_id").alias("node_id"), "prop_idx").agg(F.count("*").alias("first"), F.bit_xor(F.xxhash64("child_idx", "label", "n_props")).alias("key"))
+    fullest = children.groupBy("tree_id", "node_id").agg(F.max(F.struct("first", "prop_idx", "key")).alias("x")).select("tree_id", "node_id", "x.first", F.col("x.prop_idx").alias("of"), F.col("x.key").alias("key"))
+    tops = p.where("p_parent IS NULL")
+    so_far = Window.partitionBy("rule_id", "p_prop").orderBy("p_idx").rowsBetween(Window.unboundedPreceding, 0)
+    below_top = p.join(tops.select("rule_id", F.col("p_id").alias("p_parent")), ["rule_id", "p_parent"])
+    prefixes = below_top.select("rule_id", (F.col("p_idx") + 1).cast("long").alias("first"), F.col("p_prop").alias("of"), F.bit_xor(F.xxhash64("p_idx", "p_label", "p_props")).over(so_far).alias("key"))
+    met = fullest.join(t, ["tree_id", "node_id"]).join(prefixes.join(tops, "rule_id"), ["first", "of", "key"]).where("p_label = label AND p_props = n_props")
+    found, bad = _descend_supertrees(met, p, t, height(patterns))
+    return found.where("p_leaf").join(bad, keep, "left_anti").select(*keep, "node_id")
 
 
 def maximal_overlap(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -71,21 +71,23 @@ def tree_posteriors(fragments: DataFrame) -> DataFrame:
     return fragments.groupBy("tree_id").agg(F.sum("posterior").alias("log2p"), F.sum("size").alias("nodes"))
 
 
-def inside_log2(nodes: DataFrame, grammar_nodes: DataFrame, rule_log2: DataFrame) -> DataFrame:
+def inside_log2(nodes: DataFrame, grammar_nodes: DataFrame, rule_log2: DataFrame, all_children: bool = True) -> DataFrame:
     """tree_id, log2p: probability of each tree summed over all ways to build it from fragments, bottom-up.
 
     ``grammar_nodes``: rule_id and the rule's nodes (node_id, parent_id, prop_idx,
     child_idx, label, n_props, child_counts, is_leaf); ``rule_log2``: rule_id, log2p.
     A rule fits at a node if labels and numbers of properties agree and inner rule
-    nodes have the node's child counts.  What hangs below its leaves multiplies in;
+    nodes have the node's child counts; without ``all_children`` a rule also fits if it
+    reaches further than the tree (see ``matching.supertree_sites``), which then need not have
+    all that the rule has.  What hangs below its leaves multiplies in;
     a node no rule's head fits passes its children's product on; leaves count 1.
     One join a level, from the deepest inner node of all trees up.
     """
-    from grovespark.operators.matching import aligned, end_points
+    from grovespark.operators.matching import aligned, end_points, supertree_end_points
     from grovespark.plans.state import cut
 
     grammar_nodes = cut(grammar_nodes)
-    ends = cut(end_points(cut(aligned(grammar_nodes, nodes, all_children=True)), grammar_nodes))
+    ends = cut(end_points(cut(aligned(grammar_nodes, nodes, all_children=True)), grammar_nodes) if all_children else supertree_end_points(grammar_nodes, nodes))
     heads = grammar_nodes.where("parent_id IS NULL").select("label").distinct()
     values = nodes.where("is_leaf").select("tree_id", "node_id", F.lit(0.0).alias("log2p"))
     deepest = nodes.where("NOT is_leaf").agg(F.coalesce(F.max("depth"), F.lit(-1))).first()[0]

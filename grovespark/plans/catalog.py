@@ -527,7 +527,7 @@ def clone_clusters(spark, sf_dir):
     """Trees of one market segment and number of orders are a cluster."""
     nodes = nodes_of(spark, sf_dir)
     cluster = nodes.where("parent_id IS NULL").select("tree_id", F.concat("label", F.lit("/"), F.array_join(F.col("child_counts").cast("array<string>"), ".")).alias("cluster"))
-    return idioms.clone_overlap(nodes.join(cluster, "tree_id"), 0.1)
+    return idioms.clone_overlap(nodes.join(cluster, "tree_id"))
 
 
 @query(
@@ -1025,6 +1025,15 @@ def inside_logprob(spark, sf_dir):
     return pr.inside_log2(rooted, forms, rules.select("rule_id", F.log2("p").alias("log2p")))
 
 
+@query()
+def inside_supertree(spark, sf_dir):
+    """As ``inside_logprob``, with fragments that may reach further than the tree."""
+    rooted = rooted_of(spark, sf_dir)
+    rules = cut(gr.ml_probabilities(gr.count_rules(gr.fragments(rooted))).withColumn("rule_id", F.xxhash64("head", "rhs")))
+    forms = idioms.parse_forms(rules.select("rule_id", without_roots(F.col("rhs")).alias("form")))
+    return pr.inside_log2(rooted, forms, rules.select("rule_id", F.log2("p").alias("log2p")), all_children=False)
+
+
 @query()
 def tsg_entropy(spark, sf_dir):
     """Trees under the grammar of all fragments as a language model: log-probability, and that per leaf."""
