@@ -812,8 +812,22 @@ def drawn_sql(seed: int, *key: str) -> str:
     return f"(CAST(('0x' || substr(md5({text}), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE)"
 
 
-def step_sql(k: int, block: bool, mean: float) -> str:
+def item_sql(label: str) -> str:
+    """An item as the number 0 of its type."""
+    return f"CASE WHEN length({label}) = 2 THEN 'ITEM#0' ELSE {label} END"
+
+
+def numbered_sql(rhs: str) -> str:
+    """A fragment's text with items numbered: how many different ones come before the first of it."""
+    tokens = f"string_split({rhs}, ' ')"
+    items = f"list_filter({tokens}, lambda y: length(y) = 4 AND y LIKE '%()')"
+    number = f"len(list_distinct(list_slice({items}, 1, list_position({items}, x) - 1)))"
+    return f"array_to_string(list_transform({tokens}, lambda x: CASE WHEN length(x) = 4 AND x LIKE '%()' THEN 'ITEM#' || {number} || '()' ELSE x END), ' ')"
+
+
+def step_sql(k: int, block: bool, mean: float, templetized: bool = False) -> str:
     """The k-th training step: from the flags f{k} to f{k + 1}; all sites of a customer touch the top's fragment, so one a tree is drawn."""
+    named = numbered_sql if templetized else lambda rhs: rhs
     prior = lambda x: f"{x}_prior + ({x}_size - 1) * log2({1 - 1 / mean}) + log2({1 / mean})"
     parts = "".join(f", coalesce({x}.cnt, 0) AS {x}_cnt, coalesce({x}h.total, 0) AS {x}_total, {prior(x)} AS p{x}" for x in "jul")
     joins = "".join(f" LEFT JOIN c{k} {x} ON {x}.head = {x}_head AND {x}.rhs = {x}_rhs LEFT JOIN h{k} {x}h ON {x}h.head = {x}_head" for x in "jul")
@@ -825,7 +839,7 @@ def step_sql(k: int, block: bool, mean: float) -> str:
 st{k} AS MATERIALIZED (SELECT o.*, coalesce(f.flag, false) AS flag FROM orders_in o LEFT JOIN f{k} f USING (tree_id, node_id)),
 tree_forms{k} AS (SELECT t.tree_id, t.label AS head, t.token || coalesce(' ' || string_agg(CASE WHEN flag THEN star ELSE open END, ' ' ORDER BY node_id), '') AS rhs, 1 + coalesce(sum(CASE WHEN flag THEN 1 ELSE s.size END), 0) AS size
   FROM tops_in t LEFT JOIN st{k} s USING (tree_id) GROUP BY t.tree_id, t.label, t.token),
-c{k} AS MATERIALIZED (SELECT head, rhs, size, count(*) AS cnt FROM (SELECT head, rhs, size FROM tree_forms{k} UNION ALL SELECT label, '*' || open, size FROM st{k} WHERE flag) GROUP BY head, rhs, size),
+c{k} AS MATERIALIZED (SELECT head, {named("rhs")} AS rhs, size, count(*) AS cnt FROM (SELECT head, rhs, size FROM tree_forms{k} UNION ALL SELECT label, '*' || open, size FROM st{k} WHERE flag) GROUP BY ALL),
 h{k} AS (SELECT head, sum(cnt) AS total FROM c{k} GROUP BY head)"""
     sites = f""",
 sites{k} AS MATERIALIZED (
@@ -835,6 +849,8 @@ sites{k} AS MATERIALIZED (
     t.lp + sum(CASE WHEN o.flag AND o.node_id != s.node_id THEN 0 ELSE o.lp END) AS j_prior, t.lp + sum(CASE WHEN o.flag OR o.node_id = s.node_id THEN 0 ELSE o.lp END) AS u_prior
   FROM st{k} s JOIN tops_in t USING (tree_id) JOIN st{k} o ON o.tree_id = s.tree_id WHERE NOT s.is_leaf
   GROUP BY s.tree_id, s.node_id, s.flag, t.label, s.label, s.open, s.size, s.lp, t.token, t.lp)"""
+    if templetized:
+        sites = sites.replace("MATERIALIZED (", f"MATERIALIZED (SELECT * REPLACE ({', '.join(f'{named(x)} AS {x}' for x in ('j_rhs', 'u_rhs', 'l_rhs'))}) FROM (", 1) + ")"
     if not block:
         pick = f""",
 picked{k} AS (SELECT * FROM sites{k} QUALIFY row_number() OVER (PARTITION BY tree_id ORDER BY {drawn_sql(1, str(k), "tree_id", "site")}, site) = 1),
@@ -861,9 +877,10 @@ f{k + 1} AS MATERIALIZED (SELECT tree_id, f.node_id, coalesce(n.flag, f.flag) AS
 FLAGS = f"f0 AS MATERIALIZED (SELECT tree_id, node_id, {drawn_sql(1, 'tree_id', 'node_id')} < 0.9 AS flag FROM nodes WHERE depth = 1 AND NOT is_leaf)"
 
 
-def training_sql(steps: int, block: bool) -> str:
-    last = step_sql(steps, block, 10.0).split(f",\nsites{steps} AS")[0]
-    return over_nodes(f"SELECT head, rhs, CAST(size AS BIGINT) AS size, cnt FROM c{steps}", RULES, ALL_RULES, LOOKED, ORDERS, FLAGS, *[step_sql(k, block, 10.0) for k in range(steps)], last)
+def training_sql(steps: int, block: bool, templetized: bool = False) -> str:
+    last = step_sql(steps, block, 10.0, templetized).split(f",\nsites{steps} AS")[0]
+    rules = RULES.replace("c.label", item_sql("c.label")) if templetized else RULES
+    return over_nodes(f"SELECT head, rhs, CAST(size AS BIGINT) AS size, cnt FROM c{steps}", rules, ALL_RULES, LOOKED, ORDERS, FLAGS, *[step_sql(k, block, 10.0, templetized) for k in range(steps)], last)
 
 
 @query(over_nodes("SELECT f.t AS tree_id, f.s AS site, n, n_split, m, round(score, 6) AS score FROM m_scores0", RULES, ALL_RULES, LOOKED, ORDERS, FLAGS, step_sql(0, True, 10.0)))
@@ -885,6 +902,14 @@ def gibbs_train(spark, sf_dir):
     return train(cut(nodes_of(spark, sf_dir)), 5, alpha=1.0, mean_size=10.0)[0]
 
 
+@query(training_sql(5, False, True))
+def templetized_train(spark, sf_dir):
+    """Five iterations in which items are variables, renumbered within each of a site's three fragments."""
+    nodes = cut(nodes_of(spark, sf_dir))
+    kinds = nodes.where("length(label) = 2").select("label", F.lit("ITEM").alias("type")).distinct()
+    return train(nodes, 5, alpha=1.0, mean_size=10.0, kinds=kinds)[0]
+
+
 @query(
     over_nodes(
         """SELECT head, rhs, count(*) AS cnt FROM (
