@@ -202,12 +202,18 @@ def learn(x: np.ndarray, length: np.ndarray, lines: np.ndarray, good: np.ndarray
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, train_docs: int = TRAIN_DOCS) -> Chain:
-    """Fit on about ``train_docs`` of the labelled documents that ``usable`` (over doc_id) admits."""
+    """Fit on about ``train_docs`` of the labelled documents that ``usable`` (over doc_id) admits.
+
+    An id may have many rows: equal ones count once, and of more than twice as many rows as documents a part is drawn by a hash.
+    """
     known = labels.where(usable & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     total = known.count()
     dice = F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(1_000_003)) / 1_000_003
     picked = known.where(dice < train_docs / max(total, 1)).orderBy(dice, "doc_id").limit(2 * train_docs)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "text").distinct()
+    most, found = 2 * train_docs, rows.count()
+    if found > most:
+        rows = rows.where(F.pmod(F.xxhash64(F.lit("row"), "doc_id", "text"), F.lit(1_000_003)) < F.lit(1_000_003 * most / found))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -190,3 +190,19 @@ def test_network_against_loops():
             less = loss()
             w[at] = old
             assert (more - less) / (2 * step) == pytest.approx(g[at], rel=0.1, abs=3e-3)
+
+
+def test_quality_learns_from_a_bounded_number_of_rows(spark, monkeypatch):
+    """One id with many texts, and equal rows: what goes to the driver is bounded, and both labels are still learned."""
+    seen, real = [], quality.learn
+    monkeypatch.setattr(quality, "learn", lambda x, length, lines, good, *more: seen.append(len(lines)) or real(x, length, lines, good, *more))
+    good, bad = "A sentence of plain words that ends well. " * 4, "CLICK!!! $$$ >>> 000 <<<"
+    rows = [(1, f"{good} {k}") for k in range(400)] + [(2, bad)] * 300 + [(k, f"{k} {bad if k % 2 == 0 else good}") for k in range(3, 13)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(1, 13)], "doc_id long, quality int, toxic int")
+    chain = quality.train(docs, labels, F.lit(True), train_docs=40)
+    assert 40 <= seen[0] <= 130
+    quality.train(docs.where("doc_id > 1"), labels, F.lit(True), train_docs=400)
+    assert seen[1] == 11
+    got = {r.text: r.score for r in quality.score(docs, chain, keep=("text",)).collect()}
+    assert all(0 <= s <= 1 for s in got.values()) and len(got) == 411
