@@ -11,6 +11,8 @@ STRIDE = 16
 WINDOW = 2 * STRIDE
 #: Members of an output class; a token's probability is that of its class times that within the class.
 CLASS = 32
+#: Rows that training takes in a row.
+RUN = 8
 
 
 class Attention:
@@ -162,52 +164,100 @@ class Attention:
         return out, starts
 
     def gradients(self, ids: np.ndarray, alone: np.ndarray, target: np.ndarray, known: np.ndarray) -> tuple[float, dict]:
-        """Mean loss over the targets that are ``known``, and its gradient."""
+        """Mean loss over the targets, weighted by ``known``, and its gradient.
+
+        A line of ``ids`` is a run of rows of ``STRIDE`` tokens, of which the first is only
+        context; a window is a view of two rows, so that a token's key and value are made once.
+        """
         p, g = self.p, {}
-        x, q, k, v, s, mixed, h, inner, out = self.attend(ids, alone)
-        n, width = out.shape[0], out.shape[2]
-        flat, y, on = out.reshape(-1, width), target.ravel(), known.ravel().astype(np.float32)
+        runs, tokens = ids.shape
+        length, width, keys = tokens // STRIDE - 1, p["q"].shape[0], p["q"].shape[1]
+        n, scale = runs * length * STRIDE, p["q"].dtype.type(keys**-0.5)
+        project = np.concatenate([p["q"] * scale, p["k"], p["v"]], axis=1)
+        x = p["embed"].take(ids.ravel(), axis=0)
+        brought = (x @ project).reshape(runs, tokens, -1)
+        run, token, number = brought.strides
+        shape, strides = (runs, length, WINDOW), (run, STRIDE * token, token, number)
+        windows = np.lib.stride_tricks.as_strided(brought, (*shape, brought.shape[2]), strides, writeable=False)
+        q, k, v = windows[..., STRIDE:, :keys], windows[..., keys : 2 * keys], windows[..., 2 * keys :]
+        s = q @ k.swapaxes(2, 3)
+        np.clip(s, -60, 60, out=s)
+        np.exp(s, out=s)
+        s *= np.where(self.past, np.exp(p["near"][self.distance]), s.dtype.type(0))
+        s.reshape(-1, STRIDE, WINDOW)[alone.ravel(), :, :STRIDE] = 0
+        s /= (s @ np.ones((WINDOW, 1), dtype=s.dtype))
+        mixed = (s @ v).reshape(n, width)
+        h = mixed @ p["o"]
+        h += x.reshape(runs, tokens, width)[:, STRIDE:].reshape(n, width)
+        inner = h @ p["w1"]
+        inner += p["b1"]
+        np.maximum(inner, 0, out=inner)
+        flat = inner @ p["w2"]
+        flat += h
+        y, on = target.ravel(), known.ravel().astype(flat.dtype)
         on /= max(on.sum(), 1)
-        c, rows = self.class_of[y], np.arange(len(y))
-        z = flat @ p["class"] + p["cb"]
-        z = np.exp(z - z.max(axis=1, keepdims=True))
-        z /= z.sum(axis=1, keepdims=True)
-        loss = -(np.log(z[rows, c] + 1e-20) * on).sum()
-        z[rows, c] -= 1
-        z *= on[:, None]
-        g["class"], g["cb"] = flat.T @ z, z.sum(axis=0)
+        c, rows, ones = self.class_of[y], np.arange(n), np.ones(n, dtype=flat.dtype)
+
+        def softmax(z: np.ndarray, own: np.ndarray, at: np.ndarray, on: np.ndarray) -> float:
+            """Turns logits into their gradient; the loss."""
+            np.minimum(z, 80, out=z)
+            np.exp(z, out=z)
+            total = z @ ones[: z.shape[1]]
+            lost = -(np.log(z[at, own] / total + 1e-20) * on).sum()
+            z *= (on / total)[:, None]
+            z[at, own] -= on
+            return lost
+
+        z = flat @ p["class"]
+        z += p["cb"]
+        loss = softmax(z, c, rows, on)
+        g["class"], g["cb"] = flat.T @ z, ones @ z
         back = z @ p["class"].T
         g["member"], g["mb"] = np.zeros_like(p["member"]), np.zeros_like(p["mb"])
-        for j in np.unique(c):
-            own = np.flatnonzero(c == j)
-            z = flat[own] @ p["member"][j] + p["mb"][j]
-            z = np.exp(z - z.max(axis=1, keepdims=True))
-            z /= z.sum(axis=1, keepdims=True)
-            m = self.member_of[y[own]]
-            loss -= (np.log(z[np.arange(len(own)), m] + 1e-20) * on[own]).sum()
-            z[np.arange(len(own)), m] -= 1
-            z *= on[own, None]
-            g["member"][j], g["mb"][j] = flat[own].T @ z, z.sum(axis=0)
-            back[own] += z @ p["member"][j].T
-        back = back.reshape(out.shape)
-        g["w2"] = np.tensordot(inner, back, ((0, 1), (0, 1)))
-        di = (back @ p["w2"].T) * (inner > 0)
-        g["w1"], g["b1"] = np.tensordot(h, di, ((0, 1), (0, 1))), di.sum(axis=(0, 1))
-        dh = back + di @ p["w1"].T
-        g["o"] = np.tensordot(mixed, dh, ((0, 1), (0, 1)))
+        order = np.argsort(c.astype(np.int16), kind="stable")
+        edge = np.r_[0, np.cumsum(np.bincount(c, minlength=len(p["mb"])))].tolist()
+        sorted_flat, member, sorted_on, found = flat.take(order, axis=0), self.member_of[y].take(order), on.take(order), np.empty_like(flat)
+        for j, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
+            if a < b:
+                z = sorted_flat[a:b] @ p["member"][j]
+                z += p["mb"][j]
+                loss += softmax(z, member[a:b], rows[: b - a], sorted_on[a:b])
+                g["member"][j], g["mb"][j] = sorted_flat[a:b].T @ z, ones[: b - a] @ z
+                np.matmul(z, p["member"][j].T, out=found[a:b])
+        back[order] += found
+        g["w2"] = inner.T @ back
+        di = back @ p["w2"].T
+        di *= inner > 0
+        g["w1"], g["b1"] = h.T @ di, ones @ di
+        dh = di @ p["w1"].T
+        dh += back
+        g["o"] = mixed.T @ dh
         dm = dh @ p["o"].T
-        ds = dm @ v.transpose(0, 2, 1)
-        dv = s.transpose(0, 2, 1) @ dm
-        ds = s * (ds - (ds * s).sum(axis=2, keepdims=True))
-        g["near"] = np.bincount(self.distance.ravel(), (ds.sum(axis=0) * self.past).ravel(), minlength=WINDOW).astype(np.float32)
-        ds *= np.float32(q.shape[2] ** -0.5)
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        g["q"] = np.tensordot(x[:, STRIDE:], dq, ((0, 1), (0, 1)))
-        g["k"], g["v"] = np.tensordot(x, dk, ((0, 1), (0, 1))), np.tensordot(x, dv, ((0, 1), (0, 1)))
-        dx = dk @ p["k"].T + dv @ p["v"].T
-        dx[:, STRIDE:] += dh + dq @ p["q"].T
+        # the softmax's mean gradient is that of the mixture itself
+        level = np.einsum("ij,ij->i", dm, mixed).reshape(runs, length, STRIDE, 1)
+        dm = dm.reshape(runs, length, STRIDE, width)
+        ds = dm @ v.swapaxes(2, 3)
+        ds -= level
+        ds *= s
+        g["near"] = np.bincount(self.distance.ravel(), (ds.sum(axis=(0, 1)) * self.past).ravel(), minlength=WINDOW).astype(flat.dtype)
+        # each row is the second half of one window and the first of the next
+        d = np.zeros_like(brought)
+        rest = d.reshape(runs, length + 1, STRIDE, -1)
+        np.matmul(ds, k, out=rest[:, 1:, :, :keys])
+        for at, dw in ((slice(keys, 2 * keys), ds.swapaxes(2, 3) @ q), (slice(2 * keys, None), s.swapaxes(2, 3) @ dm)):
+            rest[:, 1:, :, at] += dw[:, :, STRIDE:]
+            rest[:, :-1, :, at] += dw[:, :, :STRIDE]
+        d = d.reshape(runs * tokens, -1)
+        all_of = x.T @ d
+        g["q"], g["k"], g["v"] = all_of[:, :keys] * scale, all_of[:, keys : 2 * keys], all_of[:, 2 * keys :]
+        dx = d @ project.T
+        dx.reshape(runs, length + 1, STRIDE, width)[:, 1:] += dh.reshape(runs, length, STRIDE, width)
+        seen = ids.ravel()
+        order = np.argsort(seen.astype(np.uint16) if len(p["embed"]) < 2**16 else seen, kind="stable")
+        seen = seen[order]
+        head = np.flatnonzero(np.r_[True, seen[1:] != seen[:-1]])
         g["embed"] = np.zeros_like(p["embed"])
-        np.add.at(g["embed"], ids.ravel(), dx.reshape(-1, width))
+        g["embed"][seen[head]] = np.add.reduceat(dx.take(order, axis=0), head, axis=0)
         return float(loss), g
 
     def packed(self) -> bytes:
@@ -224,22 +274,42 @@ class Attention:
         return out
 
     def fit(self, ids: np.ndarray, alone: np.ndarray, known: np.ndarray, epochs: int, batch: int = 128, rate: float = 0.01, seed: int = 9) -> list[float]:
-        """Adam with a falling rate; rows as in ``score``, ``known`` marks places whose next token counts."""
+        """Adam with a falling rate; rows as in ``score``, ``known`` holds the weight of each place's next token.
+
+        A step takes runs of ``RUN`` rows from anywhere.
+        """
         rng, losses, step = np.random.default_rng(seed), [], 0
-        before, target = np.r_[ids[:1], ids[:-1]], np.r_[ids.ravel()[1:], 0].reshape(ids.shape)
-        mean = {k: np.zeros_like(v) for k, v in self.p.items()}
-        square = {k: np.zeros_like(v) for k, v in self.p.items()}
-        steps = epochs * -(-len(ids) // batch)
+        if not len(ids):
+            return losses
+        # rows that fill the last run up weigh nothing
+        more = -len(ids) % RUN
+        flat = np.concatenate([ids[0], ids.ravel(), np.zeros(more * STRIDE + 1, dtype=ids.dtype)])
+        known = np.concatenate([known, np.zeros((more, STRIDE), dtype=known.dtype)]).reshape(-1, RUN * STRIDE)
+        alone = np.r_[alone, np.ones(more, dtype=bool)].reshape(-1, RUN)
+        around, ahead = np.arange((RUN + 1) * STRIDE), np.arange(STRIDE + 1, (RUN + 1) * STRIDE + 1)
+        names = sorted(self.p)
+        weights = np.concatenate([self.p[k].ravel() for k in names])
+        edge = np.r_[0, np.cumsum([self.p[k].size for k in names])]
+        self.p = {k: weights[a:b].reshape(self.p[k].shape) for k, a, b in zip(names, edge[:-1], edge[1:], strict=True)}
+        mean, square, runs = np.zeros_like(weights), np.zeros_like(weights), max(1, batch // RUN)
+        steps = epochs * -(-len(known) // runs)
         for _ in range(epochs):
-            order = rng.permutation(len(ids))
-            for a in range(0, len(order), batch):
-                own = order[a : a + batch]
-                loss, g = self.gradients(np.concatenate([before[own], ids[own]], axis=1), alone[own], target[own], known[own])
+            order = rng.permutation(len(known))
+            for a in range(0, len(order), runs):
+                own = order[a : a + runs]
+                start = own[:, None] * (RUN * STRIDE)
+                loss, g = self.gradients(flat[start + around], alone[own], flat[start + ahead], known[own])
                 losses.append(loss)
                 step += 1
                 now = rate * (1 - 0.95 * step / steps)
-                for k in self.p:
-                    mean[k] += 0.1 * (g[k] - mean[k])
-                    square[k] += 0.01 * (g[k] * g[k] - square[k])
-                    self.p[k] -= (now * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+                g = np.concatenate([g[k].ravel() for k in names])
+                mean += np.float32(0.1) * (g - mean)
+                g *= g
+                square += np.float32(0.01) * (g - square)
+                np.divide(square, np.float32(1 - 0.99**step), out=g)
+                np.sqrt(g, out=g)
+                g += np.float32(1e-8)
+                np.divide(mean, g, out=g)
+                g *= np.float32(now / (1 - 0.9**step))
+                weights -= g
         return losses

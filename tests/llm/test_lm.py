@@ -107,3 +107,82 @@ def test_all_rows_held_out_and_very_long_text(spark):
     got = {x.doc_id: x for x in lm.score(docs, F.lit(True), PATH).collect()}
     assert (got[1].n_tokens, got[2].n_tokens) == (200_001, 2)
     assert all(x.n_known == x.train_tokens == 0 and math.isfinite(x.score) for x in got.values())
+
+
+def blocks_of(spark, rows):
+    ranks = lm.load_ranks(PATH)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
+    return lm.stored(lm.read(lm.dealt_to_blocks(docs)[0], ranks, 1)).where("part < 0"), ranks
+
+
+def test_every_training_text_is_counted_and_taught(spark, monkeypatch):
+    """Subwords of all training texts count, also of a corpus beyond what a sample took whole (6 million characters), and all their symbols are trained on."""
+    monkeypatch.setattr(lm, "BLOCK_CHARS", 2_000_000)
+    r = random.Random(5)
+    words = ["the", "of", "Over", "naïve"] + ["".join(r.choices("abcdefgh", k=r.randrange(2, 9))) for _ in range(500)]
+    texts = [" ".join(r.choices(words, k=6000)) for _ in range(220)]
+    texts[7] += " zyzzyvaquux"  # a word that occurs once
+    assert sum(map(len, texts)) > 6_000_000
+    blocks, ranks = blocks_of(spark, [(i, t, i % 10 == 0) for i, t in enumerate(texts)])
+    counts = Counter(w for i, t in enumerate(texts) if i % 10 for w in t.lower().split())
+    whole, expected = lm.Subwords(ranks, []), Counter()
+    for w, n in counts.items():
+        for i in whole.ids(" " + w).tolist():
+            expected[i] += n
+    often = lm.subword_counts(blocks, max(ranks.values()) + 1)
+    assert {i: int(often[i]) for i in np.flatnonzero(often).tolist()} == expected
+    subwords = lm.Subwords(ranks, list(expected)[:100])
+    symbols = Counter()
+    for w, n in counts.items():
+        ids = whole.ids(" " + w)
+        for x in subwords.symbols(ids, np.array([len(ids)]))[0].tolist():
+            symbols[x] += n
+    taught = Counter()
+    for row in blocks.collect():
+        ids, _, weights, n = lm.lessons(lm.unpacked(row), subwords)
+        assert len(ids) == n
+        taught.update(np.r_[ids.ravel()[1:], subwords.end][weights.ravel() > 0].tolist())
+    assert taught.pop(subwords.end) == sum(i % 10 > 0 for i in range(220))
+    assert taught == symbols
+
+
+def test_rounds_meet_every_block(spark, monkeypatch):
+    """Each block is trained on in one round, and averages weigh blocks by their tokens."""
+    monkeypatch.setattr(lm, "BLOCK_CHARS", 2000)
+    monkeypatch.setattr(lm, "PASSAGE", 90)
+    monkeypatch.setattr(lm, "BEGIN", 10)
+    met, averaged = [], lm.averaged
+
+    def watched(found, groups):
+        kept = lm.stored(found)
+        met.append(kept.agg(F.count("*"), F.sum("n")).first())
+        return averaged(kept, groups)
+
+    monkeypatch.setattr(lm, "averaged", watched)
+    r = random.Random(6)
+    blocks, ranks = blocks_of(spark, [(i, " ".join(r.choices(["the", "of", "words"], k=40)), i % 10 == 0) for i in range(200)])
+    lm.train(blocks, ranks)
+    assert sum(x[0] for x in met) == blocks.count() > 10
+    # three words of a symbol each, and an end
+    assert sum(x[1] for x in met) == 180 * 41
+
+
+def test_equal_rows_weigh_as_many_in_training(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK_CHARS", 2000)
+    rows = [(7, "the words", False)] * 900 + [(i, f"of {i}", False) for i in range(20, 30)]
+    blocks, ranks = blocks_of(spark, rows)
+    subwords = lm.Subwords(ranks, [])
+    for row in blocks.collect():
+        block = lm.unpacked(row)
+        ids, _, weights, _ = lm.lessons(block, subwords)
+        places = block["counts"] + 1
+        length = subwords.symbols(block["ids"], block["pieces"])[1]
+        per_doc = [int(x.sum()) + 1 for x in np.split(length[block["word"]], np.cumsum(block["counts"])[:-1])]
+        assert weights.sum() == pytest.approx(np.dot(per_doc, block["times"])) and len(places) == len(per_doc)
+        assert len(ids) <= 2 * 2000 // (lm.SYMBOL * STRIDE) + len(per_doc)
+
+
+def test_large_ids_beside_a_null_id(spark):
+    rows = [(2**53 + 1, "a b"), (None, "c"), (-(2**53) - 3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(x.doc_id for x in lm.score(docs, F.lit(False), PATH).collect()) == Counter(i for i, _ in rows)
