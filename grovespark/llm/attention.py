@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import copy
+import itertools
 
 import numpy as np
 
@@ -15,6 +16,15 @@ CLASS = 32
 RUN = 8
 
 
+def keep_memory() -> None:
+    """Lets the C library keep what arrays of up to 31 MB free for the next ones.
+
+    Its limit for memory that is mapped, cleared and given back each time rises to the
+    largest block that was freed; at first, steps spend a third of their time on this.
+    """
+    np.empty(31 << 20, dtype=np.uint8)
+
+
 class Attention:
     """One layer with one head over token embeddings and a bias by distance, then a gated step and a two-level softmax.
 
@@ -168,91 +178,130 @@ class Attention:
 
         A line of ``ids`` is a run of rows of ``STRIDE`` tokens, of which the first is only
         context; a window is a view of two rows, so that a token's key and value are made once.
+        Hidden states carry a one for biases.  Products go over some thousand tokens at a time,
+        which the linear algebra library takes twice as fast as all at once.  Members of all
+        classes are computed together, their tokens sorted by class into lines of ``CLASS`` of one class each.
         """
         p, g = self.p, {}
+        kind = p["q"].dtype
         runs, tokens = ids.shape
         length, width, keys = tokens // STRIDE - 1, p["q"].shape[0], p["q"].shape[1]
-        n, scale = runs * length * STRIDE, p["q"].dtype.type(keys**-0.5)
-        project = np.concatenate([p["q"] * scale, p["k"], p["v"]], axis=1)
-        x = p["embed"].take(ids.ravel(), axis=0)
-        brought = (x @ project).reshape(runs, tokens, -1)
+        n, scale, seen = runs * length * STRIDE, kind.type(keys**-0.5), ids.ravel().astype(np.intp)
+        project = np.concatenate([p["q"] * scale, p["k"], p["v"] @ p["o"]], axis=1)
+        parts = runs // RUN if runs % RUN == 0 else runs
+
+        def lots(a: np.ndarray) -> np.ndarray:
+            return a.reshape(parts, -1, a.shape[-1])
+
+        def times(a: np.ndarray, weights: np.ndarray) -> np.ndarray:
+            return (lots(a) @ np.ascontiguousarray(weights)).reshape(len(a), -1)
+
+        def summed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            return (lots(a).swapaxes(1, 2) @ lots(b)).sum(axis=0)
+
+        x = p["embed"].take(seen, axis=0)
+        brought = times(x, project).reshape(runs, tokens, -1)
         run, token, number = brought.strides
-        shape, strides = (runs, length, WINDOW), (run, STRIDE * token, token, number)
-        windows = np.lib.stride_tricks.as_strided(brought, (*shape, brought.shape[2]), strides, writeable=False)
+        windows = np.ndarray((runs, length, WINDOW, brought.shape[2]), kind, brought, 0, (run, STRIDE * token, token, number))
         q, k, v = windows[..., STRIDE:, :keys], windows[..., keys : 2 * keys], windows[..., 2 * keys :]
-        s = q @ k.swapaxes(2, 3)
+        turned = np.empty((runs, keys + width + 1, tokens), dtype=kind)
+        turned[:, -1] = 1
+        np.matmul(project[:, keys:].T, x.reshape(runs, tokens, width).swapaxes(1, 2), out=turned[:, :-1])
+        run, number, token = turned.strides
+        turned = np.ndarray((runs, length, turned.shape[1], WINDOW), kind, turned, 0, (run, STRIDE * token, number, token))
+        s = q @ turned[:, :, :keys]
         np.clip(s, -60, 60, out=s)
         np.exp(s, out=s)
-        s *= np.where(self.past, np.exp(p["near"][self.distance]), s.dtype.type(0))
+        s *= np.where(self.past, np.exp(p["near"][self.distance]), kind.type(0))
         s.reshape(-1, STRIDE, WINDOW)[alone.ravel(), :, :STRIDE] = 0
-        s /= (s @ np.ones((WINDOW, 1), dtype=s.dtype))
+        divisor = s.reshape(n, WINDOW) @ np.ones((WINDOW, 1), dtype=kind)
         mixed = (s @ v).reshape(n, width)
-        h = mixed @ p["o"]
-        h += x.reshape(runs, tokens, width)[:, STRIDE:].reshape(n, width)
-        inner = h @ p["w1"]
-        inner += p["b1"]
+        mixed /= divisor
+        h = np.empty((n, width + 1), dtype=kind)
+        np.add(mixed.reshape(runs, -1, width), x.reshape(runs, tokens, width)[:, STRIDE:], out=h.reshape(runs, -1, width + 1)[:, :, :width])
+        h[:, width] = 1
+        inner = times(h, np.concatenate([p["w1"], p["b1"][None]]))
         np.maximum(inner, 0, out=inner)
-        flat = inner @ p["w2"]
+        flat = times(inner, np.concatenate([p["w2"], np.zeros((len(p["w2"]), 1), dtype=kind)], axis=1))
         flat += h
-        y, on = target.ravel(), known.ravel().astype(flat.dtype)
+        y, on = target.ravel(), known.ravel().astype(kind)
         on /= max(on.sum(), 1)
-        c, rows, ones = self.class_of[y], np.arange(n), np.ones(n, dtype=flat.dtype)
+        c = self.class_of[y]
+        of_class, of_member = self.outputs()
+        # logits are bounded as in ``score``
+        longest = max((p["class"] ** 2).sum(axis=0).max(), (p["member"] ** 2).sum(axis=1).max())
+        tame = np.sqrt(np.einsum("ij,ij->i", flat, flat).max() * longest) + max(np.abs(p["cb"]).max(), p["mb"].max()) < 80
 
-        def softmax(z: np.ndarray, own: np.ndarray, at: np.ndarray, on: np.ndarray) -> float:
-            """Turns logits into their gradient; the loss."""
-            np.minimum(z, 80, out=z)
+        def softmax(z: np.ndarray, own: np.ndarray, on: np.ndarray) -> tuple[float, np.ndarray]:
+            """The loss; turns logits into their gradient but for a factor a row, which is returned."""
+            own = own + np.arange(len(z)) * z.shape[1]
+            if not tame:
+                np.minimum(z, 80, out=z)
             np.exp(z, out=z)
-            total = z @ ones[: z.shape[1]]
-            lost = -(np.log(z[at, own] / total + 1e-20) * on).sum()
-            z *= (on / total)[:, None]
-            z[at, own] -= on
-            return lost
+            total = z @ np.ones(z.shape[1], dtype=kind)
+            lost = -np.dot(np.log(z.take(own) / total + kind.type(1e-20)), on)
+            z.reshape(-1)[own] -= total
+            return lost, on / total
 
-        z = flat @ p["class"]
-        z += p["cb"]
-        loss = softmax(z, c, rows, on)
-        g["class"], g["cb"] = flat.T @ z, ones @ z
-        back = z @ p["class"].T
-        g["member"], g["mb"] = np.zeros_like(p["member"]), np.zeros_like(p["mb"])
+        z = times(flat, of_class)
+        loss, weight = softmax(z, c, on)
+        of_all = summed(flat * weight[:, None], z)
+        g["class"], g["cb"] = of_all[:width], of_all[width]
+        back = times(z, p["class"].T)
+        back *= weight[:, None]
         order = np.argsort(c.astype(np.int16), kind="stable")
-        edge = np.r_[0, np.cumsum(np.bincount(c, minlength=len(p["mb"])))].tolist()
-        sorted_flat, member, sorted_on, found = flat.take(order, axis=0), self.member_of[y].take(order), on.take(order), np.empty_like(flat)
-        for j, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
+        count = np.bincount(c, minlength=len(of_member))
+        lines = -(-count // CLASS)
+        line, edge = np.repeat(np.arange(len(lines)), lines), np.r_[0, np.cumsum(lines) * CLASS]
+        place = np.arange(n) + np.repeat(edge[:-1] - (np.cumsum(count) - count), count)
+        from_, weight, into = np.zeros(len(line) * CLASS, dtype=np.int64), np.zeros(len(line) * CLASS, dtype=kind), np.empty(n, dtype=np.int64)
+        from_[place], weight[place], into[order] = order, on[order], place
+        lined = flat.take(from_, axis=0)
+        z = (lined.reshape(len(line), CLASS, width + 1) @ of_member.take(line, axis=0)).reshape(-1, CLASS)
+        lost, weight = softmax(z, self.member_of[y].take(from_), weight)
+        loss += lost
+        lined *= weight[:, None]
+        of_all = np.zeros_like(of_member)
+        for j, (a, b) in enumerate(itertools.pairwise(edge.tolist())):
             if a < b:
-                z = sorted_flat[a:b] @ p["member"][j]
-                z += p["mb"][j]
-                loss += softmax(z, member[a:b], rows[: b - a], sorted_on[a:b])
-                g["member"][j], g["mb"][j] = sorted_flat[a:b].T @ z, ones[: b - a] @ z
-                np.matmul(z, p["member"][j].T, out=found[a:b])
-        back[order] += found
-        g["w2"] = inner.T @ back
-        di = back @ p["w2"].T
+                np.matmul(lined[a:b].T, z[a:b], out=of_all[j])
+        g["member"], g["mb"] = of_all[:, :width], of_all[:, width]
+        found = z.reshape(len(line), CLASS, CLASS) @ np.ascontiguousarray(p["member"].swapaxes(1, 2)).take(line, axis=0)
+        found = found.reshape(-1, width)
+        found *= weight[:, None]
+        back += found.take(into, axis=0)
+        g["w2"] = summed(inner, back)
+        di = times(back, p["w2"].T)
         di *= inner > 0
-        g["w1"], g["b1"] = h.T @ di, ones @ di
-        dh = di @ p["w1"].T
+        of_all = summed(h, di)
+        g["w1"], g["b1"] = of_all[:width], of_all[width]
+        dh = times(di, p["w1"].T)
         dh += back
-        g["o"] = mixed.T @ dh
-        dm = dh @ p["o"].T
-        # the softmax's mean gradient is that of the mixture itself
-        level = np.einsum("ij,ij->i", dm, mixed).reshape(runs, length, STRIDE, 1)
-        dm = dm.reshape(runs, length, STRIDE, width)
-        ds = dm @ v.swapaxes(2, 3)
-        ds -= level
+        # the softmax's mean gradient is that of the mixture itself; it meets the values' ones
+        dm = np.empty((n, width + 1), dtype=kind)
+        np.divide(dh, divisor, out=dm[:, :width])
+        np.einsum("ij,ij->i", dm[:, :width], mixed, out=dm[:, width])
+        np.negative(dm[:, width], out=dm[:, width])
+        dm = dm.reshape(runs, length, STRIDE, width + 1)
+        ds = dm @ turned[:, :, keys:]
         ds *= s
-        g["near"] = np.bincount(self.distance.ravel(), (ds.sum(axis=(0, 1)) * self.past).ravel(), minlength=WINDOW).astype(flat.dtype)
+        g["near"] = np.bincount(self.distance.ravel(), ds.reshape(-1, STRIDE * WINDOW).sum(axis=0) * self.past.ravel(), minlength=WINDOW).astype(kind)
         # each row is the second half of one window and the first of the next
-        d = np.zeros_like(brought)
-        rest = d.reshape(runs, length + 1, STRIDE, -1)
-        np.matmul(ds, k, out=rest[:, 1:, :, :keys])
-        for at, dw in ((slice(keys, 2 * keys), ds.swapaxes(2, 3) @ q), (slice(2 * keys, None), s.swapaxes(2, 3) @ dm)):
-            rest[:, 1:, :, at] += dw[:, :, STRIDE:]
-            rest[:, :-1, :, at] += dw[:, :, :STRIDE]
+        d = np.empty((runs, length + 1, STRIDE, project.shape[1]), dtype=kind)
+        d[:, 0, :, :keys] = 0
+        np.matmul(ds, k, out=d[:, 1:, :, :keys])
+        dw = np.empty((runs, length, WINDOW, keys + width), dtype=kind)
+        np.matmul(ds.swapaxes(2, 3), q, out=dw[..., :keys])
+        np.matmul(s.swapaxes(2, 3), dm[..., :width], out=dw[..., keys:])
+        d[:, 0, :, keys:] = dw[:, 0, :STRIDE]
+        np.add(dw[:, :-1, STRIDE:], dw[:, 1:, :STRIDE], out=d[:, 1:-1, :, keys:])
+        d[:, -1, :, keys:] = dw[:, -1, STRIDE:]
         d = d.reshape(runs * tokens, -1)
-        all_of = x.T @ d
-        g["q"], g["k"], g["v"] = all_of[:, :keys] * scale, all_of[:, keys : 2 * keys], all_of[:, 2 * keys :]
-        dx = d @ project.T
+        of_all = summed(x, d)
+        g["q"], g["k"], of_value = of_all[:, :keys] * scale, of_all[:, keys : 2 * keys], of_all[:, 2 * keys :]
+        g["v"], g["o"] = of_value @ p["o"].T, p["v"].T @ of_value
+        dx = times(d, project.T)
         dx.reshape(runs, length + 1, STRIDE, width)[:, 1:] += dh.reshape(runs, length, STRIDE, width)
-        seen = ids.ravel()
         order = np.argsort(seen.astype(np.uint16) if len(p["embed"]) < 2**16 else seen, kind="stable")
         seen = seen[order]
         head = np.flatnonzero(np.r_[True, seen[1:] != seen[:-1]])
@@ -281,6 +330,7 @@ class Attention:
         rng, losses, step = np.random.default_rng(seed), [], 0
         if not len(ids):
             return losses
+        keep_memory()
         # rows that fill the last run up weigh nothing
         more = -len(ids) % RUN
         flat = np.concatenate([ids[0], ids.ravel(), np.zeros(more * STRIDE + 1, dtype=ids.dtype)])
@@ -303,13 +353,16 @@ class Attention:
                 step += 1
                 now = rate * (1 - 0.95 * step / steps)
                 g = np.concatenate([g[k].ravel() for k in names])
-                mean += np.float32(0.1) * (g - mean)
+                mean *= np.float32(0.9)
+                mean += g
                 g *= g
-                square += np.float32(0.01) * (g - square)
-                np.divide(square, np.float32(1 - 0.99**step), out=g)
-                np.sqrt(g, out=g)
-                g += np.float32(1e-8)
+                square *= np.float32(0.99)
+                square += g
+                # both are sums that weigh each gradient by one at first; ``level`` makes the root that of a mean
+                level = (0.01 / (1 - 0.99**step)) ** 0.5
+                np.sqrt(square, out=g)
+                g += np.float32(1e-8 / level)
                 np.divide(mean, g, out=g)
-                g *= np.float32(now / (1 - 0.9**step))
+                g *= np.float32(now * 0.1 / (1 - 0.9**step) / level)
                 weights -= g
         return losses

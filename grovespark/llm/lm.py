@@ -38,13 +38,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grovespark.llm.attention import STRIDE, Attention
+from grovespark.llm.attention import STRIDE, Attention, keep_memory
 from grovespark.llm.common import removed, shared_folder, stored
 from grovespark.llm.shingles import scan_words, word_hashes
 
 #: Characters of a block, about, and so many are hashed at once; words that a part adds up, about.
 BLOCK_CHARS = 4_000_000
-HASH_CHARS = 2_000_000
+HASH_CHARS = 100_000
 PART_WORDS = 2_000_000
 #: Characters of a passage, and of a symbol, about: the measures of what training takes at once.
 PASSAGE, SYMBOL = 1500, 3
@@ -119,31 +119,6 @@ def slices(texts: list[str | None], chars: int = HASH_CHARS) -> Iterator[list[st
         at = stop
 
 
-def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, str]:
-    """Word hashes of all texts in order, words of each text, the distinct hashes, and their words with a space before each."""
-    none = np.zeros(0, dtype=np.uint64)
-    hashes, counts, keys, written, seen = [none], [np.zeros(0, dtype=np.int64)], [none], [], none
-    for part in slices(texts):
-        flat, heads, length, h, n = scan_words(part)
-        own, place = np.unique(h, return_index=True)
-        new = ~np.isin(own, seen, assume_unique=True)
-        own, place = own[new], place[new]
-        if len(own):
-            begin, size = heads[place], length[place] + 1
-            data = flat[ragged(np.maximum(begin - 1, 0), size)]
-            data[np.cumsum(size) - size] = 32
-            if not begin.all():  # a word at the very begin has no byte before it
-                first = int(np.flatnonzero(begin == 0)[0])
-                at = int((np.cumsum(size) - size)[first])
-                data[at + 1 : at + size[first]] = flat[: size[first] - 1]
-            written.append(data.tobytes().decode())
-            seen = np.union1d(seen, own)
-        hashes.append(h)
-        counts.append(n)
-        keys.append(own)
-    return np.concatenate(hashes), np.concatenate(counts), np.concatenate(keys), "".join(written)
-
-
 def layout(symbols: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Documents as rows of ``STRIDE`` tokens: rows, which rows have no context, places whose next token counts, place of each document.
 
@@ -161,12 +136,26 @@ def layout(symbols: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray
     return flat.reshape(-1, STRIDE), alone, known, start
 
 
-def indexed(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, str, np.ndarray]:
-    """Number of each word among the distinct ones, words of each text, the distinct words' keys, the words, and how often each occurs."""
-    hashes, counts, keys, written = words_of(texts)
-    order = np.argsort(keys)
-    word = order[np.searchsorted(keys[order], hashes)] if len(keys) else np.zeros(0, dtype=np.int64)
-    return word, counts, keys, written, np.bincount(word, minlength=len(keys))
+def indexed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, str]:
+    """Number of each word among the distinct ones, words of each text, the distinct words' keys, ascending, and the words with a space before each."""
+    scanned, at = [], 0
+    for part in slices(texts):
+        flat, heads, *rest = scan_words(part)
+        scanned.append((flat, heads + at, *rest))
+        at += len(flat)
+    if not scanned:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), ""
+    flat, heads, length, hashes, counts = map(np.concatenate, zip(*scanned, strict=True))
+    order = np.argsort(hashes)
+    keys = hashes[order]
+    new = np.r_[True, keys[1:] != keys[:-1]][: len(keys)]
+    word = np.empty(len(keys), dtype=np.int64)
+    word[order] = np.cumsum(new) - 1
+    place = order[new]
+    begin, size = heads[place] - 1, length[place] + 1
+    data = np.r_[flat, np.uint8(32)][ragged(begin, size)]  # a word at the very begin has no byte before it; -1 is the last
+    data[np.cumsum(size) - size] = 32
+    return word, counts, keys[new], data.tobytes().decode()
 
 
 #: What is kept of a block's documents, in the order of ``row``: ids; held out 1, null id 2; times; words; then
@@ -196,9 +185,10 @@ def read(dealt: DataFrame, ranks: dict[bytes, int], parts: int) -> DataFrame:
     shared = dealt.sparkSession.sparkContext.broadcast(Subwords(ranks, []))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        keep_memory()
         rows = rows.sort_values("row", kind="stable")
         whole, learn = shared.value, np.where(rows.held_out.to_numpy(dtype=bool), 0, rows.times)
-        word, counts, keys, written, _ = indexed(rows.text.tolist())
+        word, counts, keys, written = indexed(rows.text.tolist())
         n = np.zeros(len(keys) + 1, dtype=np.int64)
         np.add.at(n, word, np.repeat(learn, counts))
         n[-1] = learn.sum()
@@ -291,6 +281,7 @@ def begun(blocks: DataFrame, subwords: Subwords, begin: int) -> tuple[np.ndarray
     share = -(-begin * PASSAGE // (SYMBOL * STRIDE) // max(1, blocks.count()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keep_memory()
         for batch in batches:
             for row in batch.itertuples():
                 ids, alone, weights, n = lessons(unpacked(row), shared.value, share)
@@ -321,6 +312,7 @@ def train(blocks: DataFrame, ranks: dict[bytes, int], begin: int | None = None,
         shared = blocks.sparkSession.sparkContext.broadcast((subwords, model))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            keep_memory()
             words, start = shared.value  # noqa: B023
             each = max(1, EACH * PASSAGE // (SYMBOL * STRIDE))
             for batch in batches:
@@ -428,6 +420,7 @@ def score(docs: DataFrame, held_out: Column, path: str, text: str = "text", shar
     shared = docs.sparkSession.sparkContext.broadcast(train(blocks, ranks, begin, epochs))
 
     def run(rows: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
+        keep_memory()
         block = unpacked(next(rows.itertuples()))
         word, counts, order = block["word"], block["counts"], block["order"]
         told = [np.frombuffer(x, dtype=f"<u{len(x) // size}") for _, size, x in sorted(zip(back.part, back["size"], back.totals, strict=True))]

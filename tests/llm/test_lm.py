@@ -1,6 +1,8 @@
 import math
 import random
 import re
+import subprocess
+import sys
 from collections import Counter
 from zlib import crc32
 
@@ -186,3 +188,42 @@ def test_large_ids_beside_a_null_id(spark):
     rows = [(2**53 + 1, "a b"), (None, "c"), (-(2**53) - 3, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert Counter(x.doc_id for x in lm.score(docs, F.lit(False), PATH).collect()) == Counter(i for i, _ in rows)
+
+
+STEPS = """
+import resource
+import numpy as np
+from grovespark.llm.attention import STRIDE, Attention
+first = np.zeros(1257, dtype=bool)
+first[:300] = True
+model, ids = Attention(first, np.arange(1257)), np.random.default_rng(0).integers(0, 1257, (256 * 20, STRIDE)).astype(np.int32)
+faults = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+fit = lambda: model.fit(ids, np.zeros(len(ids), dtype=bool), np.ones(ids.shape, dtype=np.float32), 1, 256)
+fit()
+begin = faults()
+fit()
+print((faults() - begin) / 20)
+"""
+
+
+def test_steps_reuse_their_memory():
+    """A step of training maps no new memory for its arrays, which took a third of its time."""
+    found = subprocess.run([sys.executable, "-c", STEPS], capture_output=True, text=True, check=True)
+    assert float(found.stdout) < 200
+
+
+def test_words_are_numbered_by_ascending_keys(monkeypatch):
+    """Words get the same numbers however texts are sliced, each is written once, also one at the very begin."""
+    r = random.Random(7)
+    texts = ["first Word", None, "", " \n", "naïve\twörd " + "x" * 3000] + [" ".join(f"w{r.randrange(30)}" for _ in range(50)) for _ in range(20)]
+    whole = lm.indexed(texts)
+    monkeypatch.setattr(lm.slices, "__defaults__", (100,))
+    cut = lm.indexed(texts)
+    assert all(np.array_equal(a, b) for a, b in zip(whole[:3], cut[:3], strict=True)) and whole[3] == cut[3]
+    word, counts, keys, written = whole
+    assert (np.diff(keys.astype(object)) > 0).all()
+    own = written.split(" ")[1:]
+    expected = ["".join(c.lower() if c.isascii() else c for c in t or "").split() for t in texts]
+    assert counts.tolist() == list(map(len, expected))
+    assert [own[i] for i in word.tolist()] == [w for t in expected for w in t]
+    assert sorted(own) == sorted({w for t in expected for w in t})
